@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK_MS = 6 * 3_600_000
+CHUNK_MS = 24 * 3_600_000
 
 
 def with_predecessor(
