@@ -229,7 +229,7 @@ def _dump_sql() -> str:
     s = v["node"]
     info = (
         f"concat('{{\"uuid\":\"', {_spark(UUID)}, '\",', '\\n', ' \"data\": {{\"SKU\": \"', {s['sku']}, '\",',"
-        f" IF(d % 2 = 0, concat('\"serialNumber\": \"S\\\\\\\\\"', n, '}}}}\",'), ''),"
+        f" IF(d % 2 = 0, concat('\"serialNumber\": \"S\\\\\"', n, '}}\",'), ''),"
         f" '\"fw_ver\": \"', IF(d % 3 != 0, concat('2.', d), ''), '\",',"
         f" '\"mode\": \"', {s['mode']}, '\", \"userAp2G_bssid\": \" ', {s['userap2g_bssid']}, ' \",',"
         f" IF(d % 2 = 1, concat('\"userAp5GH_channel\": \"', {s['userap5gh_channel']}, '\",'), ''),"

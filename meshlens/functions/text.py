@@ -10,14 +10,26 @@ def matches(value: str, pattern: str) -> str:
     return f"{value} RLIKE {quoted(pattern)}"
 
 
+def hinted(value: str, hint: str, pattern: str) -> str:
+    """``matches`` behind a plain search for a text every match contains: most lines lack it."""
+    return f"(contains({value}, {quoted(hint)}) AND {value} RLIKE {quoted(pattern)})"
+
+
 def starts_with(value: str, prefix: str) -> str:
     return f"startswith({value}, {quoted(prefix)})"
 
 
 def split_lines(text: str) -> str:
-    """Lines of a text, any Unicode line break; a final break opens no extra line."""
+    """Lines of a text, any Unicode line break; a final break opens no extra line.
+
+    Splitting at one character takes no regex, so the rare other breaks become that first.
+    """
+    plain = (
+        f"IF({text} RLIKE {quoted(fmt.OTHER_BREAK)},"
+        f" regexp_replace({text}, {quoted(fmt.LINE_BREAK)}, '\n'), {text})"
+    )
     return let(
-        f"split({text}, {quoted(fmt.LINE_BREAK)})",
+        f"split({plain}, '\n')",
         lambda a: f"IF(element_at({a}, -1) = '', slice({a}, 1, size({a}) - 1), {a})",
     )
 
@@ -26,6 +38,11 @@ def strip(value: str) -> str:
     return f"btrim({value}, {quoted(fmt.BLANKS)})"
 
 
+def is_line(value: str, marker: str) -> str:
+    """The line holds ``marker`` and nothing else."""
+    return f"(contains({value}, {quoted(marker)}) AND {strip(value)} = {quoted(marker)})"
+
+
 def not_empty(value: str) -> str:
     return let(value, lambda v: f"IF({v} != '', {v}, NULL)")
 

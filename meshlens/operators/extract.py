@@ -37,6 +37,8 @@ from meshlens.functions.text import (
     behind,
     clean,
     group,
+    hinted,
+    is_line,
     json_object,
     matches,
     snake,
@@ -131,7 +133,7 @@ def devinfo_section(lines: str) -> str:
     """Node information objects ``(uuid, data)``; broken JSON and other shapes are skipped."""
 
     def is_marker(x: str) -> str:
-        return f"{strip(x)} = {quoted(fmt.DEVINFO_MARKER)}"
+        return is_line(x, fmt.DEVINFO_MARKER)
 
     def region(begin: str) -> str:
         inside = take_while(
@@ -148,42 +150,46 @@ def devinfo_section(lines: str) -> str:
         )
 
     def read(blob: str) -> str:
-        return struct(
-            uuid=f"get_json_object({blob}, '$.uuid')",
-            data=f"get_json_object({blob}, '$.data')",
-            kind=f"schema_of_variant(try_variant_get(try_parse_json({blob}), '$.data', 'variant'))",
+        return let(
+            f"try_parse_json({blob})",
+            lambda v: struct(
+                uuid=f"try_variant_get({v}, '$.uuid', 'string')",
+                data=f"try_variant_get({v}, '$.data', 'variant')",
+            ),
         )
 
     found = when_found(first_position(lines, is_marker), lambda p: json_objects(region(p)))
     return each(
         keep(
-            each(found, read), lambda o: f"{o}.uuid != '' AND {starts_with(f'{o}.kind', 'OBJECT')}"
+            each(found, read),
+            lambda o: f"{o}.uuid != '' AND startswith(schema_of_variant({o}.data), 'OBJECT')",
         ),
-        lambda o: struct(uuid=f"{o}.uuid", data=f"{o}.data"),
+        lambda o: struct(uuid=f"{o}.uuid", data=f"to_json({o}.data)"),
     )
 
 
 def node_section(lines: str) -> str:
     """Mesh nodes: devices with a node role, with their information object by exact uuid."""
     roles = ", ".join(quoted(r) for r in fmt.NODE_ROLES)
+    keys = [*fmt.DEVINFO_FIELDS.values(), *fmt.DEVINFO_RADIO_FIELDS]
+    wanted = ", ".join(f"{key} string" for key in keys)
 
     def node(device: str, infos: str) -> str:
         matched = last_match(infos, lambda o: f"{o}.uuid = {device}.uuid")
 
-        def row(data: str) -> str:
+        def row(data: str, info: str) -> str:
             own = {c: f"{device}.{c}" for c in ("uuid", "mac", "ip", "name", "role")}
-            info = {
-                column: f"get_json_object({data}, '$.{key}')"
-                for column, key in fmt.DEVINFO_FIELDS.items()
-            }
-            info["fw_ver"] = f"coalesce(nullif({info['fw_ver']}, ''), {device}.fw_ver)"
+            fields = {column: f"{info}.{key}" for column, key in fmt.DEVINFO_FIELDS.items()}
+            fields["fw_ver"] = f"coalesce(nullif({info}.fw_ver, ''), {device}.fw_ver)"
             radios = {
-                key.lower(): clean(f"get_json_object({data}, '$.{key}')")
-                for key in fmt.DEVINFO_RADIO_FIELDS
+                key.lower(): clean(f"{info}.{key}") for key in fmt.DEVINFO_RADIO_FIELDS
             }
-            return struct(**own, **info, **radios, devinfo=data)
+            return struct(**own, **fields, **radios, devinfo=data)
 
-        return let(f"coalesce({matched}.data, '{{}}')", row)
+        return let(
+            f"coalesce({matched}.data, '{{}}')",
+            lambda data: let(f"from_json({data}, '{wanted}')", lambda info: row(data, info)),
+        )
 
     nodes = keep(device_section(lines), lambda d: f"{d}.role IN ({roles})")
     none = "cast(array() AS array<struct<uuid:string,data:string>>)"
@@ -201,32 +207,24 @@ def radio_stats_section(lines: str) -> str:
     """
 
     def leads(x: str) -> str:
-        return f"left({x}, 1) NOT IN (' ', '\t')"
-
-    def is_pair(x: str) -> str:
-        return matches(strip(x), fmt.KEY_VALUE)
+        return f"{x}.leads"
 
     def heading_of(leader: str) -> str:
+        text = f"{leader}.text"
         return let(
-            strip(leader),
-            lambda text: let(
-                snake(f"left({text}, length({text}) - 1)"),
-                lambda title: (
-                    f"IF({leads(leader)} AND NOT {matches(text, fmt.KEY_VALUE)}"
-                    f" AND endswith({text}, ':') AND {title} != '', concat({title}, '_'), '')"
-                ),
+            snake(f"left({text}, length({text}) - 1)"),
+            lambda title: (
+                f"IF({leads(leader)} AND NOT {hinted(text, '=', fmt.KEY_VALUE)}"
+                f" AND endswith({text}, ':') AND {title} != '', concat({title}, '_'), '')"
             ),
         )
 
     def pairs(run: str, heading: str) -> str:
         return each(
-            keep(run, is_pair),
-            lambda x: let(
-                strip(x),
-                lambda text: struct(
-                    k=f"concat({heading}, {snake(group(text, fmt.KEY_VALUE, 1))})",
-                    v=group(text, fmt.KEY_VALUE, 2),
-                ),
+            keep(run, lambda x: hinted(f"{x}.text", "=", fmt.KEY_VALUE)),
+            lambda x: struct(
+                k=f"concat({heading}, {snake(group(f'{x}.text', fmt.KEY_VALUE, 1))})",
+                v=group(f"{x}.text", fmt.KEY_VALUE, 2),
             ),
         )
 
@@ -248,7 +246,10 @@ def radio_stats_section(lines: str) -> str:
             )
             return f"flatten({runs})"
 
-        return let(keep(body, lambda x: f"{strip(x)} != ''"), led)
+        texts = each(
+            body, lambda x: struct(leads=f"left({x}, 1) NOT IN (' ', '\t')", text=strip(x))
+        )
+        return let(keep(texts, lambda x: f"{x}.text != ''"), led)
 
     def radios(body: str) -> str:
         marks = positions(
@@ -319,7 +320,7 @@ def radio_config_section(lines: str) -> str:
 def nic_section(lines: str) -> str:
     """Interface byte counters directly below the marker."""
     rows = when_found(
-        first_position(lines, lambda x: f"{strip(x)} = {quoted(fmt.NIC_MARKER)}"),
+        first_position(lines, lambda x: is_line(x, fmt.NIC_MARKER)),
         lambda p: take_while(after(lines, p), lambda x: matches(x, fmt.NIC_ROW)),
     )
     return each(
@@ -335,12 +336,13 @@ def nic_section(lines: str) -> str:
 def neighbor_section(lines: str) -> str:
     """Neighbour table; anything between the marker and the first row is skipped."""
 
+    def is_row(x: str) -> str:
+        return hinted(x, fmt.NEIGHBOR_HINT, fmt.NEIGHBOR_ROW)
+
     def rows_in(below: str) -> str:
         return when_found(
-            first_position(below, lambda x: matches(x, fmt.NEIGHBOR_ROW)),
-            lambda p: take_while(
-                after(below, f"{p} - 1"), lambda x: matches(x, fmt.NEIGHBOR_ROW)
-            ),
+            first_position(below, is_row),
+            lambda p: take_while(after(below, f"{p} - 1"), is_row),
         )
 
     def neighbor(x: str, ip: str) -> str:
@@ -355,7 +357,7 @@ def neighbor_section(lines: str) -> str:
         )
 
     rows = when_found(
-        first_position(lines, lambda x: f"{strip(x)} = {quoted(fmt.NEIGHBOR_MARKER)}"),
+        first_position(lines, lambda x: is_line(x, fmt.NEIGHBOR_MARKER)),
         lambda p: let(after(lines, p), rows_in),
     )
     return each(
@@ -387,7 +389,12 @@ def ping_section(lines: str) -> str:
         )
 
     return when_found(
-        first_position(lines, lambda x: matches(strip(x), fmt.PING_TITLE)),
+        first_position(
+            lines,
+            lambda x: (
+                f"(contains({x}, {quoted(fmt.PING_HINT)}) AND {matches(strip(x), fmt.PING_TITLE)})"
+            ),
+        ),
         lambda p: probe(at(lines, p), f"slice({lines}, {p} + 1, {fmt.PING_WITHIN})"),
     )
 
@@ -397,13 +404,13 @@ def system_section(lines: str) -> str:
     memory = ["mem_total", "mem_used", "mem_free", "mem_shared", "mem_buffers", "mem_cached"]
     loads = ["load_1", "load_5", "load_15"]
 
-    def first_of(pattern: str) -> str:
-        return f"get({keep(lines, lambda x: matches(x, pattern))}, 0)"
+    def first_of(hint: str, pattern: str) -> str:
+        return f"get({keep(lines, lambda x: hinted(x, hint, pattern))}, 0)"
 
-    def first_readable(pattern: str) -> str:
+    def first_readable(hint: str, pattern: str) -> str:
         # The first match whose leading figure is a number; failing that, the last match.
         return let(
-            keep(lines, lambda x: matches(x, pattern)),
+            keep(lines, lambda x: hinted(x, hint, pattern)),
             lambda xs: (
                 "coalesce(get("
                 + keep(xs, lambda x: f"{to_float(group(x, pattern, 1))} IS NOT NULL")
@@ -431,10 +438,10 @@ def system_section(lines: str) -> str:
 
     return let(
         struct(
-            up=first_of(fmt.UPTIME),
-            load=first_readable(fmt.LOAD_AVERAGE),
-            mem=first_of(fmt.MEMORY),
-            cpu=first_readable(fmt.CPU_IDLE),
+            up=first_of(fmt.UPTIME_HINT, fmt.UPTIME),
+            load=first_readable(fmt.LOAD_HINT, fmt.LOAD_AVERAGE),
+            mem=first_of(fmt.MEMORY_HINT, fmt.MEMORY),
+            cpu=first_readable(fmt.CPU_HINT, fmt.CPU_IDLE),
         ),
         row,
     )
@@ -477,7 +484,7 @@ def lldp_section(lines: str) -> str:
         )
 
     region = when_found(
-        first_position(lines, lambda x: matches(x, fmt.LLDP_TITLE)),
+        first_position(lines, lambda x: hinted(x, fmt.LLDP_HINT, fmt.LLDP_TITLE)),
         lambda p: take_while(
             after(lines, p), lambda x: f"NOT {starts_with(x, fmt.BANNER_PREFIX)}"
         ),
@@ -512,12 +519,19 @@ def section_sql(table: str) -> str:
     return rows if table in PER_NODE else f"IF(source_ip IS NULL, {rows}, NULL)"
 
 
+def with_lines(dumps: DataFrame) -> DataFrame:
+    """Dumps with their text cut into ``lines``.
+
+    The one-element explode keeps the lines a column of their own: were they a plain
+    projection, a filter pushed through it would cut the text again for every line.
+    """
+    lines = F.explode(F.array(F.expr(split_lines("text")))).alias("lines")
+    return dumps.select("snapshot_id", "fetched_at", "source_ip", lines)
+
+
 def sections(dumps: DataFrame, tables: list[str] | None = None) -> DataFrame:
     """Chosen sections of every dump as arrays of rows, all in one pass over the text."""
-    cut = dumps.select(
-        "snapshot_id", "fetched_at", "source_ip", F.expr(split_lines("text")).alias("lines")
-    )
-    return cut.select(
+    return with_lines(dumps).select(
         "snapshot_id",
         "fetched_at",
         "source_ip",
@@ -526,10 +540,20 @@ def sections(dumps: DataFrame, tables: list[str] | None = None) -> DataFrame:
 
 
 def section_rows(extracted: DataFrame, table: str) -> DataFrame:
-    """Rows of one section with their position in it."""
-    return extracted.select(
-        "snapshot_id", "fetched_at", "source_ip", F.posexplode(table).alias("pos", "row")
-    ).select("snapshot_id", "fetched_at", "source_ip", "pos", "row.*")
+    """Rows of one section with their position in it.
+
+    The outer explode spares a test for empty sections that would compute them twice.
+    """
+    return (
+        extracted.select(
+            "snapshot_id",
+            "fetched_at",
+            "source_ip",
+            F.posexplode_outer(table).alias("pos", "row"),
+        )
+        .where("pos IS NOT NULL")
+        .select("snapshot_id", "fetched_at", "source_ip", "pos", "row.*")
+    )
 
 
 def extract(dumps: DataFrame, table: str) -> DataFrame:

@@ -17,7 +17,7 @@ from meshlens.functions.arrays import (
     variable,
     when_found,
 )
-from meshlens.functions.text import clean, matches, starts_with, strip
+from meshlens.functions.text import clean, is_line, matches, starts_with, strip
 from meshlens.sources import formats as fmt
 
 
@@ -32,7 +32,7 @@ def dashed_table(lines: str, marker: str, row_shape: str) -> str:
         near = f"slice({lines}, {header} + 1, {fmt.SEPARATOR_WITHIN})"
         return f"{header} + {first_position(near, lambda x: matches(x, fmt.DASH_ROW))}"
 
-    headers = positions(lines, lambda x: f"{strip(x)} = {quoted(marker)}")
+    headers = positions(lines, lambda x: is_line(x, marker))
     rules = f"array_compact({each(headers, rule_below)})"
     return when_found(
         f"get({rules}, 0)",
@@ -45,12 +45,16 @@ def dashed_table(lines: str, marker: str, row_shape: str) -> str:
 
 def column_starts(rule: str) -> str:
     """1-based start of every dash run of a rule line."""
-    return keep(
-        f"sequence(1, length({rule}))",
-        lambda p: (
-            f"substring({rule}, {p}, 1) = '-'"
-            f" AND ({p} = 1 OR substring({rule}, {p} - 1, 1) != '-')"
-        ),
+    return let(
+        f"split({rule}, '')",
+        lambda chars: "array_compact("
+        + each_with_index(
+            chars,
+            lambda c, i: (
+                f"IF({c} = '-' AND coalesce(get({chars}, {i} - 1), ' ') != '-', {i} + 1, NULL)"
+            ),
+        )
+        + ")",
     )
 
 
@@ -77,13 +81,16 @@ def fixed_width_rows(table: str) -> str:
 
 def opens_section(line: str) -> str:
     """A titled dash line or a banner, the two ways a new section starts."""
-    return f"({matches(line, fmt.DASH_TITLE)} OR {starts_with(line, fmt.BANNER_PREFIX)})"
+    dashed = f"{starts_with(line, fmt.TITLE_PREFIX)} AND {matches(line, fmt.DASH_TITLE)}"
+    return f"({dashed} OR {starts_with(line, fmt.BANNER_PREFIX)})"
 
 
 def titled_section(lines: str, title: str) -> str:
     """Lines from the first ``title`` line to the next section."""
     return when_found(
-        first_position(lines, lambda x: matches(x, title)),
+        first_position(
+            lines, lambda x: f"({starts_with(x, fmt.TITLE_PREFIX)} AND {matches(x, title)})"
+        ),
         lambda p: take_while(after(lines, p), lambda x: f"NOT {opens_section(x)}"),
     )
 

@@ -7,6 +7,7 @@ Patterns are Java regular expressions; ``(?U)`` makes ``\\w \\s \\b`` cover Unic
 
 # Line breaks and white space -------------------------------------------------------------
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+OTHER_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,6 +33,7 @@ COMMAND_PREFIX = "cat "
 NEIGHBOR_MARKER = "ip neigh:"
 NIC_MARKER = "NIC Counters"
 BANNER_PREFIX = "===="
+TITLE_PREFIX = "-----"
 SEPARATOR_WITHIN = 4
 
 DASH_ROW = r"^[ \t]*-{3,}(?:[ \t]+-{3,})*[ \t]*$"
@@ -91,6 +93,15 @@ LLDP_CAPABILITY = "Capability:"
 LLDP_ID_PREFIX = "mac "
 LLDP_ENABLED = "on"
 
+# Texts that every line of these shapes contains.
+NEIGHBOR_HINT = "dev"
+PING_HINT = "ping statistics"
+UPTIME_HINT = "up"
+LOAD_HINT = "load average:"
+MEMORY_HINT = "Mem:"
+CPU_HINT = "idle"
+LLDP_HINT = "LLDP Information"
+
 # A string, an unfinished string, a brace or plain text: the pieces of concatenated JSON ----
 JSON_PIECE = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|".*|[{}]|[^"{}]++'
 
