@@ -1,6 +1,6 @@
 """Dumps rendered from the given documents, and the rows they must give back.
 
-Every document becomes the dump of one master node (and of one satellite): its whole text as
+Every document becomes the dump of one master node (and of a satellite): its whole text as
 noise, then all sections with ``1 + doc_id % 5`` rows each, between decoys. ``ROWS`` states the
 values once, as SQL both engines read; Spark prints them into text, the oracle selects them.
 In the expressions ``d`` is the document id, ``i`` the row number, ``n`` the text length.
@@ -345,10 +345,9 @@ def master_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def satellite_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dump of the second device of every document that has one; every third is missing."""
-    docs = documents(spark, sf_dir).where("k > 1 AND d % 3 != 0")
+    """A dump of the second device of every document; with one device alone it is no known node."""
     return _as_dump(
-        docs,
+        documents(spark, sf_dir),
         f"transform(array(1), i -> {IP})[0]",
         f"concat({_dump_sql()}, '\\n{END}')",
     )

@@ -78,14 +78,15 @@ SELECT 'd' || CAST(o_orderkey AS VARCHAR(20)) AS id, 's' || CAST(date_trunc('mon
   CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Customer ' || CAST(o_custkey AS VARCHAR(20)) END AS friendly_name,
   CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'cust-' || CAST(o_custkey % 100 AS VARCHAR(20)) END AS name
 FROM @orders""",
-    # Wireless clients of the same months: mixed-case addresses, NULL signal, several per device.
+    # Wireless clients of the same months: mixed-case addresses, NULL signal, several per
+    # device, and as many of unknown devices.
     "wlan_client": """
 SELECT 'w' || CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(4)) AS id,
   's' || CAST(date_trunc('month', o_orderdate) AS VARCHAR(30)) AS snapshot_id, date_trunc('month', o_orderdate) AS fetched_at,
-  'AA:bb:' || CAST(o_custkey AS VARCHAR(20)) AS client_mac,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'AA:bb:' || CAST(o_custkey AS VARCHAR(20)) ELSE 'CC:dd:' || CAST(l_partkey AS VARCHAR(20)) END AS client_mac,
   CASE WHEN l_linenumber % 2 = 0 THEN 'RSN' ELSE CAST(l_linenumber * 100 AS VARCHAR(6)) END AS mcs,
   CASE WHEN l_returnflag = 'R' THEN NULL ELSE -30 - CAST(l_quantity AS INTEGER) END AS rssi
-FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderkey % 2 = 0""",
+FROM @lineitem l JOIN @orders o ON l_orderkey = o_orderkey""",
     # Prefix blocks of 24, 28 and 36 bits (and one of 16) from the parts, as file lines.
     "vendor_line": """
 SELECT p_partkey AS line_no,
@@ -117,11 +118,17 @@ FROM (SELECT *, lpad(hex(l_partkey // 8), 6, '0') AS hx FROM @lineitem) l""",
 }
 
 _CALLS = re.compile(r"@(\w+)")
+# Each given table is one row group, which is one task; the larger ones are spread by key.
+SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
+def _scan(sf_dir: str, name: str) -> str:
+    hint = f"/*+ REPARTITION({SPREAD[name]}) */ " if name in SPREAD else ""
+    return f"(SELECT {hint}* FROM parquet.`{sf_dir}/{name}.parquet`)"
 
 
 def spark_sql(name: str, sf_dir: str) -> str:
-    text = _CALLS.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", SQL[name])
-    return text.replace("//", "div").replace(f"{sf_dir}/".replace("//", "div"), f"{sf_dir}/")
+    return _CALLS.sub(lambda m: _scan(sf_dir, m[1]), SQL[name].replace("//", "div"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,7 +140,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.sql(f"SELECT * FROM {_scan(sf_dir, name)}")
 
 
 def duck(name: str) -> str:

@@ -307,14 +307,18 @@ def s3(spark, sf):
     return in_ms(dm.raw_dumps(spark, sf).select("snapshot_id", clock))
 
 
-def _satellite(doc: str = "doc_id") -> str:
-    return f"SELECT doc_id AS d, n_chars AS n, lang, source, 1 AS i FROM documents WHERE doc_id % 5 >= 1 AND doc_id % 3 != 0"
+SATELLITE = "SELECT doc_id AS d, n_chars AS n, lang, source, 1 AS i FROM documents"
+
+
+def known(value: str) -> str:
+    """A satellite's tag: a document with one device alone has no second node."""
+    return f"CASE WHEN i = 1 AND d % 5 = 0 THEN NULL ELSE {value} END"
 
 
 @query(
     "s4_mesh_dumps",
     f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, NULL AS source_ip, NULL AS node_uuid FROM (SELECT doc_id AS d FROM documents) a
-UNION ALL SELECT 'doc' || CAST(d AS VARCHAR(20)), {dm.IP}, {dm.UUID} FROM ({_satellite()}) b""",
+UNION ALL SELECT 'doc' || CAST(d AS VARCHAR(20)), {dm.IP}, {known(dm.UUID)} FROM ({SATELLITE}) b""",
 )
 def s4(spark, sf):
     masters = dm.master_dumps(spark, sf)
@@ -433,8 +437,8 @@ _MASTER_ROW = f"SELECT doc_id AS d, n_chars AS n, lang, source, 0 AS i FROM docu
 @query(
     "e15_source_tags",
     f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, CAST(424156 + d AS BIGINT) AS mem_total,
-  {dm.NODE_MAC} AS source_node_mac, {dm.NAME} AS source_node_name, {dm.DEVICE_IP} AS source_node_ip, {dm.ROLE} AS source_role
-FROM ({_MASTER_ROW} UNION ALL {_satellite()}) x""",
+  {known(dm.NODE_MAC)} AS source_node_mac, {known(dm.NAME)} AS source_node_name, {known(dm.DEVICE_IP)} AS source_node_ip, {known(dm.ROLE)} AS source_role
+FROM ({_MASTER_ROW} UNION ALL {SATELLITE}) x""",
 )
 def e15(spark, sf):
     extracted = ex.sections(_mesh(spark, sf), ["node", "system"])
@@ -458,8 +462,8 @@ def e16(spark, sf):
 @query(
     "s8_capture_system",
     f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, (1781794631 + d * 600) * 1000 AS fetched_at, {dm.ROWS['system']['uptime_secs']} AS uptime_secs,
-  {dm.NODE_MAC} AS source_node_mac, {dm.ROLE} AS source_role
-FROM ({_MASTER_ROW} UNION ALL {_satellite()}) x""",
+  {known(dm.NODE_MAC)} AS source_node_mac, {known(dm.ROLE)} AS source_role
+FROM ({_MASTER_ROW} UNION ALL {SATELLITE}) x""",
 )
 def s8(spark, sf):
     tables_ = capture.capture(_mesh(spark, sf))

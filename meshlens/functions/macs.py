@@ -9,7 +9,7 @@ from meshlens.sources import formats as fmt
 
 def hex_digits(value: str) -> str:
     """Hex digits of a text in lower case; an absent value gives the empty text."""
-    return f"lower(regexp_replace(coalesce({value}, ''), '[^0-9a-fA-F]', ''))"
+    return f"lower(regexp_replace(coalesce({value}, ''), '[^0-9a-fA-F]+', ''))"
 
 
 def oui_of(mac: str) -> str:
