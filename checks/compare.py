@@ -1,11 +1,13 @@
 """Run registered queries on Spark and their SQL on DuckDB and compare the rows.
 
-``python -m checks.compare [sf] [name prefix ...]``
+``python -m checks.compare [sf] [name prefix ...]``; ``CHECK_CONF="key=value ..."`` sets session
+options, for example ``spark.sql.autoBroadcastJoinThreshold=-1`` to check the shuffled plans.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -20,15 +22,17 @@ GIVEN = (
 
 
 def session(cores: str = "8") -> SparkSession:
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .getOrCreate()
     )
+    for option in os.environ.get("CHECK_CONF", "").split():
+        builder = builder.config(*option.split("=", 1))
+    return builder.getOrCreate()
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:

@@ -9,7 +9,6 @@ In the expressions ``d`` is the document id, ``i`` the row number, ``n`` the tex
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from checks.fixtures import source
 
@@ -321,11 +320,10 @@ END = "End of Sysinfo Output"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as ``(d, k, n, lang, source, text)``, spread over all cores."""
-    docs = source(spark, sf_dir, "documents").selectExpr(
+    """Documents as ``(d, k, n, lang, source, text)``."""
+    return source(spark, sf_dir, "documents").selectExpr(
         "doc_id AS d", "1 + doc_id % 5 AS k", "n_chars AS n", "lang", "source", "text"
     )
-    return docs.repartition(F.col("d"))
 
 
 def _as_dump(docs: DataFrame, source_ip: str, text: str) -> DataFrame:

@@ -119,28 +119,29 @@ FROM (SELECT *, lpad(hex(l_partkey // 8), 6, '0') AS hx FROM @lineitem) l""",
 
 _CALLS = re.compile(r"@(\w+)")
 # Each given table is one row group, which is one task; the larger ones are spread by key.
-SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id"}
 
 
-def _scan(sf_dir: str, name: str) -> str:
-    hint = f"/*+ REPARTITION({SPREAD[name]}) */ " if name in SPREAD else ""
+def _scan(spark: SparkSession, sf_dir: str, name: str) -> str:
+    tasks = spark.sparkContext.defaultParallelism
+    hint = f"/*+ REPARTITION({tasks}, {SPREAD[name]}) */ " if name in SPREAD else ""
     return f"(SELECT {hint}* FROM parquet.`{sf_dir}/{name}.parquet`)"
 
 
-def spark_sql(name: str, sf_dir: str) -> str:
-    return _CALLS.sub(lambda m: _scan(sf_dir, m[1]), SQL[name].replace("//", "div"))
+def spark_sql(spark: SparkSession, name: str, sf_dir: str) -> str:
+    return _CALLS.sub(lambda m: _scan(spark, sf_dir, m[1]), SQL[name].replace("//", "div"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture on Spark; times are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.sql(spark_sql(name, sf_dir))
+    return spark.sql(spark_sql(spark, name, sf_dir))
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.sql(f"SELECT * FROM {_scan(sf_dir, name)}")
+    return spark.sql(f"SELECT * FROM {_scan(spark, sf_dir, name)}")
 
 
 def duck(name: str) -> str:

@@ -41,8 +41,11 @@ def in_window(ts: Column, from_ms: int | None, to_ms: int | None) -> Column:
 
 def uptime_seconds(days: str, hours: str, mins: str, only_mins: str) -> str:
     """Uptime groups (SQL text) to seconds; either ``H:M`` or minutes alone."""
-    whole_days = f"coalesce(bigint({days}), 0) * 86400"
+
+    def number(group: str) -> str:
+        return f"bigint(try_cast({group} AS int))"
+
     return (
-        f"{whole_days} + coalesce(bigint({only_mins}) * 60,"
-        f" bigint({hours}) * 3600 + bigint({mins}) * 60)"
+        f"coalesce({number(days)}, 0) * 86400 + coalesce({number(only_mins)} * 60,"
+        f" {number(hours)} * 3600 + {number(mins)} * 60)"
     )
