@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from checks import dumps as dm
 from checks import fixtures as fx
 from meshlens.functions.arrays import let
+from meshlens.functions.text import host_of
 from meshlens.operators import extract as ex
 from meshlens.operators import identity, names, sections, upsert, vendors
 from meshlens.operators.predecessor import with_predecessor
@@ -491,6 +492,14 @@ def s6(spark, sf):
     return _vendors(spark, sf).select("bits", "prefix", "vendor")
 
 
+@query(
+    "n7_oui_table",
+    f"""SELECT upper(left(prefix, 2) || ':' || substr(prefix, 3, 2) || ':' || substr(prefix, 5, 2)) AS oui, vendor FROM {_OUI} o""",
+)
+def n7(spark, sf):
+    return vendors.oui_table(_vendors(spark, sf)).select("oui", "vendor")
+
+
 @query(
     "n1_vendor_by_oui",
     f"""SELECT id, mac, vendor AS mac_vendor FROM {fx.duck('host')} h LEFT JOIN {_OUI} o
@@ -711,6 +720,14 @@ def s9(spark, sf):
     return in_ms(rows).select(F.lit("mesh.nic_counter").alias("topic"), "*")
 
 
+@query(
+    "x8_url_host",
+    "SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages",
+)
+def x8(spark, sf):
+    return fx.source(spark, sf, "pages").selectExpr("page_id", f"{host_of('url')} AS host")
+
+
 # Streams -------------------------------------------------------------------------------------
 
 

@@ -68,6 +68,11 @@ def behind(value: str, mark: str) -> str:
     return f"substring({value}, instr({value}, {quoted(mark)}) + 1)"
 
 
+def host_of(url: str) -> str:
+    """Host of a URL in lower case; the empty text when there is none."""
+    return f"coalesce(lower(try_parse_url({url}, 'HOST')), '')"
+
+
 def group(value: str, pattern: str, index: int) -> str:
     """Regex group; NULL when it took no part in the match."""
     return not_empty(f"regexp_extract({value}, {quoted(pattern)}, {index})")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.sources import formats as fmt
-from meshlens.sources.tables import conform, schema
+from meshlens.sources.tables import avro_schema, conform, schema
 
 DEFAULT_PREFIX = "mesh."
 
@@ -42,6 +42,19 @@ def messages(
     )
 
 
+def avro_messages(rows: DataFrame, table: str, prefix: str = DEFAULT_PREFIX) -> DataFrame:
+    """The same with Avro values; needs Spark's Avro package on the cluster."""
+    from pyspark.sql.avro.functions import to_avro
+
+    declared = conform(rows, table)
+    value = to_avro(F.struct(*declared.columns), avro_schema(table))
+    return declared.select(
+        F.lit(topic_of(table, prefix)).alias("topic"),
+        F.col("snapshot_id").alias("key"),
+        value.alias("value"),
+    )
+
+
 def all_messages(
     tables: dict[str, DataFrame], prefix: str = DEFAULT_PREFIX, marked_time: bool = False
 ) -> DataFrame:
