@@ -174,7 +174,7 @@ def expected(table: str) -> str:
     )
 
 
-def _spark(sql: str, i: str | None = None) -> str:
+def _spark(sql: str) -> str:
     """Spark form of a row expression: NULL prints as nothing."""
     return f"coalesce(CAST(({sql}) AS STRING), '')"
 
@@ -326,7 +326,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _as_dump(docs: DataFrame, source_ip: str, text: str) -> DataFrame:
+def as_dump(docs: DataFrame, source_ip: str, text: str) -> DataFrame:
     return docs.selectExpr(
         "'doc' || d AS snapshot_id",
         "timestamp_millis(1781794631000 + d * 600000) AS fetched_at",
@@ -337,14 +337,14 @@ def _as_dump(docs: DataFrame, source_ip: str, text: str) -> DataFrame:
 
 def master_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One complete master dump per document."""
-    return _as_dump(
+    return as_dump(
         documents(spark, sf_dir), "CAST(NULL AS STRING)", f"concat({_dump_sql()}, '\\n{END}')"
     )
 
 
 def satellite_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dump of the second device of every document; with one device alone it is no known node."""
-    return _as_dump(
+    return as_dump(
         documents(spark, sf_dir),
         f"transform(array(1), i -> {IP})[0]",
         f"concat({_dump_sql()}, '\\n{END}')",
@@ -361,7 +361,7 @@ def raw_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
         " ELSE concat(' Page generated on Thu Jun ', lpad(1 + d % 28, 2, '0'), ' 14:58:', lpad(d % 60, 2, '0'), ' UTC 2026') END"
     )
     tail = f"CASE d % 5 WHEN 0 THEN '' WHEN 1 THEN '{END}\\nbehind' ELSE '{END}' END"
-    return _as_dump(
+    return as_dump(
         documents(spark, sf_dir),
         "CAST(NULL AS STRING)",
         f"concat_ws('\\n', text, {clock}, 'page generated on Fri Jan 02 00:00:00 UTC 1970', {tail})",

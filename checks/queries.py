@@ -26,7 +26,6 @@ from meshlens.sources import buffer as buffer_source
 from meshlens.sources import dumps as dump_source
 from meshlens.sources import formats as fmt
 from meshlens.sources import names as name_source
-from meshlens.sources import tables
 from meshlens.sources import vendors as vendor_source
 from meshlens.streaming import capture as stream_capture
 from meshlens.streaming import rates, replay
@@ -268,14 +267,14 @@ def a10(spark, sf):
 
 # Dumps -------------------------------------------------------------------------------------
 
-_RAW = f"""SELECT 'doc' || CAST(doc_id AS VARCHAR(20)) AS snapshot_id, doc_id AS d, text, n_chars FROM documents"""
+_RAW = """SELECT 'doc' || CAST(doc_id AS VARCHAR(20)) AS snapshot_id, doc_id AS d, text, n_chars FROM documents"""
 
 
 @query("s1_landed_dumps", "SELECT 'doc' || CAST(doc_id AS VARCHAR(20)) AS snapshot_id, epoch_ms(make_timestamp((1781794631 + doc_id * 600) * 1000000)) AS fetched_at, CAST(NULL AS VARCHAR) AS source_ip, text FROM documents")
 def s1(spark, sf):
     docs = dm.documents(spark, sf)
     root = lake.shared_folder(spark, "landed")
-    dump_source.land_dumps(dm._as_dump(docs, "CAST(NULL AS STRING)", "text"), root)
+    dump_source.land_dumps(dm.as_dump(docs, "CAST(NULL AS STRING)", "text"), root)
     read = dump_source.read_dumps(spark, root)
     # The writer ends every file with a line break of its own.
     return in_ms(read.withColumn("text", F.expr("substring(text, 1, length(text) - 1)")))
@@ -432,7 +431,7 @@ def _mesh(spark, sf) -> DataFrame:
 
 
 _TAGS = "source_node_mac, source_node_name, source_node_ip, source_role"
-_MASTER_ROW = f"SELECT doc_id AS d, n_chars AS n, lang, source, 0 AS i FROM documents"
+_MASTER_ROW = "SELECT doc_id AS d, n_chars AS n, lang, source, 0 AS i FROM documents"
 
 
 @query(

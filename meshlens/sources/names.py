@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: the shape of the payload.
-PAYLOAD = (
-    "result string, output struct<devices:array<struct<deviceID:string,friendlyName:string,"
-    "knownInterfaces:array<struct<macAddress:string>>>>>"
-)
+from meshlens.functions.arrays import let
+
+# The shape of the payload. Lists are read as raw JSON first, so that an element
+# of another shape spoils only itself.
+PAYLOAD = "result string, output struct<devices:array<string>>"
+DEVICE = "deviceID string, friendlyName string, knownInterfaces array<string>"
+ACCEPTED = "OK"
 
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
-    """``(snapshot_id, payload)`` to ``(snapshot_id, devices)``; only accepted answers."""
+    """``(snapshot_id, payload)`` to ``(snapshot_id, devices)``; only accepted answers.
+
+    A device is ``(id, name, macs)``, NULL where an entry is no object.
+    """
     parsed = payloads.select("snapshot_id", F.from_json("payload", PAYLOAD).alias("p"))
-    return parsed.where("p.result = 'OK'").select(
-        "snapshot_id", F.col("p.output.devices").alias("devices")
+    device = let(
+        f"from_json(d, '{DEVICE}')",
+        lambda v: (
+            f"named_struct('id', {v}.deviceID, 'name', {v}.friendlyName, 'macs',"
+            f" transform({v}.knownInterfaces, i -> get_json_object(i, '$.macAddress')))"
+        ),
+    )
+    return parsed.where(F.col("p.result") == ACCEPTED).select(
+        "snapshot_id", F.expr(f"transform(p.output.devices, d -> {device})").alias("devices")
     )
 
 

@@ -25,7 +25,7 @@ def parse_vendor_lines(lines: DataFrame) -> DataFrame:
     named = cells.select(
         "line_no",
         F.expr(f"substring_index({strip('cell[0]')}, '/', 1)").alias("address"),
-        F.expr(f"contains(cell[0], '/')").alias("masked"),
+        F.expr("contains(cell[0], '/')").alias("masked"),
         F.expr(
             to_int(f"substring({strip('cell[0]')}, instr({strip('cell[0]')}, '/') + 1)")
         ).alias("mask"),
