@@ -10,10 +10,12 @@ columns, because all figures travel as one array.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshlens.functions.measures import in_window
+
 CHUNK_MS = 24 * 3_600_000
 
 
@@ -93,22 +95,32 @@ def clip_history(
     from_ms: int | None,
     to_ms: int | None,
     t_ms: str = "t_ms",
+    *,
+    at: str | None = None,
     lookback_ms: int | None = None,
 ) -> DataFrame:
     """Rows of a closed time window plus, per entity, the last figures before it.
 
     Exact: the history before ``from_ms`` shrinks to one row per entity by a map-side
     aggregate instead of being shuffled and sorted. ``lookback_ms`` bounds how far back that
-    search reads, for callers who know that no series pauses longer.
+    search reads, for callers who know that no series pauses longer. ``at`` names the stored
+    timestamp behind ``t_ms``; bounds on it prune the scan.
     """
-    if to_ms is not None:
-        rows = rows.where(F.col(t_ms) <= to_ms)
+
+    def within(low: int | None, high: int | None) -> Column:
+        if at is not None:
+            return in_window(F.col(at), low, high)
+        test = F.lit(True)
+        if low is not None:
+            test = test & (F.col(t_ms) >= low)
+        return test if high is None else test & (F.col(t_ms) <= high)
+
     if from_ms is None:
-        return rows
-    history = rows.where(F.col(t_ms) < from_ms)
-    if lookback_ms is not None:
-        history = history.where(F.col(t_ms) >= from_ms - lookback_ms)
-    last = history.groupBy(*entity).agg(
-        *(F.max_by(c, t_ms).alias(c) for c in figures), F.max(t_ms).alias(t_ms)
+        return rows if to_ms is None else rows.where(within(None, to_ms))
+    oldest = None if lookback_ms is None else from_ms - lookback_ms
+    last = (
+        rows.where(within(oldest, from_ms - 1))
+        .groupBy(*entity)
+        .agg(*(F.max_by(c, t_ms).alias(c) for c in figures), F.max(t_ms).alias(t_ms))
     )
-    return rows.where(F.col(t_ms) >= from_ms).unionByName(last, allowMissingColumns=True)
+    return rows.where(within(from_ms, to_ms)).unionByName(last, allowMissingColumns=True)

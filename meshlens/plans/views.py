@@ -57,10 +57,16 @@ ALL = Span()
 def _linked(rows: DataFrame, entity: list[str], figures: list[str], span: Span) -> DataFrame:
     if span.exact_duplicates:
         # Copies at the window's edge matter, so the history stays whole.
-        rows = rows if span.to_ms is None else rows.where(F.col("t_ms") <= span.to_ms)
+        rows = rows.where(in_window(F.col("fetched_at"), None, span.to_ms))
     else:
         rows = clip_history(
-            rows, entity, figures, span.from_ms, span.to_ms, lookback_ms=span.lookback_ms
+            rows,
+            entity,
+            figures,
+            span.from_ms,
+            span.to_ms,
+            at="fetched_at",
+            lookback_ms=span.lookback_ms,
         )
     linked = with_predecessor(
         rows,

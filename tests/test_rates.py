@@ -173,3 +173,15 @@ def test_window_reaches_the_scan(spark, tmp_path):
     table = table.selectExpr("fetched_at", "'inet' AS family", "intf AS iface", "id AS mac", "'STALE' AS state")
     plan = panels.q5_live_hosts(table, 0, 10)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(fetched_at" in plan and "LessThan(fetched_at" in plan
+
+
+def test_rate_window_reaches_both_scans(spark, tmp_path):
+    nic(spark, [(m, "eth0", m, m) for m in range(5)]).write.parquet(str(tmp_path / "n"))
+    table = spark.read.parquet(str(tmp_path / "n"))
+    low = int(at(2).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    got = panels.q16_nic_rates(table, low, low + 60_000, lookback_ms=120_000)
+    assert [r.time for r in got.collect()] == [at(2), at(3)]
+    plan = panels.q16_nic_rates(table, low, low + 60_000)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("LessThan(fetched_at" in line for line in scans)
+    assert any("GreaterThanOrEqual(fetched_at" in line for line in scans)
