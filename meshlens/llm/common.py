@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,8 @@ WORD_BYTES = bytes(
 )
 #: ASCII letters lowered; white space alone divides words.
 LOWER_BYTES = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
+#: Rows of a batch that are Python objects at one time.
+ROWS = 256
 
 
 def words(text: str | None) -> list[bytes]:
@@ -51,6 +55,23 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="meshlens-llm-")
 
 
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId not in _SENT:
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="meshlens-py-")) / "meshlens.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for file in sorted(top.rglob("*.py")):
+                out.write(file, file.relative_to(top.parent))
+        context.addPyFile(str(path))
+        _SENT.add(context.applicationId)
+    return spark
+
+
 def add_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -67,16 +88,17 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = compute(batch)
-            arrays = [batch.column(f.name) for f in kept] + made
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                arrays = [part.column(f.name) for f in kept] + compute(part)
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 
 
-def unnamed(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without columns of these names."""
-    return df.drop(*(n for n in names if n in df.columns))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def bucket(column: str, n: int) -> Column:

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import bpe, decontam
+from meshlens.llm import bpe, decontam, jaccard, langid, licenses, lzprint, pages, pii, toxicity
+from meshlens.llm.common import bucket, send_package
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The registered query's secret; a real run takes its own from a safe place.
+KEY = "registered query"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return send_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary() -> tuple[str, str]:
@@ -86,3 +89,117 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("leak_items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+_PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+_NOTICES = ", ".join(f"('{label}', '(^| ){licenses.as_regex(t)}')" for label, t in licenses.TEMPLATES)
+
+
+@query(
+    "op8_licenses",
+    rf"""
+    WITH phrase(phrase, label) AS (VALUES {_PHRASES}), notice(label, rx) AS (VALUES {_NOTICES}),
+    doc AS (SELECT doc_id, w, array_to_string(w, ' ') || ' ' AS joined
+      FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+    place AS (SELECT doc_id, label, i FROM (SELECT doc_id, label, phrase, w,
+        len(string_split(phrase, ' ')) AS n, unnest(range(1, len(w) + 1)) AS i
+        FROM doc, phrase WHERE contains(joined, phrase))
+      WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
+    base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word
+      FROM place GROUP BY 1),
+    found AS (SELECT doc_id, label, false AS own FROM place
+      UNION SELECT doc_id, label, true FROM doc, notice WHERE regexp_matches(joined, rx)),
+    named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (NOT own) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS labels, bool_or(own) AS own
+      FROM found GROUP BY 1)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+      CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+      coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+      CASE WHEN own THEN 1e0 WHEN labels IS NOT NULL THEN 5e-1 ELSE 0e0 END AS score
+    FROM doc LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id)""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min("base_places").alias("first_word"),
+        F.array_max("base_places").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base_labels", "notices")), ",").alias("labels"),
+        F.when(F.size("notices") > 0, 1.0).when(F.size("base_labels") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+@query("op5_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(bucket("doc_id", 3) != 1).select("text", "lang"))
+    held_out = F.coalesce(bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return langid.predict(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"])
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(bucket("doc_id", 5) != 0).select("doc_id", "toxic"))
+    held_out = F.coalesce(bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs.select("doc_id", held_out, "text"), model, keep=["doc_id", "held_out"])
+
+
+@query("op4_lz_fingerprint")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lzprint.fingerprints(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+@query("op7_main_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pages.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return made.withColumn("n_chars", F.length("text").cast("long"))
+
+
+_PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op10_jaccard_join",
+    rf"""
+    WITH RECURSIVE doc AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+    gram AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY 1),
+    pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+      FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+      WHERE 100 * pair.n >= 80 * (x.n + y.n - pair.n)),
+    reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+    top AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY 1)
+    SELECT doc.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles,
+      least(doc.doc_id, coalesce(top.b, doc.doc_id)) AS component_id
+    FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN top USING (doc_id)""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query("op3_surrogates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pii.pseudonymise(docs, KEY, found="kinds")
+    return made.select(
+        "doc_id",
+        "text",
+        F.size("kinds").cast("long").alias("n_entities"),
+        F.array_join("kinds", ",").alias("kinds"),
+    )
