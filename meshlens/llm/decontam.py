@@ -264,7 +264,8 @@ def remove_leaks(
     Other text stays as it is, byte for byte; ``n_chars`` (where there is such a column) is
     counted anew for documents that lost text. The result has the columns of ``docs``.
     """
-    found = find_leaks(docs, items, text, **how)
+    aside = {f.name: f"__own_{f.name}" for f in FIELDS if f.name in docs.columns}
+    found = find_leaks(docs.withColumnsRenamed(aside), items, text, **how)
     few = found.where(hit_words() < F.lit(coverage) * F.greatest("n_words", F.lit(1)))
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -277,7 +278,7 @@ def remove_leaks(
     if n_chars in docs.columns:
         count = F.length("__cut").cast(docs.schema[n_chars].dataType)
         changed[n_chars] = F.when(leaked, count).otherwise(F.col(n_chars))
-    return made.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return made.select(*(changed.get(c, F.col(aside.get(c, c))).alias(c) for c in docs.columns))
 
 
 def without(text: str, spans: list[int]) -> str:

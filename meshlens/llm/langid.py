@@ -34,7 +34,6 @@ EPOCHS = 3
 UNKNOWN = "und"
 #: Code points counted at a time.
 PART = 1 << 18
-FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
 @functools.lru_cache(maxsize=1)
@@ -190,8 +189,15 @@ def _temperature(kept: DataFrame, model: Model) -> float:
     return float(steps[min(sums, key=lambda k: (sums[k], k))]) if any(sums.values()) else 1.0
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score``, its calibrated probability."""
+def predict(
+    docs: DataFrame,
+    model: Model,
+    text: str = "text",
+    keep: list[str] | None = None,
+    lang: str = "lang_pred",
+    score: str = "score",
+) -> DataFrame:
+    """Add the predicted language and its calibrated probability."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -203,4 +209,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             scores.append(0.0 if p is None else min(1.0, float(p.max())))
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    return add_columns(docs, FIELDS, run, keep)
+    fields = [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]
+    return add_columns(docs, fields, run, keep)
