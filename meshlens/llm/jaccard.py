@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.llm.common import plain_words, stored
@@ -32,6 +32,10 @@ from meshlens.llm.common import plain_words, stored
 SIZE = 5
 #: Similarity in hundredths.
 SAME = 80
+#: Hundredths of a set that a linked one shares among its first shingles.
+SPARE = 5
+#: Bits, as a power of two, of the bitmap that rules out shingles of one class.
+MOST_BITS = 28
 #: Counters that find common shingles, whatever the size of the input.
 COUNTERS = 1 << 20
 SLICES = 64
@@ -113,11 +117,16 @@ def class_of(tokens: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def least(n: Column | int):
+def least(n: int) -> int:
     """The smallest overlap of a set of ``n`` with any set it links to."""
     return (n * SAME + 99) // 100
 
 
+def first_of(n: int) -> int:
+    """So many first shingles that linked sets share ``SPARE`` hundredths of the smaller one there."""
+    return n - least(n) + (n * SPARE + 99) // 100
+
+
 def documents(docs: DataFrame, doc_id: str, text: str, size: int, sent) -> DataFrame:
     """A row per document: id, class, number of shingles; and its first ones, once per task."""
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, k1 long, k2 long, n long, first array<long>"
@@ -132,7 +141,7 @@ def documents(docs: DataFrame, doc_id: str, text: str, size: int, sent) -> DataF
                 first = []
                 if n and key not in seen:
                     seen.add(key)
-                    first = ordered(tokens, sent.value)[: n - least(n) + (n * 5 + 99) // 100].view(np.int64)
+                    first = ordered(tokens, sent.value)[: first_of(n)].view(np.int64)
                 rows.append((*key, n, first))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
@@ -144,19 +153,56 @@ def documents(docs: DataFrame, doc_id: str, text: str, size: int, sent) -> DataF
 
 def alike(found: DataFrame) -> DataFrame:
     """Classes that share enough of their first shingles with others to have a link."""
-    first = found.select("k1", "k2", "n", F.explode("first").alias("token"))
+    first = found.select("k1", F.explode("first").alias("token"))
     shared = first.groupBy("token").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low != high")
+    shared = stored(shared.select("token"), "jaccard-shared")
     # a class may stand there once for each task that met it: count each shingle once
-    counted = (
-        first.join(shared.select("token"), "token", "left_semi")
-        .groupBy("k1", "k2", "n")
-        .agg(F.count_distinct("token").alias("shared"))
-    )
-    return counted.where("shared * 100 >= n * 4").select("k1", "k2", "n")
+    few = likely(found, shared).join(shared, "token", "left_semi").distinct()
+    counted = few.groupBy("k1", "k2", "n").agg(F.count("*").alias("shared"))
+    return counted.where(f"shared * 100 >= n * {SPARE * SAME // 100}").select("k1", "k2", "n")
+
+
+def likely(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """``k1, k2, n, token`` of the first shingles that a bitmap of bounded size doesn't rule out."""
+    bits = min(MOST_BITS, max(16, (16 * shared.count()).bit_length()))
+    slices = 1 << 6
+    shift = np.uint64(64 - bits)
+
+    def marked(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((1 << bits) // slices, bool)
+        for batch in batches:
+            at = batch.column("token").to_numpy(zero_copy_only=False).view(np.uint64) >> shift
+            own[(at & np.uint64(len(own) - 1)).astype(np.int64)] = True
+        arrays = [pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["slice", "bits"])
+
+    slice_of = F.shiftrightunsigned("token", 64 - 6).alias("slice")
+    rows = shared.select("token", slice_of).groupBy("slice").applyInArrow(marked, "slice long, bits binary")
+    bitmap = np.zeros((1 << bits) // 8, np.uint8)
+    size = len(bitmap) // slices
+    for r in rows.toLocalIterator():  # 2 ** MOST_BITS bits in all
+        bitmap[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    sent = found.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column("first")
+            tokens = first.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), first.value_lengths().to_numpy(zero_copy_only=False))
+            at = (tokens.view(np.uint64) >> shift).astype(np.int64)
+            keep = (sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            rows = pa.array(row[keep])
+            arrays = [batch.column(c).take(rows) for c in ("k1", "k2", "n")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(tokens[keep])], names=["k1", "k2", "n", "token"])
+
+    return found.select("k1", "k2", "n", "first").mapInArrow(run, "k1 long, k2 long, n long, token long")
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, size: int, sent, found: DataFrame, few: DataFrame) -> DataFrame:
-    """Whole sets of the classes in ``few``: ``key, n, tokens`` in the global order."""
+    """Whole sets of the classes in ``few``: ``key, k1, k2, n, tokens`` in the global order.
+
+    Keys are numbers given as the table is written, and so fixed from then on.
+    """
     ids = found.where("n > 0").join(few, ["k1", "k2", "n"]).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     ids = stored(ids, "jaccard-ids")
     if ids.count() <= SENT_IDS:
@@ -170,38 +216,31 @@ def sets(docs: DataFrame, doc_id: str, text: str, size: int, sent, found: DataFr
             for k1, k2, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = shingles(t, size)
                 if class_of(tokens) == (k1, k2):  # rows that repeat an id may have other texts
-                    rows.append((name(k1, k2), len(tokens), ordered(tokens, sent.value).tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            arrays = [pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "tokens"])
-
-    made = texts.mapInArrow(run, "key string, n long, tokens binary")
-    return stored(made.dropDuplicates(["key"]), "jaccard-sets")
-
-
-def name(k1: int, k2: int) -> str:
-    return f"{k1 & (1 << 64) - 1:016x}{k2 & (1 << 64) - 1:016x}"
-
+                    rows.append((k1, k2, len(tokens), ordered(tokens, sent.value).tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "n", "tokens"])
 
-def name_of(k1: str = "k1", k2: str = "k2") -> Column:
-    return F.lower(F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0")))
+    made = texts.mapInArrow(run, "k1 long, k2 long, n long, tokens binary").dropDuplicates(["k1", "k2"])
+    return stored(made.withColumn("key", F.monotonically_increasing_id()), "jaccard-sets")
 
 
 def postings(whole: DataFrame) -> DataFrame:
-    """``token, key, n`` for the first shingles of each set, as many as one link needs."""
+    """``token, key`` for the first shingles of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first = np.frombuffer(tokens, np.int64)[: n - least(n) + 1]
-                arrays = [pa.array(first), pa.array([key] * len(first)), pa.array([n] * len(first), pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["token", "key", "n"])
+                first = np.frombuffer(tokens, np.int64)[: first_of(n)]
+                arrays = [pa.array(first), pa.array(np.full(len(first), key, np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "key"])
 
-    return whole.select("key", "n", "tokens").mapInArrow(run, "token long, key string, n long")
+    return whole.select("key", "n", "tokens").mapInArrow(run, "token long, key long")
 
 
-def overlap_links(query: np.ndarray, others: list[tuple[str, np.ndarray]]) -> list[str]:
-    """Names of the sets that link with ``query``, by one walk over the prefix tree of ``others``.
+def overlap_links(query: np.ndarray, others: list[tuple[int, np.ndarray]]) -> list[int]:
+    """Keys of the sets that link with ``query``, by one walk over the prefix tree of ``others``.
 
     Sets are in the global order. Sorted by it, each shares the path of its predecessor up to their
     common prefix; ``counted`` holds the overlap with ``query`` along that path.
@@ -248,7 +287,7 @@ def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     dealt = pairs.join(size, "hub").withColumn("block", F.pmod(salt, F.col("blocks")).cast("int"))
     hubs = dealt.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("key"))
     members = dealt.select("hub", "block", "key").unionByName(hubs)
-    rows = members.join(whole, "key").select("hub", "block", "key", "tokens")
+    rows = members.join(whole.select("key", "tokens"), "key")
 
     def compare(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = group[0].as_py()
@@ -260,10 +299,10 @@ def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
                 else:
                     others.append((key, np.frombuffer(tokens, np.uint64)))
         found = overlap_links(query, others) if query is not None and others else []
-        arrays = [pa.array([hub] * len(found), pa.string()), pa.array(found, pa.string())]
+        arrays = [pa.array([hub] * len(found), pa.int64()), pa.array(found, pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
 
-    return rows.groupBy("hub", "block").applyInArrow(compare, "a string, b string")
+    return rows.groupBy("hub", "block").applyInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -285,42 +324,45 @@ def components(links: DataFrame) -> DataFrame:
         roots = after.select("key", "root")
 
 
-def linked_groups(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All groups of linked classes (``key, root``; ungrouped classes are left out), and the links found."""
+def linked_groups(whole: DataFrame) -> DataFrame:
+    """All groups of linked classes: ``key, root``. Classes without a link are left out."""
     spark = whole.sparkSession
-    first = postings(whole)
-    several = first.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    first = stored(first.join(several.select("token"), "token", "left_semi"), "jaccard-postings")
-    links = spark.createDataFrame([], "a string, b string")
-    checked = spark.createDataFrame([], "hub string, key string")
-    groups = None
+    classes = whole.select("key", "n")
+    open_rows = postings(whole).withColumn("root", F.col("key"))
+    links = spark.createDataFrame([], "a long, b long")
+    checked = spark.createDataFrame([], "low long, high long")
+    groups = spark.createDataFrame([], "key long, root long")
     for turn in range(STARS + 1):
-        rows = first.withColumn("root", F.col("key"))
-        if groups is not None:
-            rows = first.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        # shingles that classes of several groups share; the others are done
+        tokens = open_rows.groupBy("token").agg(
+            F.min("key").alias("hub0"), F.max("key").alias("hub1"), F.min("root").alias("r0"), F.max("root").alias("r1")
+        )
+        tokens = tokens.where("r0 != r1").select("token", F.col(f"hub{turn % 2}").alias("hub"))
+        rows = stored(open_rows.join(tokens, "token"), "jaccard-open")
         if turn < STARS:
-            rank = F.struct(F.xxhash64("key", F.lit(turn)).alias("rank"), F.col("key").alias("key"), F.col("root").alias("root"), F.col("n").alias("n"))
-            open_tokens = rows.groupBy("token").agg(F.min(rank).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
-            open_tokens = open_tokens.where("low != high").select("token", "hub")
-            pairs = rows.join(open_tokens, "token").where("root != hub.root").select(F.col("hub.key").alias("hub"), "key", F.col("hub.n").alias("m"), "n")
+            met = rows.where("key != hub").select("hub", "key")
         else:
-            other = rows.select("token", F.col("key").alias("hub"), F.col("root").alias("top"), F.col("n").alias("m"))
-            pairs = other.join(rows, "token").where("hub < key AND top != root").select("hub", "key", "m", "n")
-        pairs = pairs.where(f"least(m, n) * 100 >= greatest(m, n) * {SAME}")
-        pairs = pairs.select(F.least("hub", "key").alias("low"), F.greatest("hub", "key").alias("high"), "hub", "key")
-        known = checked.select(F.least("hub", "key").alias("low"), F.greatest("hub", "key").alias("high"))
-        pairs = pairs.dropDuplicates(["low", "high"]).join(known, ["low", "high"], "left_anti").select("hub", "key")
-        pairs = stored(pairs, "jaccard-pairs")
-        if pairs.isEmpty():
-            if turn < STARS:
-                continue
-            break
-        found = stored(verified(pairs, whole), "jaccard-links")
-        checked = checked.union(pairs)
-        links = links.union(found)
-        if not found.isEmpty():
-            groups = components(links)
-    return (groups if groups is not None else spark.createDataFrame([], "key string, root string")), links
+            other = rows.select("token", F.col("key").alias("hub"), F.col("root").alias("top"))
+            met = other.join(rows.select("token", "key", "root"), "token").where("hub < key AND root != top").select("hub", "key")
+        pairs = stored(promising(met, classes, groups).join(checked, ["low", "high"], "left_anti"), "jaccard-pairs")
+        if not pairs.isEmpty():
+            checked = checked.union(pairs.select("low", "high"))
+            found = stored(verified(pairs.select("hub", "key"), whole), "jaccard-links")
+            links = links.union(found)
+            if not found.isEmpty():
+                groups = components(links)
+        open_rows = rows.select("token", "key").join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return groups
+
+
+def promising(met: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of different groups whose sizes and number of shared first shingles allow a link."""
+    counted = met.groupBy("hub", "key").agg(F.count("*").alias("shared"))
+    info = classes.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    both = counted.join(info, "key").join(info.toDF("hub", "m", "top"), "hub")
+    enough = f"shared * 100 >= least(m, n) * {SPARE} AND least(m, n) * 100 >= greatest(m, n) * {SAME} AND root != top"
+    ends = [F.least("hub", "key").alias("low"), F.greatest("hub", "key").alias("high")]
+    return both.where(enough).select("hub", "key", *ends).dropDuplicates(["low", "high"])
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -330,12 +372,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     found = stored(documents(docs, doc_id, text, size, sent), "jaccard-documents")
     few = stored(alike(found), "jaccard-classes")
     whole = sets(docs, doc_id, text, size, sent, found, few)
-    groups, _ = linked_groups(whole)
+    groups = linked_groups(whole).join(whole.select("key", "k1", "k2"), "key").select("k1", "k2", F.col("root"))
     named = found.where("n > 0").select("doc_id", "k1", "k2")
-    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")).withColumn("key", name_of())
-    rooted = classes.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    tops = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = rooted.join(tops, "root").select("k1", "k2", "component_id")
+    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
+    grouped = classes.join(groups, ["k1", "k2"])
+    alone = classes.join(groups, ["k1", "k2"], "left_anti").select("k1", "k2", F.col("id").alias("component_id"))
+    tops = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
+    of_class = grouped.join(tops, "root").select("k1", "k2", "component_id").unionByName(alone)
     full = found.where("n > 0").join(of_class, ["k1", "k2"])
     bare = found.where("n = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
