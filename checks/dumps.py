@@ -19,18 +19,18 @@ def _text(number: str) -> str:
     return f"CAST({number} AS VARCHAR(20))"
 
 
-NODE_MAC = f"'C4:41:1E:' || {HEX2.format('d % 251')} || ':00:' || {HEX2.format('i')}"
+NODE_MAC = f"'5E:70:2B:' || {HEX2.format('d % 251')} || ':00:' || {HEX2.format('i')}"
 UUID = "lpad(hex(d), 8, '0') || '-0000-0000-0000-' || lpad(hex(i), 12, '0')"
-IP = f"'10.13.' || {_text('d % 250')} || '.' || {_text('i + 1')}"
+IP = f"'10.77.' || {_text('d % 250')} || '.' || {_text('i + 1')}"
 FW = f"'1.0.' || {_text('n')}"
 ROLE = "CASE WHEN i = 0 THEN 'master' WHEN i < 3 THEN 'slave' ELSE 'client' END"
 DEVICE_IP = f"CASE WHEN i > 2 AND (d + i) % 3 = 0 THEN NULL ELSE {IP} END"
 NAME = (
-    "CASE WHEN (d + i) % 5 = 0 THEN NULL WHEN (d + i) % 5 = 1 THEN 'Cafâ€™s ' || lang || '..'"
+    "CASE WHEN (d + i) % 5 = 0 THEN NULL WHEN (d + i) % 5 = 1 THEN 'Orlaâ€™s ' || lang || '..'"
     " ELSE lang || '-' || source END"
 )
 DEVICE_FW = f"CASE WHEN i % 3 = 2 THEN NULL ELSE {FW} END"
-EXTRA = [f"'ca:41:00:' || {HEX2.format('d % 256')} || ':0{k}:' || {HEX2.format('i')}" for k in (1, 2)]
+EXTRA = [f"'62:9d:00:' || {HEX2.format('d % 256')} || ':0{k}:' || {HEX2.format('i')}" for k in (1, 2)]
 HAS_INFO = "i < 3 AND (d + i) % 4 != 3"
 SPEED = f"{_text('d % 1000')} || '.25'"
 RSSI = "CASE WHEN (d + i) % 7 = 0 THEN NULL ELSE CAST(-30 - (d + i) % 60 AS INTEGER) END"
@@ -53,24 +53,24 @@ ROWS: dict[str, dict[str, str]] = {
         ),
     },
     "wlan_client": {
-        "client_mac": f"'20:3d:bd:' || lower({HEX2.format('d % 256')}) || ':00:0' || {_text('i')}",
+        "client_mac": f"'b4:6f:02:' || lower({HEX2.format('d % 256')}) || ':00:0' || {_text('i')}",
         "stat": "CASE WHEN i % 2 = 0 THEN 'up' ELSE 'idle' END",
         "net": "'br' || " + _text("i % 3"),
         "node": "lpad(hex(d * 7 + i), 12, '0')",
         "mcs": f"CASE WHEN (d + i) % 3 = 0 THEN 'RSN' ELSE {_text('(d + i) % 300')} END",
         "rssi": RSSI,
-        "last_seen": f"'2026-06-' || {_text('10 + d % 20')} || 'T00:29:24Z'",
+        "last_seen": f"'2032-02-' || {_text('10 + d % 20')} || 'T21:14:05Z'",
     },
     "backhaul": {
         "node_mac": "lpad(hex(d * 16 + i), 12, '0')",
         "node_ip": IP,
-        "parent_ip": f"CASE WHEN i % 2 = 1 THEN NULL ELSE '10.13.' || {_text('d % 250')} || '.1' END",
+        "parent_ip": f"CASE WHEN i % 2 = 1 THEN NULL ELSE '10.77.' || {_text('d % 250')} || '.1' END",
         "intf": "CASE WHEN i % 2 = 0 THEN 'eth1' ELSE '5GL' END",
         "chan": f"CASE WHEN i % 2 = 0 THEN 'wired' ELSE {_text('36 + i')} END",
         "rssi": f"CASE WHEN i % 2 = 0 THEN NULL ELSE {_text('-40 - d % 40')} END",
         "speed": f"CASE WHEN (d + i) % 6 = 0 THEN NULL ELSE CAST({SPEED} AS DOUBLE) END",
         "state": "CASE WHEN d % 2 = 0 THEN 'up' ELSE 'down' END",
-        "timestamp": "CAST(1781794631 + d AS BIGINT)",
+        "timestamp": "CAST(1959822461 + d AS BIGINT)",
     },
     "node": {
         "uuid": UUID,
@@ -106,7 +106,7 @@ ROWS: dict[str, dict[str, str]] = {
     },
     "nic_counter": {
         "intf": "CASE WHEN i = 0 THEN 'br0' ELSE 'eth' || " + _text("i - 1") + " END",
-        "rx_bytes": "CAST(d * 36301150454 + i AS BIGINT)",
+        "rx_bytes": "CAST(d * 70214883391 + i AS BIGINT)",
         "tx_bytes": "CAST(n * 1000 + i AS BIGINT)",
     },
     "ip_neighbor": {
@@ -148,9 +148,9 @@ ROWS: dict[str, dict[str, str]] = {
         "load_1": f"CAST('1.' || {_text('10 + d % 90')} AS DOUBLE)",
         "load_5": f"CAST('2.' || {_text('10 + d % 80')} AS DOUBLE)",
         "load_15": f"CAST('3.' || {_text('10 + d % 70')} AS DOUBLE)",
-        "mem_total": "CAST(424156 + d AS BIGINT)",
-        "mem_used": "CAST(274348 + d AS BIGINT)",
-        "mem_free": "CAST(149808 + n AS BIGINT)",
+        "mem_total": "CAST(903552 + d AS BIGINT)",
+        "mem_used": "CAST(511004 + d AS BIGINT)",
+        "mem_free": "CAST(392548 + n AS BIGINT)",
         "mem_shared": "CAST(d AS BIGINT)",
         "mem_buffers": "CAST(n AS BIGINT)",
         "mem_cached": "CAST(n + d AS BIGINT)",
@@ -203,7 +203,7 @@ def _dump_sql() -> str:
     def say(text: str) -> None:
         put("'" + text.replace("'", "\\'") + "'")
 
-    say("page generated on Thu Jun 18 14:58:22 UTC 2026")
+    say("page generated on Mon Feb 09 03:07:41 UTC 2032")
     put("text")
     say("\\nshow_devices:\\nno rule follows this look-alike\\n\\n\\n\\n")
     header, rule, row = _fixed("device", [38, 19, 17, 6, 6, 24, 20, 8])
@@ -329,7 +329,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_dump(docs: DataFrame, source_ip: str, text: str) -> DataFrame:
     return docs.selectExpr(
         "'doc' || d AS snapshot_id",
-        "timestamp_millis(1781794631000 + d * 600000) AS fetched_at",
+        "timestamp_millis(1959822461000 + d * 600000) AS fetched_at",
         f"{source_ip} AS source_ip",
         f"{text} AS text",
     )
@@ -357,8 +357,8 @@ def raw_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     The clock line is missing, unreadable or good in turn.
     """
     clock = (
-        "CASE d % 4 WHEN 0 THEN 'no clock' WHEN 1 THEN 'page generated on Thursday'"
-        " ELSE concat(' Page generated on Thu Jun ', lpad(1 + d % 28, 2, '0'), ' 14:58:', lpad(d % 60, 2, '0'), ' UTC 2026') END"
+        "CASE d % 4 WHEN 0 THEN 'no clock' WHEN 1 THEN 'page generated on Monday'"
+        " ELSE concat(' Page generated on Mon Feb ', lpad(1 + d % 28, 2, '0'), ' 03:07:', lpad(d % 60, 2, '0'), ' UTC 2032') END"
     )
     tail = f"CASE d % 5 WHEN 0 THEN '' WHEN 1 THEN '{END}\\nbehind' ELSE '{END}' END"
     return as_dump(

@@ -29,7 +29,7 @@ SELECT 'r' || CAST(eid AS VARCHAR(20)) AS id,
   's' || CAST(fetched_at AS VARCHAR(30)) AS snapshot_id, fetched_at,
   'wifi' || CAST(user_id AS VARCHAR(20)) AS radio,
   CASE user_id % 4 WHEN 0 THEN '2.4G' WHEN 1 THEN '5G low' WHEN 2 THEN '5G high' ELSE NULL END AS band,
-  CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'C4:41:1E:00:00:0' || CAST(user_id % 5 AS VARCHAR(1)) END AS source_node_mac,
+  CASE WHEN user_id % 5 = 0 THEN NULL ELSE '5E:70:2B:00:00:0' || CAST(user_id % 5 AS VARCHAR(1)) END AS source_node_mac,
   CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'node-' || CAST(user_id % 5 AS VARCHAR(1)) END AS source_node_name,
   '{"tx_data_bytes": ' || CASE WHEN eid % 53 = 0 THEN '"<DISABLED>"' ELSE CAST(tx_b AS VARCHAR(30)) END
     || ', "rx_data_bytes": ' || CAST(rx_b AS VARCHAR(30))
@@ -61,7 +61,7 @@ FROM @events""",
     "ip_neighbor": """
 SELECT 'i' || CAST(event_id AS VARCHAR(20)) AS id, 's' || CAST(date_trunc('day', ts) AS VARCHAR(30)) AS snapshot_id,
   date_trunc('day', ts) AS fetched_at,
-  CASE WHEN event_id % 5 < 3 THEN '10.13.' || CAST(user_id // 250 AS VARCHAR(5)) || '.' || CAST(user_id % 250 AS VARCHAR(5)) ELSE 'fe80::' || CAST(user_id AS VARCHAR(10)) END AS ip,
+  CASE WHEN event_id % 5 < 3 THEN '10.77.' || CAST(user_id // 250 AS VARCHAR(5)) || '.' || CAST(user_id % 250 AS VARCHAR(5)) ELSE 'fe80::' || CAST(user_id AS VARCHAR(10)) END AS ip,
   CASE WHEN event_id % 5 < 3 THEN 'inet' ELSE 'inet6' END AS family,
   CASE event_id % 7 WHEN 0 THEN 'br0' WHEN 1 THEN 'br1' WHEN 2 THEN 'br2' WHEN 3 THEN 'eth0' WHEN 4 THEN 'eth1' WHEN 5 THEN 'eth9' ELSE NULL END AS iface,
   CASE WHEN event_type = 'error' THEN NULL ELSE 'd8:ec:5e:00:' || lpad(CAST(user_id // 100 AS VARCHAR(4)), 2, '0') || ':' || lpad(CAST(user_id % 100 AS VARCHAR(4)), 2, '0') END AS mac,
@@ -74,7 +74,7 @@ SELECT 'd' || CAST(o_orderkey AS VARCHAR(20)) AS id, 's' || CAST(date_trunc('mon
   date_trunc('month', o_orderdate) AS fetched_at, 'U-' || CAST(o_custkey AS VARCHAR(20)) AS uuid,
   upper('aa:bb:' || CAST(o_custkey AS VARCHAR(20))) AS mac,
   CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE 'Vendor ' || CAST(o_custkey % 6 AS VARCHAR(4)) END AS mac_vendor,
-  '10.13.0.' || CAST(o_custkey % 250 AS VARCHAR(4)) AS ip,
+  '10.77.0.' || CAST(o_custkey % 250 AS VARCHAR(4)) AS ip,
   CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Customer ' || CAST(o_custkey AS VARCHAR(20)) END AS friendly_name,
   CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'cust-' || CAST(o_custkey % 100 AS VARCHAR(20)) END AS name
 FROM @orders""",

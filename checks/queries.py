@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from checks import dumps as dm
 from checks import fixtures as fx
 from meshlens.functions.arrays import let
+from meshlens.functions.macs import oui_of
 from meshlens.functions.text import host_of
 from meshlens.operators import extract as ex
 from meshlens.operators import identity, names, sections, upsert, vendors
@@ -270,7 +271,7 @@ def a10(spark, sf):
 _RAW = """SELECT 'doc' || CAST(doc_id AS VARCHAR(20)) AS snapshot_id, doc_id AS d, text, n_chars FROM documents"""
 
 
-@query("s1_landed_dumps", "SELECT 'doc' || CAST(doc_id AS VARCHAR(20)) AS snapshot_id, epoch_ms(make_timestamp((1781794631 + doc_id * 600) * 1000000)) AS fetched_at, CAST(NULL AS VARCHAR) AS source_ip, text FROM documents")
+@query("s1_landed_dumps", "SELECT 'doc' || CAST(doc_id AS VARCHAR(20)) AS snapshot_id, epoch_ms(make_timestamp((1959822461 + doc_id * 600) * 1000000)) AS fetched_at, CAST(NULL AS VARCHAR) AS source_ip, text FROM documents")
 def s1(spark, sf):
     docs = dm.documents(spark, sf)
     root = lake.shared_folder(spark, "landed")
@@ -285,7 +286,7 @@ def s1(spark, sf):
 @query(
     "s2_complete_dumps",
     f"""SELECT snapshot_id, length(text) + 1 + CASE WHEN d % 4 = 0 THEN length('no clock') WHEN d % 4 = 1 THEN length('page generated on Thursday')
-  ELSE length(' Page generated on Thu Jun 18 14:58:22 UTC 2026') END + 1 + length('page generated on Fri Jan 02 00:00:00 UTC 1970') + 1 + length('{fmt.END_OF_DUMP}') AS n_chars
+  ELSE length(' Page generated on Mon Feb 09 03:07:41 UTC 2032') END + 1 + length('page generated on Fri Jan 02 00:00:00 UTC 1970') + 1 + length('{fmt.END_OF_DUMP}') AS n_chars
 FROM ({_RAW}) r WHERE d % 5 != 0""",
 )
 def s2(spark, sf):
@@ -301,7 +302,7 @@ def s2_rest(spark, sf):
 @query(
     "s3_generated_at",
     f"""SELECT snapshot_id, CASE d % 4 WHEN 0 THEN epoch_ms(TIMESTAMP '1970-01-02 00:00:00') WHEN 1 THEN NULL
-  ELSE epoch_ms(TIMESTAMP '2026-06-01 14:58:00') + (d % 28) * 86400000 + (d % 60) * 1000 END AS generated_at
+  ELSE epoch_ms(TIMESTAMP '2032-02-01 03:07:00') + (d % 28) * 86400000 + (d % 60) * 1000 END AS generated_at
 FROM ({_RAW}) r""",
 )
 def s3(spark, sf):
@@ -463,7 +464,7 @@ def e16(spark, sf):
 
 @query(
     "s8_capture_system",
-    f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, (1781794631 + d * 600) * 1000 AS fetched_at, {dm.ROWS['system']['uptime_secs']} AS uptime_secs,
+    f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, (1959822461 + d * 600) * 1000 AS fetched_at, {dm.ROWS['system']['uptime_secs']} AS uptime_secs,
   {known(dm.NODE_MAC)} AS source_node_mac, {known(dm.ROLE)} AS source_role
 FROM ({_MASTER_ROW} UNION ALL {SATELLITE}) x""",
 )
@@ -498,7 +499,8 @@ def s6(spark, sf):
     f"""SELECT upper(left(prefix, 2) || ':' || substr(prefix, 3, 2) || ':' || substr(prefix, 5, 2)) AS oui, vendor FROM {_OUI} o""",
 )
 def n7(spark, sf):
-    return vendors.oui_table(_vendors(spark, sf)).select("oui", "vendor")
+    blocks = vendors.oui_table(_vendors(spark, sf)).where(f"length(prefix) = {vendors.OUI_NIBBLES}")
+    return blocks.select(F.expr(oui_of("prefix")).alias("oui"), "vendor")
 
 
 @query(
@@ -515,8 +517,8 @@ def n1(spark, sf):
 
 @query(
     "n2_longest_prefix",
-    f"""SELECT mac, arg_max(vendor, bits) AS vendor FROM (SELECT DISTINCT mac, {_HEX} AS hx FROM {fx.duck('host')} h) m
-  JOIN ({_VENDOR}) v ON v.prefix = left(m.hx, length(v.prefix)) GROUP BY mac""",
+    f"""SELECT mac, arg_max(vendor, bits) AS vendor FROM (SELECT DISTINCT mac, {_HEX} AS hx FROM {fx.duck('host')} h WHERE mac IS NOT NULL) m
+  LEFT JOIN ({_VENDOR}) v ON v.prefix = left(m.hx, length(v.prefix)) GROUP BY mac""",
 )
 def n2(spark, sf):
     return vendors.longest_prefix(fx.table(spark, sf, "host"), _vendors(spark, sf))
@@ -611,8 +613,8 @@ def n6(spark, sf):
         f"CASE WHEN j % 2 = 0 THEN upper({_DEV}) ELSE 'UNKNOWN' END AS uuid",
         f"{_MAC.format('j')} AS mac", f"array({_MAC.format('j + 2')}) AS extra_macs",
     )
-    index = names.name_index(_payloads(spark, sf))
-    return names.with_friendly_names(devices, index).select("id", "friendly_name")
+    maps = names.name_maps(_payloads(spark, sf))
+    return names.with_friendly_names(devices, maps).select("id", "friendly_name")
 
 
 # Identity, messages, buffer, upsert ----------------------------------------------------------
@@ -803,7 +805,7 @@ def t5(spark, sf):
 
 @query(
     "t1_stream_capture",
-    f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, (1781794631 + d * 600) * 1000 AS fetched_at, {dm.ROWS['nic_counter']['rx_bytes']} AS rx_bytes,
+    f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, (1959822461 + d * 600) * 1000 AS fetched_at, {dm.ROWS['nic_counter']['rx_bytes']} AS rx_bytes,
   {dm.ROWS['nic_counter']['intf']} AS intf
 FROM (SELECT doc_id AS d, n_chars AS n, unnest(range(1 + doc_id % 5)) AS i FROM documents) x""",
 )
