@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SQL = {
     # Hourly counters per user as radios: weekly (tx) and monthly (rx) resets, text in place of
-    # a number, NULL band, untagged node, gaps.
+    # a number, fractions, NULL band, untagged node, gaps.
     "radio_stats": """
 WITH h AS (
   SELECT date_trunc('hour', ts) AS fetched_at, user_id,
@@ -32,7 +32,7 @@ SELECT 'r' || CAST(eid AS VARCHAR(20)) AS id,
   CASE WHEN user_id % 5 = 0 THEN NULL ELSE '5E:70:2B:00:00:0' || CAST(user_id % 5 AS VARCHAR(1)) END AS source_node_mac,
   CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'node-' || CAST(user_id % 5 AS VARCHAR(1)) END AS source_node_name,
   '{"tx_data_bytes": ' || CASE WHEN eid % 53 = 0 THEN '"<DISABLED>"' ELSE CAST(tx_b AS VARCHAR(30)) END
-    || ', "rx_data_bytes": ' || CAST(rx_b AS VARCHAR(30))
+    || ', "rx_data_bytes": ' || CAST(rx_b AS VARCHAR(30)) || CASE WHEN eid % 17 = 0 THEN '.75' ELSE '' END
     || ', "tx_data_packets": ' || CAST(tx_p AS VARCHAR(30))
     || ', "tx_failures": ' || CAST(tx_f AS VARCHAR(30))
     || ', "rx_rssi": ' || CAST(20 + eid % 40 AS VARCHAR(10))
@@ -64,7 +64,7 @@ SELECT 'i' || CAST(event_id AS VARCHAR(20)) AS id, 's' || CAST(date_trunc('day',
   CASE WHEN event_id % 5 < 3 THEN '10.77.' || CAST(user_id // 250 AS VARCHAR(5)) || '.' || CAST(user_id % 250 AS VARCHAR(5)) ELSE 'fe80::' || CAST(user_id AS VARCHAR(10)) END AS ip,
   CASE WHEN event_id % 5 < 3 THEN 'inet' ELSE 'inet6' END AS family,
   CASE event_id % 7 WHEN 0 THEN 'br0' WHEN 1 THEN 'br1' WHEN 2 THEN 'br2' WHEN 3 THEN 'eth0' WHEN 4 THEN 'eth1' WHEN 5 THEN 'eth9' ELSE NULL END AS iface,
-  CASE WHEN event_type = 'error' THEN NULL ELSE 'd8:ec:5e:00:' || lpad(CAST(user_id // 100 AS VARCHAR(4)), 2, '0') || ':' || lpad(CAST(user_id % 100 AS VARCHAR(4)), 2, '0') END AS mac,
+  CASE WHEN event_type = 'error' THEN NULL ELSE '5e:70:2b:00:' || lpad(CAST(user_id // 100 AS VARCHAR(4)), 2, '0') || ':' || lpad(CAST(user_id % 100 AS VARCHAR(4)), 2, '0') END AS mac,
   'Vendor ' || CAST(user_id % 9 AS VARCHAR(4)) AS mac_vendor, user_id % 10 = 0 AS is_router,
   CASE event_type WHEN 'click' THEN 'REACHABLE' WHEN 'view' THEN 'STALE' WHEN 'purchase' THEN 'DELAY' WHEN 'signup' THEN 'PROBE' ELSE 'FAILED' END AS state
 FROM @events""",

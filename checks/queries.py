@@ -63,11 +63,11 @@ def in_ms(df: DataFrame) -> DataFrame:
 RADIO = f"""
   SELECT coalesce(source_node_mac, 'master') AS node, source_node_name AS label, band, radio,
     epoch_ms(fetched_at) AS t,
-    TRY_CAST(stats->>'tx_data_bytes' AS BIGINT) AS tx, TRY_CAST(stats->>'rx_data_bytes' AS BIGINT) AS rx,
-    TRY_CAST(stats->>'tx_data_packets' AS BIGINT) AS pk, TRY_CAST(stats->>'tx_failures' AS BIGINT) AS fl,
-    TRY_CAST(stats->>'rx_rssi' AS BIGINT) AS rssi, TRY_CAST(stats->>'self_bss_chan_util' AS BIGINT) AS self_util,
-    TRY_CAST(stats->>'obss_chan_util' AS BIGINT) AS obss,
-    TRY_CAST(stats->>'lithium_cycle_cnt_chan_nf_bdf_averaged_nf_dbm' AS BIGINT) AS noise
+    CAST(trunc(TRY_CAST(stats->>'tx_data_bytes' AS DOUBLE)) AS BIGINT) AS tx, CAST(trunc(TRY_CAST(stats->>'rx_data_bytes' AS DOUBLE)) AS BIGINT) AS rx,
+    CAST(trunc(TRY_CAST(stats->>'tx_data_packets' AS DOUBLE)) AS BIGINT) AS pk, CAST(trunc(TRY_CAST(stats->>'tx_failures' AS DOUBLE)) AS BIGINT) AS fl,
+    CAST(trunc(TRY_CAST(stats->>'rx_rssi' AS DOUBLE)) AS BIGINT) AS rssi, CAST(trunc(TRY_CAST(stats->>'self_bss_chan_util' AS DOUBLE)) AS BIGINT) AS self_util,
+    CAST(trunc(TRY_CAST(stats->>'obss_chan_util' AS DOUBLE)) AS BIGINT) AS obss,
+    CAST(trunc(TRY_CAST(stats->>'lithium_cycle_cnt_chan_nf_bdf_averaged_nf_dbm' AS DOUBLE)) AS BIGINT) AS noise
   FROM {fx.duck('radio_stats')} r"""
 
 
@@ -218,6 +218,42 @@ WHERE family = 'inet' AND mac IS NOT NULL AND fetched_at = (SELECT max(fetched_a
     panel(_name, _run, _inputs, _oracle)
 
 
+for _name, _run, _inputs, _oracle in [
+    ("f3_window_node_wifi", panels.q12_node_wifi, ["radio_stats"], over(V4, "t_ms AS time, node, wifi_mbps", WINDOW)),
+    ("f3_window_node_tx", panels.q13_node_tx, ["radio_stats"], over(V4, "t_ms AS time, node, tx_mbps", WINDOW)),
+    ("f3_window_node_rx", panels.q14_node_rx, ["radio_stats"], over(V4, "t_ms AS time, node, rx_mbps", WINDOW)),
+]:
+    panel(_name, lambda table, run=_run: run(table, FROM_MS, TO_MS), _inputs, _oracle)
+
+
+# Months of the orders: a window and an upper bound inside them.
+ORDER_FROM_MS, ORDER_TO_MS = 757382400000, 820454400000  # 1994-01-01 .. 1996-01-01, inclusive
+ORDER_WINDOW = f"epoch_ms(d.fetched_at) BETWEEN {ORDER_FROM_MS} AND {ORDER_TO_MS}"
+for _name, _run, _inputs, _oracle in [
+    (
+        "f3_window_device_links", lambda d, w: panels.q18_device_links(d, w, ORDER_FROM_MS, ORDER_TO_MS), ["device", "wlan_client"],
+        f"SELECT epoch_ms(d.fetched_at) AS time, {NAME} AS name, ip, mcs, rssi {LINKED} WHERE {ORDER_WINDOW}",
+    ),
+    (
+        "f3_window_device_rssi", lambda d, w: panels.q19_device_rssi(d, w, ORDER_FROM_MS, ORDER_TO_MS), ["device", "wlan_client"],
+        f"SELECT epoch_ms(d.fetched_at) AS time, {NAME} AS name, rssi {LINKED} WHERE rssi IS NOT NULL AND {ORDER_WINDOW}",
+    ),
+    (
+        "f3_latest_device_links", lambda d, w: panels.q20_latest_device_links(d, w, ORDER_TO_MS), ["device", "wlan_client"],
+        f"""SELECT {NAME} AS name, ip, mcs, rssi {LINKED}
+WHERE d.fetched_at = (SELECT max(fetched_at) FROM {fx.duck('device')} m WHERE epoch_ms(fetched_at) <= {ORDER_TO_MS})""",
+    ),
+    (
+        "f3_latest_neighbors", lambda n: panels.q9_latest_neighbors(n, TO_MS), ["ip_neighbor"],
+        f"""WITH n AS (SELECT * FROM {fx.duck('ip_neighbor')} a WHERE epoch_ms(fetched_at) <= {TO_MS})
+SELECT ip, coalesce(map {{'br0': 'Main LAN', 'br1': 'Guest', 'br2': 'Smart Connect', 'eth0': 'WAN', 'eth1': 'WAN'}}[iface], iface) AS subnet,
+  mac, mac_vendor, is_router, state FROM n
+WHERE family = 'inet' AND mac IS NOT NULL AND fetched_at = (SELECT max(fetched_at) FROM n)""",
+    ),
+]:
+    panel(_name, _run, _inputs, _oracle)
+
+
 # Filters, joins, aggregates ----------------------------------------------------------------
 
 
@@ -254,7 +290,40 @@ def j1(spark, sf):
     rows = fx.table(spark, sf, "nic_copies").selectExpr(
         "id", "intf", "unix_millis(fetched_at) AS t_ms"
     )
-    return with_predecessor(rows, ["intf"], []).select("id", "t_ms", "prev_ms")
+    return with_predecessor(rows, ["intf"], []).select("id", "t_ms", "prev_ms").distinct()
+
+
+# Copies at one time: the plain self-join of every row with every row at the time before.
+PAIRS = f"""WITH c AS (SELECT id, intf, epoch_ms(fetched_at) AS t, rx_bytes AS rx, tx_bytes AS tx FROM {fx.duck('nic_copies')} n),
+t AS (SELECT intf, t, lag(t) OVER (PARTITION BY intf ORDER BY t) AS prev FROM (SELECT DISTINCT intf, t FROM c) d)
+SELECT c.id, c.intf, c.t, p.t AS prev_ms, c.rx, c.tx, p.rx AS prev_rx, p.tx AS prev_tx
+FROM c JOIN t ON c.intf = t.intf AND c.t = t.t JOIN c p ON p.intf = c.intf AND p.t = t.prev"""
+
+
+@query("j2_predecessor_pairs", f"SELECT id, t AS t_ms, prev_ms, rx AS rx_bytes, prev_rx AS prev_rx_bytes, prev_tx AS prev_tx_bytes FROM ({PAIRS}) p")
+def j2(spark, sf):
+    rows = fx.table(spark, sf, "nic_copies").selectExpr(
+        "id", "intf", "unix_millis(fetched_at) AS t_ms", "rx_bytes", "tx_bytes"
+    )
+    found = with_predecessor(rows, ["intf"], ["rx_bytes", "tx_bytes"])
+    return found.select("id", "t_ms", "prev_ms", "rx_bytes", "prev_rx_bytes", "prev_tx_bytes")
+
+
+_V5_COPIES = f"""SELECT t AS t_ms, intf, rx - prev_rx AS d_rx_bytes, tx - prev_tx AS d_tx_bytes, (t - prev_ms) / 1e3 AS elapsed_secs
+FROM ({PAIRS}) p WHERE rx >= prev_rx AND tx >= prev_tx"""
+
+
+@query("v5_nic_rates_copies", _V5_COPIES)
+def v5_copies(spark, sf):
+    rates_of = views.nic_rates(fx.table(spark, sf, "nic_copies"))
+    return rates_of.select("t_ms", "intf", "d_rx_bytes", "d_tx_bytes", "elapsed_secs")
+
+
+@query("f3_window_nic_rates_copies", over(_V5_COPIES, "*", WINDOW))
+def f3_copies(spark, sf):
+    span = views.Span(from_ms=FROM_MS, to_ms=TO_MS)
+    rates_of = views.nic_rates(fx.table(spark, sf, "nic_copies"), span)
+    return rates_of.select("t_ms", "intf", "d_rx_bytes", "d_tx_bytes", "elapsed_secs")
 
 
 @query(

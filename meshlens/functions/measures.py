@@ -25,6 +25,11 @@ def percent(part: Column, whole: Column) -> Column:
     return rounded(F.lit(1e2) * part / F.nullif(whole, F.lit(0)), 3)
 
 
+def whole_number(text: Column) -> Column:
+    """A number's text as bigint, a fraction cut off; NULL for any other text."""
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+
+
 def epoch_ms(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 

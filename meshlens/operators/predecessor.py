@@ -1,11 +1,11 @@
-"""As-of predecessor: every row of a counter series with the latest earlier row of its entity.
+"""As-of predecessor: every row of a counter series with the rows of its entity's latest earlier time.
 
 Plan. A window per entity would put a busy entity (one interface name, the untagged master)
 into a single task. The series is therefore cut into time chunks and shuffled once by
-``(entity, chunk)``; inside a chunk the predecessor is the last row with a smaller time. The
-first rows of a chunk take the last row of the entity's previous chunk, which comes from one
-small row per ``(entity, chunk)``. Both branches read the same exchange: they ask for the same
-columns, because all figures travel as one array.
+``(entity, chunk)``. There, rows that share a time become one array, and the predecessor is the
+array before it; the first time of a chunk takes the last array of the entity's previous chunk,
+which comes from one small row per ``(entity, chunk)``. Both branches read the same exchange:
+they aggregate the same columns.
 """
 
 from __future__ import annotations
@@ -26,18 +26,15 @@ def with_predecessor(
     t_ms: str = "t_ms",
     *,
     chunk_ms: int = CHUNK_MS,
-    exact_duplicates: bool = False,
 ) -> DataFrame:
     """Add ``prev_ms`` and ``prev_<figure>`` for bigint ``figures``; drop rows without one.
 
     Rows with a NULL in ``entity`` or ``t_ms`` take no part. A predecessor is strictly earlier,
     also among rows that share a time. When several rows of an entity share the predecessor
-    time, one of them is used; ``exact_duplicates=True`` pairs the row with each of them.
+    time, the row is paired with each of them.
     """
     keys = [*entity, t_ms]
     known = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    if exact_duplicates:
-        return _paired(known, entity, figures, t_ms, chunk_ms)
     others = [c for c in rows.columns if c not in keys and c not in figures]
     packed = known.select(
         *keys,
@@ -45,49 +42,36 @@ def with_predecessor(
         (F.array(*figures) if figures else F.array().cast("array<bigint>")).alias("_now"),
         *others,
     ).repartition(*entity, "_chunk")
-    inside = W.partitionBy(*entity, "_chunk").orderBy(t_ms)
-    earlier = inside.rangeBetween(W.unboundedPreceding, -1)
-    linked = packed.withColumn(
-        "_inside", F.last(F.struct(F.col(t_ms).alias("ms"), F.col("_now").alias("v"))).over(earlier)
+    times = packed.groupBy(*entity, "_chunk", t_ms).agg(
+        F.collect_list(F.struct("_now", *others)).alias("_rows")
+    )
+    figures_at = F.struct(
+        F.col(t_ms).alias("ms"), F.transform("_rows", lambda r: r["_now"]).alias("v")
     )
-    # The struct holds every column of the main branch so that both can share the exchange.
-    tail = F.struct(F.col(t_ms).alias("ms"), F.col("_now").alias("v"), *others)
-    tails = packed.groupBy(*entity, "_chunk").agg(F.max_by(tail, t_ms).alias("_tail"))
+    inside = W.partitionBy(*entity, "_chunk").orderBy(t_ms)
+    linked = times.withColumn("_inside", F.lag(figures_at).over(inside))
+    tails = times.groupBy(*entity, "_chunk").agg(F.max_by(figures_at, t_ms).alias("_tail"))
     heads = tails.select(
         *entity,
         "_chunk",
         F.lag("_tail").over(W.partitionBy(*entity).orderBy("_chunk")).alias("_before"),
     )
-    before = F.struct(F.col("_before.ms").alias("ms"), F.col("_before.v").alias("v"))
     return (
         linked.join(heads, [*entity, "_chunk"], "left")
-        .withColumn(
-            "_prev",
-            F.coalesce("_inside", F.when(F.col("_before").isNotNull(), before)),
-        )
+        .withColumn("_prev", F.coalesce("_inside", "_before"))
         .where("_prev IS NOT NULL")
+        .select(*keys, F.explode("_rows").alias("_row"), "_prev")
+        .select(*keys, "_row", F.col("_prev.ms").alias("prev_ms"), F.explode("_prev.v").alias("_then"))
         .select(
             *keys,
-            *others,
-            *(F.col("_now")[k].alias(c) for k, c in enumerate(figures)),
-            F.col("_prev.ms").alias("prev_ms"),
-            *(F.col("_prev.v")[k].alias(f"prev_{c}") for k, c in enumerate(figures)),
+            *(F.col(f"_row.{c}") for c in others),
+            *(F.col("_row._now")[k].alias(c) for k, c in enumerate(figures)),
+            "prev_ms",
+            *(F.col("_then")[k].alias(f"prev_{c}") for k, c in enumerate(figures)),
         )
     )
 
 
-def _paired(
-    known: DataFrame, entity: list[str], figures: list[str], t_ms: str, chunk_ms: int
-) -> DataFrame:
-    """Pairs of every row with every row at the predecessor time, by two equi-joins."""
-    times = known.select(*entity, t_ms).distinct()
-    linked = with_predecessor(times, entity, [], t_ms, chunk_ms=chunk_ms)
-    earlier = known.select(
-        *entity, F.col(t_ms).alias("prev_ms"), *(F.col(c).alias(f"prev_{c}") for c in figures)
-    )
-    return known.join(linked, [*entity, t_ms]).join(earlier, [*entity, "prev_ms"])
-
-
 def clip_history(
     rows: DataFrame,
     entity: list[str],
@@ -97,13 +81,11 @@ def clip_history(
     t_ms: str = "t_ms",
     *,
     at: str | None = None,
-    lookback_ms: int | None = None,
 ) -> DataFrame:
-    """Rows of a closed time window plus, per entity, the last figures before it.
+    """Rows of a closed time window plus, per entity, all rows of its last time before it.
 
-    Exact: the history before ``from_ms`` shrinks to one row per entity by a map-side
-    aggregate instead of being shuffled and sorted. ``lookback_ms`` bounds how far back that
-    search reads, for callers who know that no series pauses longer. ``at`` names the stored
+    Exact: of the history before ``from_ms`` only the rows at the last time of each entity are
+    shuffled and sorted; those times come from a map-side aggregate. ``at`` names the stored
     timestamp behind ``t_ms``; bounds on it prune the scan.
     """
 
@@ -117,10 +99,7 @@ def clip_history(
 
     if from_ms is None:
         return rows if to_ms is None else rows.where(within(None, to_ms))
-    oldest = None if lookback_ms is None else from_ms - lookback_ms
-    last = (
-        rows.where(within(oldest, from_ms - 1))
-        .groupBy(*entity)
-        .agg(*(F.max_by(c, t_ms).alias(c) for c in figures), F.max(t_ms).alias(t_ms))
-    )
-    return rows.where(within(from_ms, to_ms)).unionByName(last, allowMissingColumns=True)
+    before = rows.where(within(None, from_ms - 1)).select(*entity, *figures, t_ms)
+    last = before.groupBy(*entity).agg(F.max(t_ms).alias(t_ms))
+    carried = before.join(last, [*entity, t_ms])
+    return rows.where(within(from_ms, to_ms)).unionByName(carried, allowMissingColumns=True)

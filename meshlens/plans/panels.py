@@ -19,8 +19,8 @@ def _panel(view: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     return named.select(*columns).orderBy(*order)
 
 
-def _span(from_ms: int | None, to_ms: int | None, lookback_ms: int | None) -> Span:
-    return Span(from_ms=from_ms, to_ms=to_ms, lookback_ms=lookback_ms)
+def _span(from_ms: int | None, to_ms: int | None) -> Span:
+    return Span(from_ms=from_ms, to_ms=to_ms)
 
 
 def _radio(columns: list[str]):
@@ -28,9 +28,8 @@ def _radio(columns: list[str]):
         radio_stats: DataFrame,
         from_ms: int | None = None,
         to_ms: int | None = None,
-        lookback_ms: int | None = None,
     ) -> DataFrame:
-        view = views.radio_rates(radio_stats, _span(from_ms, to_ms, lookback_ms))
+        view = views.radio_rates(radio_stats, _span(from_ms, to_ms))
         return _panel(view, ["time", "metric", *columns], ["time"])
 
     return query
@@ -40,7 +39,7 @@ def _neighbors(columns: list[str], order: list[str]):
     def query(
         ip_neighbor: DataFrame, from_ms: int | None = None, to_ms: int | None = None
     ) -> DataFrame:
-        view = views.neighbor_counts(ip_neighbor, _span(from_ms, to_ms, None))
+        view = views.neighbor_counts(ip_neighbor, _span(from_ms, to_ms))
         return _panel(view, ["time", "subnet", *columns], order)
 
     return query
@@ -51,9 +50,8 @@ def _node_wifi(columns: list[str]):
         radio_stats: DataFrame,
         from_ms: int | None = None,
         to_ms: int | None = None,
-        lookback_ms: int | None = None,
     ) -> DataFrame:
-        view = views.node_wifi_rates(radio_stats, _span(from_ms, to_ms, lookback_ms))
+        view = views.node_wifi_rates(radio_stats, _span(from_ms, to_ms))
         return _panel(view, ["time", "node", *columns], ["time", "node"])
 
     return query
@@ -105,9 +103,8 @@ def q10_wifi_vs_wired(
     radio_stats: DataFrame,
     from_ms: int | None = None,
     to_ms: int | None = None,
-    lookback_ms: int | None = None,
 ) -> DataFrame:
-    view = views.wifi_vs_wired(nic_counter, radio_stats, _span(from_ms, to_ms, lookback_ms))
+    view = views.wifi_vs_wired(nic_counter, radio_stats, _span(from_ms, to_ms))
     return _panel(view, ["time", "category", "mbps"], ["time", "category"])
 
 
@@ -125,9 +122,8 @@ def q16_nic_rates(
     nic_counter: DataFrame,
     from_ms: int | None = None,
     to_ms: int | None = None,
-    lookback_ms: int | None = None,
 ) -> DataFrame:
-    view = views.nic_rates(nic_counter, _span(from_ms, to_ms, lookback_ms))
+    view = views.nic_rates(nic_counter, _span(from_ms, to_ms))
     return _panel(view, ["time", "intf", "rx_mbps", "tx_mbps"], ["time"])
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.functions.measures import epoch_ms, in_window, mbps, percent, seconds
+from meshlens.functions.measures import epoch_ms, in_window, mbps, percent, seconds, whole_number
 from meshlens.operators.predecessor import CHUNK_MS, clip_history, with_predecessor
 
 # Counter keys, labels and default keys the views are defined on.
@@ -42,39 +42,19 @@ IPV4 = "inet"
 
 @dataclass(frozen=True)
 class Span:
-    """Time bounds (closed, epoch ms) and how the predecessor is searched."""
+    """Time bounds (closed, epoch ms) and how finely the predecessor search is cut."""
 
     from_ms: int | None = None
     to_ms: int | None = None
-    lookback_ms: int | None = None
     chunk_ms: int = CHUNK_MS
-    exact_duplicates: bool = False
 
 
 ALL = Span()
 
 
 def _linked(rows: DataFrame, entity: list[str], figures: list[str], span: Span) -> DataFrame:
-    if span.exact_duplicates:
-        # Copies at the window's edge matter, so the history stays whole.
-        rows = rows.where(in_window(F.col("fetched_at"), None, span.to_ms))
-    else:
-        rows = clip_history(
-            rows,
-            entity,
-            figures,
-            span.from_ms,
-            span.to_ms,
-            at="fetched_at",
-            lookback_ms=span.lookback_ms,
-        )
-    linked = with_predecessor(
-        rows,
-        entity,
-        figures,
-        chunk_ms=span.chunk_ms,
-        exact_duplicates=span.exact_duplicates,
-    )
+    rows = clip_history(rows, entity, figures, span.from_ms, span.to_ms, at="fetched_at")
+    linked = with_predecessor(rows, entity, figures, chunk_ms=span.chunk_ms)
     return linked if span.from_ms is None else linked.where(F.col("t_ms") >= span.from_ms)
 
 
@@ -106,7 +86,7 @@ def _radio_points(radio_stats: DataFrame, keys: dict[str, str], label: str) -> D
             "radio",
             "fetched_at",
             "t_ms",
-            *(F.col(f"s.{k}").try_cast("bigint").alias(c) for c, k in keys.items()),
+            *(whole_number(F.col(f"s.{k}")).alias(c) for c, k in keys.items()),
         )
     )
 

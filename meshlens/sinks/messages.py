@@ -20,7 +20,7 @@ def topic_of(table: str, prefix: str = DEFAULT_PREFIX) -> str:
 def table_of(prefix: str = DEFAULT_PREFIX):
     """Table behind a ``topic`` column; NULL for a topic of another prefix."""
     topic = F.col("topic")
-    return F.when(topic.startswith(prefix), F.substring(topic, len(prefix) + 1, 100))
+    return F.when(topic.startswith(prefix), F.substr(topic, F.lit(len(prefix) + 1)))
 
 
 def messages(

@@ -56,20 +56,17 @@ def test_predecessor_with_copies(spark, chunk):
     rows = series(2, 250, copies=True)
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute(rows)
-    pairs = with_predecessor(df, ["e1", "e2"], ["a", "b"], chunk_ms=chunk, exact_duplicates=True)
+    pairs = with_predecessor(df, ["e1", "e2"], ["a", "b"], chunk_ms=chunk)
     assert linked(pairs) == want
-    once = linked(with_predecessor(df, ["e1", "e2"], ["a", "b"], chunk_ms=chunk))
-    # One of the pairs per row, with the right predecessor time.
-    assert set(once) <= set(want) and len(once) == len({k[0] for k in want})
 
 
-@pytest.mark.parametrize("lookback", [None, 200_000])
-def test_clipped_history_gives_the_same_window(spark, lookback):
-    rows = series(3, 300, copies=False)
+@pytest.mark.parametrize("copies", [False, True])
+def test_clipped_history_gives_the_same_window(spark, copies):
+    rows = series(3, 300, copies)
     df = spark.createDataFrame(rows, SCHEMA)
-    low, high = 100_000, 200_000
+    low, high = (20, 500_000) if copies else (100_000, 200_000)
     whole = with_predecessor(df, ["e1", "e2"], ["a", "b"]).where(F.col("t_ms").between(low, high))
-    clipped = clip_history(df, ["e1", "e2"], ["a", "b"], low, high, lookback_ms=lookback)
+    clipped = clip_history(df, ["e1", "e2"], ["a", "b"], low, high)
     part = with_predecessor(clipped, ["e1", "e2"], ["a", "b"]).where(F.col("t_ms") >= low)
     assert linked(part) == linked(whole) != Counter()
 
@@ -179,7 +176,7 @@ def test_rate_window_reaches_both_scans(spark, tmp_path):
     nic(spark, [(m, "eth0", m, m) for m in range(5)]).write.parquet(str(tmp_path / "n"))
     table = spark.read.parquet(str(tmp_path / "n"))
     low = int(at(2).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-    got = panels.q16_nic_rates(table, low, low + 60_000, lookback_ms=120_000)
+    got = panels.q16_nic_rates(table, low, low + 60_000)
     assert [r.time for r in got.collect()] == [at(2), at(3)]
     plan = panels.q16_nic_rates(table, low, low + 60_000)._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line]
