@@ -16,6 +16,7 @@ from checks import dumps as dm
 from checks import fixtures as fx
 from meshlens.functions.arrays import let
 from meshlens.functions.macs import oui_of
+from meshlens.functions.measures import in_window
 from meshlens.functions.text import host_of
 from meshlens.operators import extract as ex
 from meshlens.operators import identity, names, sections, upsert, vendors
@@ -813,7 +814,7 @@ def k8(spark, sf):
     stream = buffer_source.stream_buffer(spark, path, files_per_batch=20)
     replay.replay(stream, store, f"{store}/_checkpoint").awaitTermination()
     stored = messages.all_messages(
-        {t: replay.stored_table(spark, store, t) for t in ("nic_counter", "radio_stats", "device")}
+        {t: lake.read_table(spark, store, t) for t in ("nic_counter", "radio_stats", "device")}
     )
     return messages.message_counts(stored)
 
@@ -830,7 +831,85 @@ def t2(spark, sf):
     buffer_sink.write_buffer(sent.repartition(2), path)
     stream = buffer_source.stream_buffer(spark, path, files_per_batch=1)
     replay.replay(stream, store, f"{store}/_checkpoint").awaitTermination()
-    return in_ms(replay.stored_table(spark, store, "nic_counter")).drop("snapshot_id")
+    return in_ms(lake.read_table(spark, store, "nic_counter")).drop("snapshot_id")
+
+
+def _drain(spark, path: str, store: str, name: str = "a") -> None:
+    stream = buffer_source.stream_buffer(spark, path)
+    replay.replay(stream, store, f"{store}/_checkpoint_{name}").awaitTermination()
+
+
+def _changed(rows: DataFrame) -> DataFrame:
+    return messages.messages(
+        rows.withColumn("tx_bytes", F.col("tx_bytes") + 1), "nic_counter", marked_time=True
+    )
+
+
+@query("k3_lake_upsert", f"SELECT id, intf, rx_bytes, tx_bytes + 1 AS tx_bytes FROM {fx.duck('nic_copies')} a")
+def k3_lake(spark, sf):
+    """Every row delivered again with another value: the last arrival is what the lake holds."""
+    path, store = lake.shared_folder(spark, "buffer"), lake.shared_folder(spark, "lake")
+    rows = fx.table(spark, sf, "nic_copies")
+    buffer_sink.write_buffer(messages.messages(rows, "nic_counter", marked_time=True), path)
+    _drain(spark, path, store)
+    buffer_sink.write_buffer(_changed(rows), path)
+    _drain(spark, path, store)
+    return lake.read_table(spark, store, "nic_counter").select("id", "intf", "rx_bytes", "tx_bytes")
+
+
+@query(
+    "k4_two_writers",
+    f"""SELECT id, tx_bytes FROM {fx.duck('nic_copies')} a
+UNION ALL SELECT id || '-b', tx_bytes + 1 FROM {fx.duck('nic_copies')} b""",
+)
+def k4_writers(spark, sf):
+    """Two replays with checkpoints of their own into one lake."""
+    store = lake.shared_folder(spark, "lake")
+    rows = fx.table(spark, sf, "nic_copies")
+    for name, sent in (
+        ("a", messages.messages(rows, "nic_counter", marked_time=True)),
+        ("b", _changed(rows.withColumn("id", F.concat("id", F.lit("-b"))))),
+    ):
+        path = lake.shared_folder(spark, "buffer")
+        buffer_sink.write_buffer(sent, path)
+        _drain(spark, path, store, name)
+    return lake.read_table(spark, store, "nic_counter").select("id", "tx_bytes")
+
+
+@query(
+    "s8_read_table",
+    f"""SELECT id, epoch_ms(fetched_at) AS fetched_at, rx_bytes FROM {fx.duck('nic_copies')} a
+WHERE epoch_ms(fetched_at) BETWEEN {FROM_MS} AND {TO_MS}""",
+)
+def s8(spark, sf):
+    """The days of a window, from a table that holds every row twice."""
+    path, store = lake.shared_folder(spark, "buffer"), lake.shared_folder(spark, "lake")
+    sent = messages.messages(fx.table(spark, sf, "nic_copies"), "nic_counter", marked_time=True)
+    for _ in range(2):
+        buffer_sink.write_buffer(sent, path)
+        _drain(spark, path, store)
+    rows = lake.read_table(spark, store, "nic_counter", FROM_MS, TO_MS).where(
+        in_window(F.col("fetched_at"), FROM_MS, TO_MS)
+    )
+    return in_ms(rows.select("id", "fetched_at", "rx_bytes"))
+
+
+@query(
+    "k6_landed_columns",
+    f"""SELECT id, rx_bytes, CASE WHEN rx_bytes % 3000 = 0 THEN CAST(rx_bytes // 1000 AS BIGINT) END AS mtu FROM {fx.duck('nic_copies')} a""",
+)
+def k6_landed(spark, sf):
+    """A third of the messages carry a field that the table does not declare."""
+    path, store = lake.shared_folder(spark, "buffer"), lake.shared_folder(spark, "lake")
+    rows = fx.table(spark, sf, "nic_copies")
+    sent = messages.messages(rows, "nic_counter", marked_time=True)
+    number = F.get_json_object("value", "$.rx_bytes").cast("bigint")
+    longer = F.concat(F.expr("left(value, length(value) - 1)"), F.lit(', "mtu": '), F.expr("CAST(get_json_object(value, '$.rx_bytes') AS BIGINT) div 1000"), F.lit("}"))
+    sent = sent.withColumn("value", F.when(number % 3000 == 0, longer).otherwise(F.col("value")))
+    buffer_sink.write_buffer(sent, path)
+    _drain(spark, path, store)
+    stored = lake.read_table(spark, store, "nic_counter", added={"mtu": "bigint"})
+    return stored.select("id", "rx_bytes", "mtu")
 
 
 NIC_SERIES = rates.Series(("intf",), ("rx_bytes", "tx_bytes"))
@@ -843,13 +922,10 @@ def _streamed_nic(spark, sf, parts: int, order: str) -> DataFrame:
         "intf", "unix_millis(fetched_at) AS t_ms", "rx_bytes", "tx_bytes"
     )
     cut = rows.withColumn("part", F.expr(f"pmod({order}, {parts})"))
-    for k in range(parts):
-        own = cut.where(F.col("part") == k).drop("part")
-        own.coalesce(1).write.mode("append").parquet(landing)
-    stream = (
-        spark.readStream.schema(NIC_SERIES.ddl()).option("maxFilesPerTrigger", 1).parquet(landing)
-    )
-    rates.stream_links(stream, NIC_SERIES, folder, f"{folder}/_checkpoint").awaitTermination()
+    for k in range(parts):  # each part lands as files of its own and is drained
+        cut.where(F.col("part") == k).drop("part").write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(NIC_SERIES.ddl()).parquet(landing)
+        rates.stream_links(stream, NIC_SERIES, folder, f"{folder}/_checkpoint").awaitTermination()
     links = rates.current_links(spark, NIC_SERIES, folder)
     return links.where("rx_bytes >= prev_rx_bytes AND tx_bytes >= prev_tx_bytes").selectExpr(
         "t_ms", "intf", "rx_bytes - prev_rx_bytes AS d_rx_bytes",
@@ -872,6 +948,55 @@ def t5(spark, sf):
     return _streamed_nic(spark, sf, 3, "t_ms div 3600000")
 
 
+def _captured(spark, sf, batches: list[DataFrame], payloads: DataFrame | None = None) -> str:
+    """Batches of dumps taken in one after the other; the lake's folder."""
+    store = lake.shared_folder(spark, "lake")
+    for number, dumps in enumerate(batches):
+        stream_capture.capture_batch(dumps, number, store, payloads=payloads, writer="checks")
+    return store
+
+
+_MASTER_ROWS = f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, {dm.ROWS['nic_counter']['rx_bytes']} AS rx_bytes, {dm.ROWS['nic_counter']['intf']} AS intf
+FROM (SELECT doc_id AS d, n_chars AS n, unnest(range(1 + doc_id % 5)) AS i FROM documents) x"""
+
+
+@query("t1_redelivered_dump", _MASTER_ROWS)
+def t1_redelivered(spark, sf):
+    """Every dump delivered twice in a batch, and once more in the next one."""
+    dumps = dm.master_dumps(spark, sf)
+    store = _captured(spark, sf, [dumps.union(dumps), dumps])
+    return lake.read_table(spark, store, "nic_counter").select("snapshot_id", "rx_bytes", "intf")
+
+
+@query(
+    "t1_late_master",
+    f"""SELECT snapshot_id, mac AS source_node_mac, CAST(sum(k) AS BIGINT) AS radios FROM (
+  SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, 1 + d % 5 AS k,
+    CASE WHEN i = 0 OR d % 5 >= 1 THEN {dm.NODE_MAC} END AS mac
+  FROM (SELECT doc_id AS d, unnest(range(2)) AS i FROM documents) x) y GROUP BY 1, 2""",
+)
+def t1_late(spark, sf):
+    """Satellites land one batch before their masters."""
+    store = _captured(spark, sf, [dm.satellite_dumps(spark, sf), dm.master_dumps(spark, sf)])
+    rows = lake.read_table(spark, store, "radio_stats")
+    return rows.groupBy("snapshot_id", "source_node_mac").agg(F.count("*").alias("radios"))
+
+
+@query(
+    "t1_names",
+    f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, {dm.UUID} AS uuid, CASE WHEN i = 0 THEN 'Full name ' || CAST(d AS VARCHAR(20)) END AS friendly_name
+FROM (SELECT doc_id AS d, unnest(range(1 + doc_id % 5)) AS i FROM documents) x""",
+)
+def t1_names(spark, sf):
+    raw = fx.source(spark, sf, "documents").selectExpr("doc_id AS d", "0 AS i").selectExpr(
+        "concat('doc', d) AS snapshot_id",
+        "to_json(named_struct('result', 'OK', 'output', named_struct('devices', array(named_struct("
+        f"'deviceID', {dm.UUID}, 'friendlyName', concat('Full name ', d)))))) AS payload",
+    )
+    store = _captured(spark, sf, [dm.master_dumps(spark, sf)], name_source.parse_payloads(raw))
+    return lake.read_table(spark, store, "device").select("snapshot_id", "uuid", "friendly_name")
+
+
 @query(
     "t1_stream_capture",
     f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, (1959822461 + d * 600) * 1000 AS fetched_at, {dm.ROWS['nic_counter']['rx_bytes']} AS rx_bytes,
@@ -886,5 +1011,5 @@ def t1(spark, sf):
         "snapshot_id string, fetched_at timestamp, source_ip string, text string"
     ).option("maxFilesPerTrigger", 4).parquet(landing)
     stream_capture.stream_capture(dumps, store, f"{store}/_checkpoint").awaitTermination()
-    rows = replay.stored_table(spark, store, "nic_counter")
+    rows = lake.read_table(spark, store, "nic_counter")
     return in_ms(rows.select("snapshot_id", "fetched_at", "rx_bytes", "intf"))

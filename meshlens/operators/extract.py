@@ -531,6 +531,8 @@ def with_lines(dumps: DataFrame) -> DataFrame:
 
 def sections(dumps: DataFrame, tables: list[str] | None = None) -> DataFrame:
     """Chosen sections of every dump as arrays of rows, all in one pass over the text."""
+    # Of a key that an information object repeats, the last value counts.
+    dumps.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return with_lines(dumps).select(
         "snapshot_id",
         "fetched_at",

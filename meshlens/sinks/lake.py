@@ -1,22 +1,32 @@
-"""Table lake on plain parquet, and the shared scratch folder."""
+"""Table lake on plain parquet, and the shared scratch folder.
+
+One layout for every way in: ``<root>/<table>/day=<capture day>/writer=<id>/batch=<n>``. A writer
+is one stream checkpoint or one batch run, so no writer can touch another's rows, and a batch that
+is run again replaces exactly its own earlier attempt. Rows are versions: an id that is delivered
+again is stored again, and the reader gives the version that arrived last. ``compact`` rewrites a
+day to one version per id.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.sources.tables import conform
+from meshlens.operators.upsert import latest_by
+from meshlens.sources.tables import ADDED, schema
 
+#: Stored beside a table's own columns.
+STAMPS = f"`{ADDED}` map<string, string>, pos int, source_ip string, arrived_ms bigint, arrival string"
+PLACES = "day date, writer string, batch bigint"
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting; it gets a temporary folder.
-    """
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -25,14 +35,116 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base}/{purpose}-{uuid.uuid4().hex}"
 
 
-def append_table(rows: DataFrame, root: str, table: str) -> None:
-    """Append rows to a stored table, one folder per capture day."""
-    days = conform(rows, table).withColumn("day", F.to_date("fetched_at"))
-    days.write.mode("append").partitionBy("day").parquet(f"{root}/{table}")
+def stream_id(batch: DataFrame) -> str | None:
+    """Id of the stream query that runs this micro-batch; it stays with its checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def new_writer() -> str:
+    return uuid.uuid4().hex
+
+
+def ddl(table: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema(table))
+
+
+def store_rows(rows: DataFrame, root: str, table: str, writer: str, batch_id: int = 0) -> None:
+    """Store one batch's rows; the same batch of the same writer replaces its earlier attempt."""
+    have = set(rows.columns)
+    stamps = [
+        F.col(ADDED) if ADDED in have else F.lit(None).cast("map<string,string>").alias(ADDED),
+        F.col("pos").cast("int") if "pos" in have else F.lit(None).cast("int").alias("pos"),
+        F.col("source_ip") if "source_ip" in have else F.lit(None).cast("string").alias("source_ip"),
+        F.lit(time.time_ns() // 1_000_000).alias("arrived_ms"),
+        F.col("arrival") if "arrival" in have else F.lit("").alias("arrival"),
+    ]
+    placed = rows.select(
+        *schema(table).names,
+        *stamps,
+        F.to_date("fetched_at").alias("day"),
+        F.lit(writer).alias("writer"),
+        F.lit(batch_id).cast("bigint").alias("batch"),
+    )
+    (
+        placed.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day", "writer", "batch")
+        .parquet(f"{root}/{table}")
+    )
+
+
+def versions(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    from_ms: int | None = None,
+    to_ms: int | None = None,
+) -> DataFrame:
+    """All stored versions of a table's rows; a time window reads only its days."""
+    kind = f"{ddl(table)}, {STAMPS}, {PLACES}"
+    try:
+        stored = spark.read.schema(kind).parquet(f"{root}/{table}")
+    except AnalysisException:
+        return spark.createDataFrame([], kind)
+    if from_ms is not None:
+        stored = stored.where(F.col("day") >= F.to_date(F.timestamp_millis(F.lit(from_ms))))
+    if to_ms is not None:
+        stored = stored.where(F.col("day") <= F.to_date(F.timestamp_millis(F.lit(to_ms))))
+    return stored
+
+
+def newest(stored: DataFrame) -> DataFrame:
+    """Of every id the version that arrived last."""
+    order = F.struct("arrived_ms", "writer", "batch", "arrival")
+    return latest_by(stored.withColumn("_order", order), ["id"], "_order").drop("_order")
+
+
+def read_table(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    from_ms: int | None = None,
+    to_ms: int | None = None,
+    added: dict[str, str] | None = None,
+) -> DataFrame:
+    """A stored table: of every id the version that arrived last.
+
+    With a time window only the days it touches are read; an id keeps its capture time, as a
+    snapshot does, when it is delivered again. ``added`` names columns (and their types) that
+    arrived beyond the declared ones; rows without one give NULL.
+    """
+    rows = newest(versions(spark, root, table, from_ms, to_ms))
+    extra = [F.col(ADDED)[c].try_cast(kind).alias(c) for c, kind in (added or {}).items()]
+    return rows.select(*schema(table).names, *extra)
+
+
+def compact(spark: SparkSession, root: str, table: str, day: str) -> None:
+    """Rewrite one day to one version per id; readers see the same rows throughout.
+
+    To be run while nobody writes that day.
+    """
+    old = versions(spark, root, table).where(F.col("day") == F.lit(day).cast("date"))
+    written = [r.writer for r in old.select("writer").distinct().collect()]
+    kept = newest(old).withColumn("batch", F.lit(0).cast("bigint"))
+    kept = kept.withColumn("writer", F.lit(f"compact-{new_writer()}"))
+    (
+        kept.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day", "writer", "batch")
+        .parquet(f"{root}/{table}")
+    )
+    for writer in written:
+        remove(spark, f"{root}/{table}/day={day}/writer={writer}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the lake, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Store one micro-batch's rows; a repeated batch replaces its own earlier attempt."""
+    """Store one micro-batch of a stream's own state; a repeated batch replaces its own output."""
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.sources import formats as fmt
-from meshlens.sources.tables import avro_schema, conform, schema
+from meshlens.sources.tables import ADDED, avro_schema, conform, schema
 
 DEFAULT_PREFIX = "mesh."
 
@@ -68,12 +68,14 @@ def message_counts(sent: DataFrame) -> DataFrame:
 
 
 def parse_messages(
-    sent: DataFrame, table: str, prefix: str = DEFAULT_PREFIX
+    sent: DataFrame, table: str, prefix: str = DEFAULT_PREFIX, whole: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of one table's messages, and its unreadable messages as dead letters.
 
     Takes both spellings of the capture time. A message is unreadable when its value is no
-    JSON of the declared shape or lacks one of the three leading fields.
+    JSON of the declared shape or lacks one of the three leading fields. ``whole`` adds what
+    the declared columns do not hold: ``added``, a map of further fields, and ``arrival``, the
+    place of the message among those of its batch.
     """
     fields = [
         f"`{f.name}` string" if f.name == "fetched_at" else f"`{f.name}` {f.dataType.simpleString()}"
@@ -84,6 +86,7 @@ def parse_messages(
         "topic",
         "key",
         "value",
+        (F.col("arrival") if "arrival" in sent.columns else F.lit("")).alias("arrival"),
         F.from_json(
             "value",
             ", ".join([*fields, "_bad string"]),
@@ -97,9 +100,20 @@ def parse_messages(
     good = F.expr(
         "r._bad IS NULL AND r.id IS NOT NULL AND r.snapshot_id IS NOT NULL AND at IS NOT NULL"
     )
-    rows = timed.where(good).select("r.*", "at").drop("_bad", "fetched_at")
+    kept = timed.where(good)
+    rows = kept.select("r.*", "at").drop("_bad", "fetched_at")
+    if whole:
+        rows = kept.select("r.*", "at", "arrival", _further("value", table)).drop("_bad", "fetched_at")
     dead = timed.where(~F.coalesce(good, F.lit(False))).select("topic", "key", "value")
-    return conform(rows.withColumnRenamed("at", "fetched_at"), table), dead
+    rows = rows.withColumnRenamed("at", "fetched_at")
+    return conform(rows, table, ["arrival", ADDED] if whole else []), dead
+
+
+def _further(value: str, table: str):
+    """Fields of a message beyond the declared ones, as text by name; NULL without any."""
+    fields = F.from_json(value, "map<string,string>")
+    further = F.map_filter(fields, lambda k, _: ~k.isin(*schema(table).names))
+    return F.when(F.size(further) > 0, further).alias(ADDED)
 
 
 def write_kafka(sent: DataFrame, servers: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Table names, column order and types are the data model.
@@ -51,13 +51,6 @@ COLUMNS = {
         sys_name string, sys_descr string, mgmt_ip string, port_id string,
         port_id_vendor string, port_descr string, capabilities string""",
 }
-# Columns that hold a JSON object as text.
-OBJECT_COLUMNS = {
-    "node": ["devinfo"],
-    "radio_stats": ["stats"],
-    "radio_config": ["settings"],
-    "lldp_neighbor": ["capabilities"],
-}
 # (hardware address -> vendor) column pairs.
 VENDOR_COLUMNS = {
     "device": {"mac": "mac_vendor"},
@@ -77,6 +70,9 @@ VENDOR_ARRAY_COLUMNS = {"device": {"extra_macs": "extra_macs_vendor"}}
 
 TABLES = tuple(COLUMNS)
 
+#: Holds fields that arrive beyond a table's declared columns, by name.
+ADDED = "added"
+
 _AVRO = {
     T.StringType(): "string",
     T.IntegerType(): "int",
@@ -100,8 +96,8 @@ def data_columns(table: str) -> list[str]:
     return T.StructType.fromDDL(COLUMNS[table]).names
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Columns in declared order and type; undeclared ones are dropped, missing ones NULL."""
+def conform(df: DataFrame, table: str, further: list[str] | None = None) -> DataFrame:
+    """Columns in declared order and type, missing ones NULL, then those named in ``further``."""
     wanted = schema(table)
     present = set(df.columns)
     return df.selectExpr(
@@ -109,7 +105,8 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             f"CAST({f'`{f.name}`' if f.name in present else 'NULL'}"
             f" AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in wanted
-        )
+        ),
+        *(further or []),
     )
 
 
@@ -125,8 +122,3 @@ def avro_schema(table: str, namespace: str = "mesh") -> str:
     return json.dumps(
         {"type": "record", "name": table, "namespace": namespace, "fields": fields}
     )
-
-
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A stored table; files written before a column existed give NULL for it."""
-    return spark.read.schema(schema(table)).parquet(f"{root}/{table}")

@@ -10,17 +10,17 @@ from meshlens.operators.upsert import evolve, latest_by, upsert
 from meshlens.plans.capture import capture, capture_to_lake
 from meshlens.sinks import buffer as buffer_sink
 from meshlens.sinks import messages
-from meshlens.sinks.lake import read_batches, shared_folder
+from meshlens.sinks.lake import compact, read_batches, read_table, shared_folder, versions
 from meshlens.sources import buffer as buffer_source
 from meshlens.sources import dumps as dump_source
-from meshlens.sources.tables import TABLES, read_table
+from meshlens.sources.tables import TABLES
 from meshlens.streaming import capture as stream_capture
 from meshlens.streaming import rates, replay
 
 from test_extract import DUMP
 
-AT = dt.datetime(2026, 6, 25, 12, 0, 0, 123000)
-AT_MS = 1782388800123
+AT = dt.datetime(2032, 2, 9, 3, 7, 41, 123000)
+AT_MS = 1959908861123
 
 
 def device_rows(spark):
@@ -120,7 +120,7 @@ def test_replay_stores_every_row_once(spark, tmp_path):
     buffer_sink.write_buffer(messages.messages(more, "device", marked_time=True), buffer)
     drain()
     drain()  # nothing left
-    stored = replay.stored_table(spark, lake, "device")
+    stored = read_table(spark, lake, "device")
     assert sorted(r.id for r in stored.collect()) == ["a", "a2", "b", "b2"]
     dead = read_batches(spark, f"{lake}/{replay.DEAD_LETTERS}", "topic string, key string, value string")
     assert sorted((r.topic, r.value) for r in dead.collect()) == [
@@ -136,19 +136,94 @@ def test_failed_batch_is_run_again(spark, tmp_path, monkeypatch):
         stream = buffer_source.stream_buffer(spark, buffer)
         replay.replay(stream, lake, f"{lake}/_checkpoint").awaitTermination()
 
-    real = replay.write_batch
+    real = replay.store_rows
 
-    def fails_late(rows, path, batch_id):
-        if path.endswith(replay.DEAD_LETTERS):
-            raise RuntimeError("down")
-        real(rows, path, batch_id)
+    def fails_late(*stored):
+        real(*stored)
+        raise RuntimeError("down")
 
-    monkeypatch.setattr(replay, "write_batch", fails_late)
+    monkeypatch.setattr(replay, "store_rows", fails_late)
     with pytest.raises(Exception):  # noqa: B017 - the query fails with the batch
         drain()
-    monkeypatch.setattr(replay, "write_batch", real)
+    monkeypatch.setattr(replay, "store_rows", real)
     drain()
-    assert replay.stored_table(spark, lake, "device").count() == 2
+    assert read_table(spark, lake, "device").count() == 2
+    assert versions(spark, lake, "device").count() == 2
+
+
+def buffered(spark, folder, rows):
+    frame = spark.createDataFrame(rows, "id string, snapshot_id string, fetched_at timestamp, intf string, rx_bytes bigint")
+    buffer_sink.write_buffer(messages.messages(frame, "nic_counter", marked_time=True), folder)
+
+
+def test_last_arrival_wins_and_writers_share_a_lake(spark, tmp_path):
+    lake = str(tmp_path / "lake")
+
+    def drain(name):
+        stream = buffer_source.stream_buffer(spark, str(tmp_path / name))
+        replay.replay(stream, lake, str(tmp_path / f"{name}-checkpoint")).awaitTermination()
+
+    buffered(spark, str(tmp_path / "a"), [("u", "s", AT, "e0", 1), ("a", "s", AT, "e0", 5)])
+    drain("a")
+    buffered(spark, str(tmp_path / "b"), [("b", "s", AT, "e0", 7)])
+    drain("b")  # another checkpoint, its batch 0
+    buffered(spark, str(tmp_path / "a"), [("u", "s", AT, "e0", 99)])
+    drain("a")
+    got = {r.id: r.rx_bytes for r in read_table(spark, lake, "nic_counter").collect()}
+    assert got == {"u": 99, "a": 5, "b": 7}
+    compact(spark, lake, "nic_counter", str(AT.date()))
+    assert {r.id: r.rx_bytes for r in read_table(spark, lake, "nic_counter").collect()} == got
+    assert versions(spark, lake, "nic_counter").count() == 3
+
+
+def test_window_prunes_days(spark, tmp_path):
+    lake = str(tmp_path / "lake")
+    days = [AT + dt.timedelta(days=k) for k in range(4)]
+    buffered(spark, str(tmp_path / "a"), [(str(k), "s", d, "e0", k) for k, d in enumerate(days)])
+    stream = buffer_source.stream_buffer(spark, str(tmp_path / "a"))
+    replay.replay(stream, lake, str(tmp_path / "c")).awaitTermination()
+    part = read_table(spark, lake, "nic_counter", AT_MS + 86_400_000, AT_MS + 2 * 86_400_000)
+    assert sorted(r.id for r in part.collect()) == ["1", "2"]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PartitionFilters: []" not in plan
+
+
+def test_added_fields_land(spark, tmp_path):
+    lake, folder = str(tmp_path / "lake"), str(tmp_path / "a")
+    value = {"id": "x", "snapshot_id": "s", "fetched_at": AT_MS, "intf": "e0", "mtu": 1500, "duplex": "full"}
+    line = json.dumps({"key": "s", "value": value})
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "mesh.nic_counter.20320209_030741").write_text(line + "\n")
+    buffered(spark, folder, [("old", "s", AT, "e0", 1)])
+    stream = buffer_source.stream_buffer(spark, folder)
+    replay.replay(stream, lake, str(tmp_path / "c")).awaitTermination()
+    rows = read_table(spark, lake, "nic_counter", added={"mtu": "bigint", "duplex": "string"})
+    assert {r.id: (r.mtu, r.duplex) for r in rows.collect()} == {"x": (1500, "full"), "old": (None, None)}
+
+
+def test_capture_of_late_and_repeated_dumps(spark, tmp_path):
+    lake = str(tmp_path / "lake")
+    schema = "snapshot_id string, fetched_at timestamp, source_ip string, text string"
+
+    def batch(number, *dumps):
+        frame = spark.createDataFrame([("s1", AT, ip, DUMP) for ip in dumps], schema)
+        stream_capture.capture_batch(frame, number, lake, writer="w")
+
+    def tags():
+        return sorted((r.radio, r.source_role or "-") for r in read_table(spark, lake, "radio_stats").collect())
+
+    batch(0, "10.44.8.6")  # the satellite comes first
+    assert tags() == [("wifi0", "-"), ("wifi1", "-")]
+    batch(1, None)
+    both = [("wifi0", "master"), ("wifi0", "slave"), ("wifi1", "master"), ("wifi1", "slave")]
+    assert tags() == both
+    batch(2, None, "10.44.8.6", None)
+    batch(2, None, "10.44.8.6", None)  # the batch is run again
+    assert tags() == both
+    capture_to_lake(spark.createDataFrame([("s1", AT, None, DUMP)], schema), lake, f"{lake}/_staging")
+    assert tags() == both
+    assert read_table(spark, lake, "nic_counter").count() == 2
+    assert read_table(spark, lake, "node").count() == 2
 
 
 def test_streamed_rates_equal_batch_rates(spark, tmp_path):
@@ -176,7 +251,7 @@ def test_streamed_rates_equal_batch_rates(spark, tmp_path):
 def landed(spark, root):
     sats = DUMP.replace("wifi1", "wifi7")
     dumps = spark.createDataFrame(
-        [("s1", AT, None, DUMP), ("s1", AT, "10.13.1.7", sats), ("s2", AT, None, "cut off")],
+        [("s1", AT, None, DUMP), ("s1", AT, "10.44.8.6", sats), ("s2", AT, None, "cut off")],
         "snapshot_id string, fetched_at timestamp, source_ip string, text string",
     )
     dump_source.land_dumps(dumps, root)
@@ -185,7 +260,7 @@ def landed(spark, root):
 def test_landed_dumps(spark, tmp_path):
     landed(spark, str(tmp_path / "in"))
     got = {(r.snapshot_id, r.source_ip): (r.fetched_at, r.text) for r in dump_source.read_dumps(spark, str(tmp_path / "in")).collect()}
-    assert set(got) == {("s1", None), ("s1", "10.13.1.7"), ("s2", None)}
+    assert set(got) == {("s1", None), ("s1", "10.44.8.6"), ("s2", None)}
     assert got[("s1", None)] == (AT, DUMP + "\n")
 
 
@@ -193,7 +268,7 @@ def test_capture_batch_and_stream_agree(spark, tmp_path):
     root, lake, live = (str(tmp_path / n) for n in ("in", "lake", "live"))
     landed(spark, root)
     dumps = dump_source.read_dumps(spark, root)
-    vendors = spark.createDataFrame([(24, "d8ec5e", "Acme")], "bits int, prefix string, vendor string")
+    vendors = spark.createDataFrame([(24, "5c1d77", "Acme")], "bits int, prefix string, vendor string")
     lazy = capture(dumps, vendors=vendors)
     capture_to_lake(dumps, lake, f"{lake}/_staging", vendors=vendors)
     stream = dump_source.stream_dumps(spark, root)
@@ -202,7 +277,7 @@ def test_capture_batch_and_stream_agree(spark, tmp_path):
         ids = sorted(r.id for r in lazy[table].select("id").collect())
         assert len(set(ids)) == len(ids) > 0, table
         assert ids == sorted(r.id for r in read_table(spark, lake, table).select("id").collect())
-        assert ids == sorted(r.id for r in replay.stored_table(spark, live, table).select("id").collect())
+        assert ids == sorted(r.id for r in read_table(spark, live, table).select("id").collect())
     master = lazy["device"].where("role = 'master'").head()
     assert master.mac_vendor == "Acme" and master.extra_macs_vendor == [None]
     tags = {(r.radio, r.source_role) for r in read_table(spark, lake, "radio_stats").collect()}

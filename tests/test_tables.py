@@ -22,7 +22,7 @@ def test_column_counts():
 
 
 def test_special_columns_are_declared():
-    for columns in (tables.OBJECT_COLUMNS, tables.VENDOR_COLUMNS, tables.VENDOR_ARRAY_COLUMNS):
+    for columns in (tables.VENDOR_COLUMNS, tables.VENDOR_ARRAY_COLUMNS):
         for table, names in columns.items():
             declared = tables.data_columns(table)
             assert set(names) <= set(declared)
