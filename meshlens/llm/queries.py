@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.llm import bpe, decontam, jaccard, langid, licenses, lzprint, pages, pii, toxicity
+from meshlens.llm import (
+    bpe,
+    decontam,
+    jaccard,
+    langid,
+    licenses,
+    lzprint,
+    pages,
+    pii,
+    repeats,
+    toxicity,
+)
 from meshlens.llm.common import bucket, send_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,3 +214,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("kinds").cast("long").alias("n_entities"),
         F.array_join("kinds", ",").alias("kinds"),
     )
+
+
+@query("op2_repeated_passages")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated(table(spark, sf_dir, "documents"))
