@@ -509,7 +509,7 @@ _MASTER_ROW = "SELECT doc_id AS d, n_chars AS n, lang, source, 0 AS i FROM docum
 
 @query(
     "e15_source_tags",
-    f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, CAST(424156 + d AS BIGINT) AS mem_total,
+    f"""SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, CAST(903552 + d AS BIGINT) AS mem_total,
   {known(dm.NODE_MAC)} AS source_node_mac, {known(dm.NAME)} AS source_node_name, {known(dm.DEVICE_IP)} AS source_node_ip, {known(dm.ROLE)} AS source_role
 FROM ({_MASTER_ROW} UNION ALL {SATELLITE}) x""",
 )
@@ -524,7 +524,7 @@ def e15(spark, sf):
 @query(
     "e16_row_ids",
     """SELECT 'doc' || CAST(d AS VARCHAR(20)) AS snapshot_id, i AS pos,
-  sha256('doc' || CAST(d AS VARCHAR(20)) || '|nic_counter|||' || CAST(i AS VARCHAR(5))) AS id
+  sha256('doc' || CAST(d AS VARCHAR(20)) || '|nic_counter||' || CAST(i AS VARCHAR(5))) AS id
 FROM (SELECT doc_id AS d, unnest(range(1 + doc_id % 5)) AS i FROM documents) x""",
 )
 def e16(spark, sf):
@@ -881,7 +881,7 @@ def k4_writers(spark, sf):
     f"""SELECT id, epoch_ms(fetched_at) AS fetched_at, rx_bytes FROM {fx.duck('nic_copies')} a
 WHERE epoch_ms(fetched_at) BETWEEN {FROM_MS} AND {TO_MS}""",
 )
-def s8(spark, sf):
+def s8_window(spark, sf):
     """The days of a window, from a table that holds every row twice."""
     path, store = lake.shared_folder(spark, "buffer"), lake.shared_folder(spark, "lake")
     sent = messages.messages(fx.table(spark, sf, "nic_copies"), "nic_counter", marked_time=True)
