@@ -42,6 +42,8 @@ PATTERNS = [
     ("name", rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME})?"),
 ]
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: Every entity has one of these in it; a text without any is not searched further.
+HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|{_TITLE} \p{{Lu}}"
 #: Alphabets; a character is replaced by one of its own.
 ALPHABETS = [
     "0123456789",
@@ -245,7 +247,8 @@ def entities(text: Column) -> Column:
 
 def drawn_anew(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``unit, attempt`` of the units whose first stand-in collides with another or with an original."""
-    found = docs.select(F.explode(entities(F.col(text))).alias("entity")).distinct()
+    hinted = docs.where(F.col(text).rlike(HINT))
+    found = hinted.select(F.explode(entities(F.col(text))).alias("entity")).distinct()
     own = stored(found.select(F.explode(units(F.col("entity"))).alias("u")).select("u.kind", "u.norm").distinct(), "pii-units")
     now = own.withColumn("attempt", F.lit(0))
     taken = own.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real"))
@@ -273,23 +276,26 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", n_chars: str = "
     else:
         digest = F.sha2(F.col(text).cast("binary"), 256)
         unit_list = F.flatten(F.transform(entities(F.col(text)), units))
-        named = docs.select(digest.alias("__pii_key"), F.explode(unit_list).alias("u")).distinct()
+        named = docs.where(F.col(text).rlike(HINT)).select(digest.alias("__pii_key"), F.explode(unit_list).alias("u")).distinct()
         named = named.select("__pii_key", unit_name(F.col("u")).alias("unit")).join(anew, "unit")
         maps = named.groupBy("__pii_key").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("__pii_map"))
         rows = docs.withColumn("__pii_key", digest).join(maps, "__pii_key", "left")
         attempts = F.coalesce("__pii_map", F.create_map().cast("map<string,int>"))
-    parts = F.split(F.col(text), ENTITY, -1)
-    new = F.transform(entities(F.col(text)), lambda e: surrogate(key, e, attempts))
-    joined = F.array_join(
-        F.transform(F.arrays_zip(parts.alias("p"), new.alias("s")), lambda x: F.concat(x["p"], F.coalesce(x["s"], F.lit("")))), ""
-    )
-    made = rows.withColumn("__pii_text", F.when(F.col(text).rlike(ENTITY), joined).otherwise(F.col(text)))
+
+    def replaced(found_here: Column) -> Column:
+        new = F.transform(found_here, lambda e: surrogate(key, e, attempts))
+        pairs = F.arrays_zip(F.split(F.col(text), ENTITY, -1).alias("p"), new.alias("s"))
+        joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["p"], F.coalesce(x["s"], F.lit("")))), "")
+        kinds = F.transform(found_here, kind_of)
+        return F.when(F.size(found_here) > 0, F.struct(joined.alias("text"), kinds.alias("kinds")))
+
+    hinted = F.when(F.col(text).rlike(HINT), let(entities(F.col(text)), replaced))
+    made = rows.withColumn("__pii", hinted).withColumn("__pii_text", F.coalesce("__pii.text", F.col(text)))
     changed = {text: F.col("__pii_text")}
     if n_chars in columns:
         count = F.length("__pii_text").cast(docs.schema[n_chars].dataType)
         changed[n_chars] = F.when(F.col("__pii_text") != F.col(text), count).otherwise(F.col(n_chars))
     out = [changed.get(c, F.col(c)).alias(c) for c in columns if c != found]
     if found:
-        kinds = F.transform(entities(F.coalesce(F.col(text), F.lit(""))), kind_of)
-        out.append(kinds.alias(found))
+        out.append(F.coalesce("__pii.kinds", F.array().cast("array<string>")).alias(found))
     return made.select(*out)
