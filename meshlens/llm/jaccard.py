@@ -33,16 +33,20 @@ SIZE = 5
 #: Similarity in hundredths.
 SAME = 80
 #: Hundredths of a set that a linked one shares among its first shingles.
-SPARE = 5
+SPARE = 10
 #: Bits, as a power of two, of the bitmap that rules out shingles of one class.
 MOST_BITS = 28
+#: Bits of a key below the number of shingles that a class has for itself.
+KEY_BITS = 53
+#: Which of equally good classes a round compares with: bits that are turned over for it.
+TURNS = (0, 0x15555555555555, 0x0CCCCCCCCCCCCC)
 #: Counters that find common shingles, whatever the size of the input.
 COUNTERS = 1 << 20
 SLICES = 64
 #: Sets compared with one other in one task.
 BLOCK = 512
-#: Rounds that compare with one class a shingle, before all that is left is compared.
-STARS = 2
+#: Rounds that compare with one class a shingle, before all that is left is compared; 3 at most.
+STARS = 1
 #: Classes whose ids are sent to all executors; more are joined by shuffle.
 SENT_IDS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -152,14 +156,19 @@ def documents(docs: DataFrame, doc_id: str, text: str, size: int, sent) -> DataF
 
 
 def alike(found: DataFrame) -> DataFrame:
-    """Classes that share enough of their first shingles with others to have a link."""
+    """Classes that share enough of their first shingles with others to have a link.
+
+    ``room``: so many of a class's shingles at most are shared with any other class.
+    """
     first = found.select("k1", F.explode("first").alias("token"))
     shared = first.groupBy("token").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low != high")
     shared = stored(shared.select("token"), "jaccard-shared")
     # a class may stand there once for each task that met it: count each shingle once
     few = likely(found, shared).join(shared, "token", "left_semi").distinct()
     counted = few.groupBy("k1", "k2", "n").agg(F.count("*").alias("shared"))
-    return counted.where(f"shared * 100 >= n * {SPARE * SAME // 100}").select("k1", "k2", "n")
+    enough = counted.where(f"shared * 100 >= n * {SPARE * SAME // 100}")
+    room = F.expr(f"(n * {SAME} + 99) div 100 - (n * {SPARE} + 99) div 100 + shared")  # n - first_of(n) + shared
+    return enough.select("k1", "k2", "n", room.alias("room"))
 
 
 def likely(found: DataFrame, shared: DataFrame) -> DataFrame:
@@ -199,44 +208,49 @@ def likely(found: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, doc_id: str, text: str, size: int, sent, found: DataFrame, few: DataFrame) -> DataFrame:
-    """Whole sets of the classes in ``few``: ``key, k1, k2, n, tokens`` in the global order.
+    """Whole sets of the classes in ``few``: ``key, k1, k2, n, room, tokens`` in the global order.
 
-    Keys are numbers given as the table is written, and so fixed from then on.
+    Keys are numbers given as the table is written, and so fixed from then on. The fewer shingles
+    a class has for itself, the smaller its key: such classes are good ones to compare with.
     """
-    ids = found.where("n > 0").join(few, ["k1", "k2", "n"]).groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
+    own = found.where("n > 0").join(few, ["k1", "k2", "n"])
+    ids = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("room").alias("room"))
     ids = stored(ids, "jaccard-ids")
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"])).select("k1", "k2", "text")
+    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"])).select("k1", "k2", "room", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k1, k2, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k1, k2, room, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = shingles(t, size)
                 if class_of(tokens) == (k1, k2):  # rows that repeat an id may have other texts
-                    rows.append((k1, k2, len(tokens), ordered(tokens, sent.value).tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    rows.append((k1, k2, len(tokens), room, ordered(tokens, sent.value).tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "n", "room", "tokens"])
 
-    made = texts.mapInArrow(run, "k1 long, k2 long, n long, tokens binary").dropDuplicates(["k1", "k2"])
-    return stored(made.withColumn("key", F.monotonically_increasing_id()), "jaccard-sets")
+    made = texts.mapInArrow(run, "k1 long, k2 long, n long, room long, tokens binary").dropDuplicates(["k1", "k2"])
+    alone = F.shiftleft(F.least(F.col("n") - F.col("room"), F.lit(1023)), KEY_BITS)
+    return stored(made.withColumn("key", alone + F.monotonically_increasing_id()), "jaccard-sets")
 
 
 def postings(whole: DataFrame) -> DataFrame:
-    """``token, key`` for the first shingles of each set."""
+    """``token, key, n, room`` for the first shingles of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first = np.frombuffer(tokens, np.int64)[: first_of(n)]
-                arrays = [pa.array(first), pa.array(np.full(len(first), key, np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["token", "key"])
+            n = np.array(batch.column("n").to_pylist(), np.int64)
+            first = [np.frombuffer(t, np.int64)[: first_of(k)] for t, k in zip(batch.column("tokens").to_pylist(), n.tolist(), strict=True)]
+            row = pa.array(np.repeat(np.arange(len(n)), [len(f) for f in first]))
+            arrays = [batch.column(c).take(row) for c in ("key", "n", "room")]
+            tokens = pa.array(np.concatenate(first) if first else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([tokens, *arrays], names=["token", "key", "n", "room"])
 
-    return whole.select("key", "n", "tokens").mapInArrow(run, "token long, key long")
+    return whole.select("key", "n", "room", "tokens").mapInArrow(run, "token long, key long, n long, room long")
 
 
 def overlap_links(query: np.ndarray, others: list[tuple[int, np.ndarray]]) -> list[int]:
@@ -305,6 +319,13 @@ def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return rows.groupBy("hub", "block").applyInArrow(compare, "a long, b long")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """``key, root``: one step towards the components, which spares most comparisons inside them."""
+    both = links.select("a", "b").union(links.select("b", "a")).toDF("key", "v")
+    near = both.groupBy("key").agg(F.min("v").alias("v"))
+    return stored(near.select("key", F.least("key", "v").alias("root")), "jaccard-near")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``key, root`` for the ends of links ``a, b``: the smallest key that is connected."""
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
@@ -327,42 +348,58 @@ def components(links: DataFrame) -> DataFrame:
 def linked_groups(whole: DataFrame) -> DataFrame:
     """All groups of linked classes: ``key, root``. Classes without a link are left out."""
     spark = whole.sparkSession
-    classes = whole.select("key", "n")
+    classes = whole.select("key", "n", "room")
     open_rows = postings(whole).withColumn("root", F.col("key"))
     links = spark.createDataFrame([], "a long, b long")
     checked = spark.createDataFrame([], "low long, high long")
     groups = spark.createDataFrame([], "key long, root long")
     for turn in range(STARS + 1):
         # shingles that classes of several groups share; the others are done
+        turned = F.col("key").bitwiseXOR(F.lit(TURNS[turn]))
         tokens = open_rows.groupBy("token").agg(
-            F.min("key").alias("hub0"), F.max("key").alias("hub1"), F.min("root").alias("r0"), F.max("root").alias("r1")
+            F.min(turned).bitwiseXOR(F.lit(TURNS[turn])).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")
         )
-        tokens = tokens.where("r0 != r1").select("token", F.col(f"hub{turn % 2}").alias("hub"))
+        tokens = tokens.where("r0 != r1").select("token", "hub")
         rows = stored(open_rows.join(tokens, "token"), "jaccard-open")
-        if turn < STARS:
-            met = rows.where("key != hub").select("hub", "key")
-        else:
-            other = rows.select("token", F.col("key").alias("hub"), F.col("root").alias("top"))
-            met = other.join(rows.select("token", "key", "root"), "token").where("hub < key AND root != top").select("hub", "key")
-        pairs = stored(promising(met, classes, groups).join(checked, ["low", "high"], "left_anti"), "jaccard-pairs")
+        met = against_hubs(rows, classes, groups) if turn < STARS else against_all(rows)
+        low, high = F.least("hub", "key").alias("low"), F.greatest("hub", "key").alias("high")
+        pairs = met.select("hub", "key", low, high).dropDuplicates(["low", "high"])
+        pairs = stored(pairs.join(checked, ["low", "high"], "left_anti"), "jaccard-pairs")
         if not pairs.isEmpty():
             checked = checked.union(pairs.select("low", "high"))
             found = stored(verified(pairs.select("hub", "key"), whole), "jaccard-links")
             links = links.union(found)
-            if not found.isEmpty():
-                groups = components(links)
-        open_rows = rows.select("token", "key").join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    return groups
+            groups = contracted(links)
+        open_rows = rows.select("token", "key", "n", "room").join(groups, "key", "left")
+        open_rows = open_rows.withColumn("root", F.coalesce("root", "key"))
+    return components(links)
+
 
+#: Sizes, shingles shared with anyone and group of two classes that may link.
+_MAY_LINK = (
+    f"least(m, n) * 100 >= greatest(m, n) * {SAME} AND least(top_room, room) * {100 + SAME} >= {SAME} * (m + n) AND root != top"
+)
+#: Linked sets share so many of their first shingles.
+_ENOUGH = f"shared * 100 >= least(m, n) * {SPARE}"
 
-def promising(met: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of different groups whose sizes and number of shared first shingles allow a link."""
-    counted = met.groupBy("hub", "key").agg(F.count("*").alias("shared"))
+
+def against_hubs(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Classes with the class that each of their shingles names, where a link is likely.
+
+    Shingles that name another class are not counted here, so this may miss links.
+    """
+    counted = rows.where("key != hub").groupBy("hub", "key").agg(F.count("*").alias("shared"))
     info = classes.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    both = counted.join(info, "key").join(info.toDF("hub", "m", "top"), "hub")
-    enough = f"shared * 100 >= least(m, n) * {SPARE} AND least(m, n) * 100 >= greatest(m, n) * {SAME} AND root != top"
-    ends = [F.least("hub", "key").alias("low"), F.greatest("hub", "key").alias("high")]
-    return both.where(enough).select("hub", "key", *ends).dropDuplicates(["low", "high"])
+    both = counted.join(info, "key").join(info.toDF("hub", "m", "top_room", "top"), "hub")
+    return both.where(f"{_ENOUGH} AND {_MAY_LINK}")
+
+
+def against_all(rows: DataFrame) -> DataFrame:
+    """All classes of different groups that share a shingle, where a link is possible."""
+    other = rows.select("token", F.col("key").alias("hub"), F.col("n").alias("m"), F.col("room").alias("top_room"), F.col("root").alias("top"))
+    own = rows.select(F.col("token").alias("same"), "key", "n", "room", "root")
+    met = other.join(own, F.expr(f"token = same AND hub < key AND {_MAY_LINK}"))
+    return met.groupBy("hub", "key", "m", "n").agg(F.count("*").alias("shared")).where(_ENOUGH)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
