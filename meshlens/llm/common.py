@@ -72,6 +72,13 @@ def send_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of ``ROWS`` rows, so that few texts are Python objects at one time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def add_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -87,11 +94,9 @@ def add_columns(
     schema = T.StructType([*kept, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                arrays = [part.column(f.name) for f in kept] + compute(part)
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
+        for part in parts(batches):
+            arrays = [part.column(f.name) for f in kept] + compute(part)
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 

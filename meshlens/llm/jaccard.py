@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.common import plain_words, stored
+from meshlens.llm.common import parts, plain_words, stored
 
 SIZE = 5
 #: Similarity in hundredths.
@@ -79,12 +79,11 @@ def common_counters(texts: DataFrame, size: int) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             found = [counter(shingles(t, size)) for t in batch.column(0).to_pylist()]
-            for k in range(0, len(found), 1024):
-                total += np.bincount(np.concatenate(found[k : k + 1024]), minlength=COUNTERS)
-        parts = [p.astype("<u4").tobytes() for p in np.split(total, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+            np.add.at(total, np.concatenate(found), 1)
+        slices = [p.astype("<u4").tobytes() for p in np.split(total, SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], names=["slice", "counts"])
 
     def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS // SLICES, np.int64)
@@ -137,7 +136,7 @@ def documents(docs: DataFrame, doc_id: str, text: str, size: int, sent) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for t in batch.column(1).to_pylist():
                 tokens = shingles(t, size)
@@ -222,7 +221,7 @@ def sets(docs: DataFrame, doc_id: str, text: str, size: int, sent, found: DataFr
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"])).select("k1", "k2", "room", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for k1, k2, room, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = shingles(t, size)
@@ -242,7 +241,7 @@ def postings(whole: DataFrame) -> DataFrame:
     """``token, key, n, room`` for the first shingles of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             n = np.array(batch.column("n").to_pylist(), np.int64)
             first = [np.frombuffer(t, np.int64)[: first_of(k)] for t, k in zip(batch.column("tokens").to_pylist(), n.tolist(), strict=True)]
             row = pa.array(np.repeat(np.arange(len(n)), [len(f) for f in first]))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlens.llm.common import add_columns
+from meshlens.llm.common import add_columns, parts
 from meshlens.llm.ftrl import Ftrl, softmax
 
 BITS = 15
@@ -139,7 +139,7 @@ def _frequencies(known: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << BITS, dtype=np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             for t in batch.column(0).to_pylist():
                 n[grams(t)[0]] += 1
         at = n.nonzero()[0]

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meshlens.llm.common import parts
+
 SIZE = 64
 #: Hexadecimal digits of one hash.
 DIGITS = 12
@@ -188,7 +190,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # the row before: its successor's text is known, its fingerprint not yet
         last = None
-        for batch in batches:
+        for batch in parts(batches):
             done = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 number, value, where, extra = row

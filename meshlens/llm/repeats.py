@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlens.llm.common import add_columns
+from meshlens.llm.common import add_columns, parts
 
 LEAST_WORDS = 6
 LEAST_CHARS = 60
@@ -64,21 +64,19 @@ def _digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     kinds = (pa.int64(),) * 5 + (pa.int32(),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                rows = []
-                for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    seen: dict[bytes, int] = {}
-                    for start, end, plain in units(t):
-                        digest = xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))
-                        nth = seen[digest] = seen.get(digest, -1) + 1
-                        k1 = int.from_bytes(digest[:8], "little", signed=True)
-                        k2 = int.from_bytes(digest[8:], "little", signed=True)
-                        rows.append((_LAST if i is None else i, k1, k2, start, end, nth))
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for part in parts(batches):
+            rows = []
+            for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                seen: dict[bytes, int] = {}
+                for start, end, plain in units(t):
+                    digest = xxhash.xxh3_128_digest(plain.encode("utf-8", "surrogatepass"))
+                    nth = seen[digest] = seen.get(digest, -1) + 1
+                    k1 = int.from_bytes(digest[:8], "little", signed=True)
+                    k2 = int.from_bytes(digest[8:], "little", signed=True)
+                    rows.append((_LAST if i is None else i, k1, k2, start, end, nth))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, schema)
 
