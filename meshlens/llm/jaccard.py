@@ -47,7 +47,7 @@ SLICES = 64
 BLOCK = 512
 #: Rounds that compare with one class a shingle, before all that is left is compared; 3 at most.
 STARS = 1
-#: Classes whose ids are sent to all executors; more are joined by shuffle.
+#: So many ids at most are sent to all executors; more are joined by shuffle.
 SENT_IDS = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,7 +188,7 @@ def likely(found: DataFrame, shared: DataFrame) -> DataFrame:
     rows = shared.select("token", slice_of).groupBy("slice").applyInArrow(marked, "slice long, bits binary")
     bitmap = np.zeros((1 << bits) // 8, np.uint8)
     size = len(bitmap) // slices
-    for r in rows.toLocalIterator():  # 2 ** MOST_BITS bits in all
+    for r in rows.collect():  # 2 ** MOST_BITS bits in all
         bitmap[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r.bits, np.uint8)
     sent = found.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -429,6 +429,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     """
     found = stored(join(docs, doc_id, text, size).where(F.col("doc_id").isNotNull()), "jaccard-groups")
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    if found.where("doc_id != component_id").count() <= SENT_IDS:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
     twice = found.groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
     if twice.isEmpty():

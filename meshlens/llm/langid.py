@@ -103,7 +103,7 @@ def train(
         return Model([], np.ones(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0))
     total = sum(count.values())
     idf = np.full(1 << BITS, np.log(1 + total))
-    for r in _frequencies(known).toLocalIterator():
+    for r in _frequencies(known).collect():  # one row a feature at most
         idf[r.at] = np.log((1 + total) / (1 + r.n)) + 1
 
     part = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000))
@@ -126,7 +126,7 @@ def train(
         .agg(F.array(*[F.sum(F.col("weights")[k]) for k in range(len(languages))]).alias("w"), F.count("*").alias("n"))
     )
     weights = np.zeros(((1 << BITS) + 1, len(languages)))
-    for r in fitted.toLocalIterator():
+    for r in fitted.collect():
         weights[r["at"]] = np.array(r.w) / shards
     model = Model(languages, idf, weights[:-1], weights[-1])
     model.temperature = _temperature(chosen.where("fold = 0"), model)

@@ -121,14 +121,17 @@ def units(entity: Column) -> Column:
     gender = F.when(entity.rlike(rf"^(?:{_FEMALE})\b"), "female").otherwise("male")
     last = unit("surname", F.lower(F.element_at(words, -1)))
     names = F.when(F.size(words) > 1, F.array(unit(gender, F.lower(F.get(words, F.lit(0)))), last)).otherwise(F.array(last))
-    kind = kind_of(entity)
-    return (
-        F.when(kind == "email", F.array(unit("email", low), unit("domain", F.substring_index(low, "@", -1))))
-        .when(kind == "name", names)
-        .when(kind == "phone", F.array(unit(kind, digits)))
-        .when(kind == "ip", F.array(unit(kind, entity)))
-        .otherwise(F.array(unit(kind, F.when(kind == "secret", entity).otherwise(plain))))
-    )
+
+    def of(kind: Column) -> Column:
+        return (
+            F.when(kind == "email", F.array(unit("email", low), unit("domain", F.substring_index(low, "@", -1))))
+            .when(kind == "name", names)
+            .when(kind == "phone", F.array(unit(kind, digits)))
+            .when(kind == "ip", F.array(unit(kind, entity)))
+            .otherwise(F.array(unit(kind, F.when(kind == "secret", entity).otherwise(plain))))
+        )
+
+    return let(kind_of(entity), of)
 
 
 def luhn(digits: Column) -> Column:

@@ -136,7 +136,7 @@ def train(
         .groupBy("at")
         .agg(F.sum("weight").alias("weight"))
     )
-    weights = {r["at"]: r.weight / shards for r in fitted.toLocalIterator()}
+    weights = {r["at"]: r.weight / shards for r in fitted.collect()}
     held = min(count[1], sample) / (min(count[1], sample) + min(count[0], sample))
     bias = weights.pop(1 << BITS, 0.0) + prior - math.log(held / (1 - held))
     return Model(bias, weights)
