@@ -355,7 +355,7 @@ def s1(spark, sf):
 
 @query(
     "s2_complete_dumps",
-    f"""SELECT snapshot_id, length(text) + 1 + CASE WHEN d % 4 = 0 THEN length('no clock') WHEN d % 4 = 1 THEN length('page generated on Thursday')
+    f"""SELECT snapshot_id, length(text) + 1 + CASE WHEN d % 4 = 0 THEN length('no clock') WHEN d % 4 = 1 THEN length('page generated on Monday')
   ELSE length(' Page generated on Mon Feb 09 03:07:41 UTC 2032') END + 1 + length('page generated on Fri Jan 02 00:00:00 UTC 1970') + 1 + length('{fmt.END_OF_DUMP}') AS n_chars
 FROM ({_RAW}) r WHERE d % 5 != 0""",
 )
