@@ -387,7 +387,9 @@ def against_hubs(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> Data
 
     Shingles that name another class are not counted here, so this may miss links.
     """
-    counted = rows.where("key != hub").groupBy("hub", "key").agg(F.count("*").alias("shared"))
+    counted = rows.where("key != hub").groupBy("hub", "key", "n").agg(F.count("*").alias("shared"))
+    # the other set has at least SAME hundredths of this one's size
+    counted = counted.where(f"shared * 10000 >= n * {SPARE * SAME}").drop("n")
     info = classes.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
     both = counted.join(info, "key").join(info.toDF("hub", "m", "top_room", "top"), "hub")
     return both.where(f"{_ENOUGH} AND {_MAY_LINK}")
