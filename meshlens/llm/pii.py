@@ -9,7 +9,10 @@ bank accounts, cards, names after a form of address) get replacements derived fr
   the gender of the form of address;
 * the same for every mention of an entity, however it is written (``coreference``);
 * different for different entities, and never an entity that itself occurs: stand-ins that collide
-  anywhere in the corpus are drawn anew until none does.
+  anywhere in the corpus are drawn anew until none does. They grow with the attempts: mail addresses
+  and domains from the third draw on, phone and social security numbers from the ninth; from the ninth
+  on private networks leave their range, and after 32 draws an IP address becomes a private IPv6 one,
+  which no detected address equals. So a free stand-in is always found.
 
 Only the distinct entities are compared with each other; documents are not shuffled, unless some
 stand-in was drawn anew. NULL and empty texts stay as they are, and so does all text outside of
@@ -44,6 +47,8 @@ PATTERNS = [
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Every entity has one of these in it; a text without any is not searched further.
 HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|{_TITLE} \p{{Lu}}"
+#: Draws before numbers grow and private networks leave their range, and before IPv4 is left.
+SAME_SIZE, IPV4 = 8, 32
 #: Alphabets; a character is replaced by one of its own.
 ALPHABETS = [
     "0123456789",
@@ -87,11 +92,12 @@ def pick(values: list[str], number: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), number % len(values))
 
 
-def swapped(x: Column, digits: Column) -> Column:
-    """Each character of an alphabet replaced by another of it; other letters by ``x``."""
+def swapped(x: Column, digits: Column, attempt: Column) -> Column:
+    """Each character of an alphabet replaced by another of it; other letters and digits by ``x``, drawn anew by any."""
 
     def one(c: Column, i: Column) -> Column:
-        out = F.when(c.rlike(r"\p{L}"), F.lit("x")).otherwise(c)
+        other = F.when(attempt == 0, F.lit("x")).otherwise(F.substr(F.lit(ALPHABETS[1]), byte(digits, i) % 26 + 1, F.lit(1)))
+        out = F.when(c.rlike(r"[\p{L}\p{N}]"), other).otherwise(c)
         for alphabet in ALPHABETS:
             new = F.substr(F.lit(alphabet), byte(digits, i) % len(alphabet) + 1, F.lit(1))
             out = F.when(F.lit(alphabet).contains(c), new).otherwise(out)
@@ -166,25 +172,33 @@ def stand_in(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         top = F.regexp_extract(norm, r"(\.[^.]+)$", 1)
         head = F.substr(norm, F.lit(1), F.length(norm) - F.length(top))
         octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (byte(digits, i) % 254 + 1).cast("string"))
-        octet = F.regexp_extract(norm, r"^(10\.|127\.|192\.168\.)", 1)  # private networks stay private
+        own = F.regexp_extract(norm, r"^(10\.|127\.|192\.168\.)", 1)  # private networks stay private
+        wide = F.when((attempt < 2 * SAME_SIZE) & (own != ""), "10.").otherwise("")  # while there is room
+        octet = F.when(attempt < SAME_SIZE, own).otherwise(wide)
         address = F.concat(octet, F.array_join(F.slice(octets, 1, F.when(octet == "", 4).when(octet == "192.168.", 2).otherwise(3)), "."))
-        fresh = swapped(F.substr(norm, F.lit(2), F.length(norm) - 2), digits)
+        sixth = F.regexp_replace(F.concat(F.lit("fd"), F.substr(digits, F.lit(1), F.lit(30))), "(.{4})(?!$)", "$1:")
+        address = F.when(attempt < IPV4, address).otherwise(sixth)
+        fresh = swapped(F.substr(norm, F.lit(2), F.length(norm) - 2), digits, attempt)
         fifteen = F.concat(F.substr(norm, F.lit(1), F.lit(1)), fresh)
         card = F.concat(fifteen, ((luhn(norm) - luhn(F.concat(fifteen, F.lit("0"))) + 10) % 10).cast("string"))
         code = F.when(norm.startswith("1"), 1).otherwise(2)
-        phone = F.concat(F.substr(norm, F.lit(1), code), swapped(F.substr(norm, code + 1, F.length(norm)), digits))
+        phone = F.concat(F.substr(norm, F.lit(1), code), swapped(grown(F.substr(norm, code + 1, F.length(norm)), "0", SAME_SIZE), digits, attempt))
         prefix = F.regexp_extract(norm, r"^(AKIA|gh[pousr]_|sk-|)", 1)
         hexed = F.array_join(
             F.transform(F.sequence(F.lit(0), F.length(norm) - 1), lambda i: F.lower(F.hex((byte(digits, i) % 16).cast("long")))), ""
         )
-        secret = F.when(prefix == "", hexed).otherwise(F.concat(prefix, swapped(F.substr(norm, F.length(prefix) + 1, F.length(norm)), digits)))
-        account = checked_account(F.substr(norm, F.lit(1), F.lit(2)), swapped(F.substr(norm, F.lit(5), F.length(norm)), digits))
-        out = F.when(kind == "email", F.concat(swapped(local, digits), F.lit("@"), domain))
-        out = out.when(kind == "domain", F.concat(swapped(head, digits), top))
+        secret = F.when(prefix == "", hexed).otherwise(F.concat(prefix, swapped(F.substr(norm, F.length(prefix) + 1, F.length(norm)), digits, attempt)))
+        account = checked_account(F.substr(norm, F.lit(1), F.lit(2)), swapped(F.substr(norm, F.lit(5), F.length(norm)), digits, attempt))
+        out = F.when(kind == "email", F.concat(swapped(grown(local, "x", 2), digits, attempt), F.lit("@"), domain))
+        out = out.when(kind == "domain", F.concat(swapped(grown(head, "x", 2), digits, attempt), top))
         out = out.when(kind == "ip", address).when(kind == "card", card).when(kind == "phone", phone)
-        out = out.when(kind == "iban", account).when(kind == "secret", secret).when(kind == "ssn", swapped(norm, digits))
+        out = out.when(kind == "iban", account).when(kind == "secret", secret).when(kind == "ssn", swapped(grown(norm, "0", SAME_SIZE), digits, attempt))
         return out.otherwise(made_up(digits))
 
+    def grown(x: Column, by: str, start: int) -> Column:
+        """``x`` with a character more at every attempt from ``start`` on."""
+        return F.concat(x, F.repeat(F.lit(by), F.greatest(attempt.cast("int") - start + 1, F.lit(0))))
+
     def made_up(digits: Column) -> Column:
         return F.when(norm.rlike(r"\p{IsCyrillic}"), named("cyrillic", digits)).otherwise(named("latin", digits))
 
@@ -199,16 +213,23 @@ def stand_in(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     return let(stream(key, kind, norm, attempt), made)
 
 
-def written_as(entity: Column, plain: Column) -> Column:
-    """``plain`` put in the places of the letters and digits of ``entity``, the last ones if it has fewer."""
-    size = F.length(F.regexp_replace(entity, _ALNUM, ""))
+def written_as(entity: Column, norm: Column, plain: Column) -> Column:
+    """``plain`` put in the places of the letters and digits of ``entity``, which may lack the first ones of its
+    ``norm``; what ``plain`` has grown by stands behind."""
+    left_out = F.length(norm) - F.length(F.regexp_replace(entity, _ALNUM, ""))
 
     def one(c: Column, i: Column) -> Column:
         place = F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), _ALNUM, ""))
-        new = F.substr(plain, F.length(plain) - size + place, F.lit(1))
+        new = F.substr(plain, left_out + place, F.lit(1))
         return F.when(c.rlike(_ALNUM), c).otherwise(new)
 
-    return F.array_join(F.transform(chars(entity), one), "")
+    behind = F.substr(plain, F.length(norm) + 1, F.length(plain))
+    return F.concat(F.array_join(F.transform(chars(entity), one), ""), behind)
+
+
+def mail_parts(mail: Column) -> Column:
+    """Local part, domain head and top-level domain."""
+    return F.split(mail, r"@|\.(?=[^.@]*$)")
 
 
 def cased_as(entity: Column, plain: Column) -> Column:
@@ -229,13 +250,15 @@ def surrogate(key: str, entity: Column, attempts: Column | None) -> Column:
     def put(parts: Column, found: Column) -> Column:
         kind = F.get(parts, F.lit(0))["kind"]
         first, last = F.get(found, F.lit(0)), F.element_at(found, -1)
-        mail = F.concat(F.substring_index(first, "@", 1), F.lit("@"), last)
+        sides = F.arrays_zip(mail_parts(entity).alias("e"), mail_parts(F.concat(F.substring_index(first, "@", 1), F.lit("@"), last)).alias("f"))
+        mail = F.transform(sides, lambda p: cased_as(p["e"], p["f"]))
+        mail = F.concat(F.get(mail, F.lit(0)), F.lit("@"), F.get(mail, F.lit(1)), F.lit("."), F.get(mail, F.lit(2)))
         title = F.regexp_extract(entity, rf"^({_TITLE}) ", 1)
         words = F.split(F.regexp_replace(entity, rf"^{_TITLE} ", ""), " ")
         named = F.transform(F.arrays_zip(words.alias("w"), found.alias("f")), lambda p: F.when((F.upper(p["w"]) == p["w"]) & (F.length(p["w"]) > 1), F.upper(p["f"])).otherwise(F.initcap(p["f"])))
         name = F.concat_ws(" ", title, F.array_join(named, " "))
-        out = F.when(kind == "email", cased_as(entity, mail)).when(kind.isin("female", "male", "surname"), name)
-        return out.when(kind.isin("ip", "secret"), first).otherwise(written_as(entity, first))
+        out = F.when(kind == "email", mail).when(kind.isin("female", "male", "surname"), name)
+        return out.when(kind.isin("ip", "secret"), first).otherwise(written_as(entity, F.get(parts, F.lit(0))["norm"], first))
 
     return let(units(entity), lambda parts: let(F.transform(parts, drawn), lambda found: put(parts, found)))
 

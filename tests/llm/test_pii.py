@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from meshlens.llm import pii
 
 KEY = "k"
@@ -126,6 +128,37 @@ def test_collisions_are_drawn_anew(spark):
     assert len(set(chosen.values())) == len(chosen) and not set(chosen.values()) & set(chosen)
 
 
+def settled(spark, texts):
+    """Texts after replacement, all different and none of them an original."""
+    got = run(spark, texts)
+    out = [got[k].text for k in range(len(texts))]
+    assert len(set(out)) == len(out) and not set(out) & set(texts)
+    return out
+
+
+def test_redraw_ends_where_nothing_can_be_swapped_or_values_are_few(spark):
+    texts = ["_@foo.com", "-@foo.com", "李小@foo.com", "王明@foo.com", "a@李.com", "a@王.com", "A@-.COM"]
+    texts += [f"{d}@few.com" for d in range(10)] + [f"a@{c}.net" for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = settled(spark, texts)
+    assert all(re.fullmatch(pii.PATTERNS[0][1].replace(r"\p{L}\p{N}", r"\w").replace(r"\p{L}", r"[^\W\d]"), x) for x in out)
+    assert not any(c in x for x in out for c in "李小王明") and re.fullmatch(r"[A-Z]@-[a-z]+\.COM", out[6])
+
+
+def test_later_draws_grow_or_leave_the_private_range(spark):
+    rows = [("ip", "192.168.3.4"), ("ip", "10.1.2.3"), ("phone", "10175557713"), ("ssn", "078051120"), ("email", "_@a.b")]
+    units = spark.createDataFrame(rows, "kind string, norm string").crossJoin(spark.range(40).withColumnRenamed("id", "attempt"))
+    made = units.withColumn("new", pii.stand_in(KEY, units["kind"], units["norm"], units["attempt"])).collect()
+    new = {(r.kind, r.norm, r.attempt): r.new for r in made}
+    assert [new["ip", "192.168.3.4", k].startswith(p) for k, p in ((7, "192.168."), (8, "10."), (15, "10."))] == [True] * 3
+    assert new["ip", "10.1.2.3", 15].startswith("10.") and re.fullmatch(r"\d+(\.\d+){3}", new["ip", "192.168.3.4", 31])
+    assert re.fullmatch(r"fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", new["ip", "10.1.2.3", 32])
+    assert [len(new["phone", "10175557713", k]) for k in (0, 7, 8, 10)] == [11, 11, 12, 14]
+    assert [len(new["ssn", "078051120", k]) for k in (0, 7, 8)] == [9, 9, 10]
+    assert len({new["email", "_@a.b", k] for k in range(2, 40)}) == 38
+    shown = pii.written_as(F.lit("(017) 555-7713"), F.lit("10175557713"), F.lit("1234567890123"))
+    assert spark.range(1).select(shown).first()[0] == "(234) 567-890123"
+
+
 def test_clean_text_nulls_and_clashing_columns(spark):
     rows = [(1, None, None, 1, "a"), (2, "", 0, 2, "b"), (3, "Don. La 12 3.4.5 x@y 2020-01-02 v1.2.3", 7, 3, "c"), (4, "a 1.2.3.4 b", 11, 4, "d"), (4, "a 1.2.3.4 b", 11, 4, "d")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, kind int, norm string")
