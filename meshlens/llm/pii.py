@@ -31,14 +31,22 @@ _MALE = r"Mr|Monsieur|Herr|Sr|Señor|Господин"
 _TITLE = r"(?:(?:Mrs|Ms|Mr|Mme|Mlle|Sra|Sr)\.?|Madame|Frau|Señora|Señorita|Госпожа|Monsieur|Herr|Señor|Господин)"
 _NAME = r"\p{Lu}[\p{L}'’\-]{1,30}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Between the groups of a phone number; also the spaces that French writing keeps together.
+_SEP = "[ .\\-\u00a0\u202f]"
+_GAP = "[() .\\-\u00a0\u202f]"
+#: A country code; +7 has ten digits behind it. A number has at most 15 digits.
+_CODE = rf"(?:7(?={_GAP}{{0,2}}(?:\d{_GAP}{{0,2}}){{9}}\d)|(?!1)\d{{2,3}})"
+_MOST = r"(?<!\d" + rf"{_GAP}{{0,2}}\d" * 15 + ")"  # spelled out: no loops of groups behind
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Type and pattern, tried in this order at every place.
 PATTERNS = [
     ("email", r"[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}"),
     ("secret", r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
-    ("phone", r"(?<![\p{L}\p{N}])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)"),
-    ("phone", r"(?<![\p{L}\p{N}])\+(?!1)\d{2}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)"),
-    ("phone", r"(?<![\p{L}\p{N}.+\-])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"),
+    ("phone", rf"(?<![\p{{L}}\p{{N}}])\+1{_SEP}?\(?\d{{3}}\)?{_SEP}?\d{{3}}{_SEP}?\d{{4}}(?!\d)"),
+    ("phone", rf"(?<![\p{{L}}\p{{N}}])\+{_CODE}{_SEP}?(?:\(0\){_SEP}?)?\(?\d{{1,4}}\)?(?:{_SEP}?\d{{2,4}}){{2,5}}(?!\d){_MOST}"),
+    ("phone", rf"(?<![\p{{L}}\p{{N}}.+\-])(?:1{_SEP})?(?:\(\d{{3}}\) ?|\d{{3}}[.\-])\d{{3}}[.\-]\d{{4}}(?!\d)"),
     ("ssn", r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("card", r"(?<!\d)(?:\d{4}[ \-]?){3}\d{4}(?!\d)|(?<!\d)3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}(?!\d)"),
@@ -181,7 +189,7 @@ def stand_in(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         fresh = swapped(F.substr(norm, F.lit(2), F.length(norm) - 2), digits, attempt)
         fifteen = F.concat(F.substr(norm, F.lit(1), F.lit(1)), fresh)
         card = F.concat(fifteen, ((luhn(norm) - luhn(F.concat(fifteen, F.lit("0"))) + 10) % 10).cast("string"))
-        code = F.when(norm.startswith("1"), 1).otherwise(2)
+        code = F.length(F.regexp_extract(norm, _COUNTRY, 1))
         phone = F.concat(F.substr(norm, F.lit(1), code), swapped(grown(F.substr(norm, code + 1, F.length(norm)), "0", SAME_SIZE), digits, attempt))
         prefix = F.regexp_extract(norm, r"^(AKIA|gh[pousr]_|sk-|)", 1)
         hexed = F.array_join(

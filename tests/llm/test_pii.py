@@ -128,6 +128,31 @@ def test_collisions_are_drawn_anew(spark):
     assert len(set(chosen.values())) == len(chosen) and not set(chosen.values()) & set(chosen)
 
 
+def test_phone_numbers_of_the_languages_served(spark):
+    numbers = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33\u00a06\u202f12 34 56 79", "+33 (0)1 23 45 67 88", "+7 912 345 67 89", "+7 (912) 345-67-80"]
+    numbers += ["+79123456781", "1-800-555-1234", "1 (800) 555-1235", "+358 9 123 4567", "+49 30 1234 5678", "+1 (800) 555-1236"]
+    got = run(spark, [f"see {n}, {n}; not {n[-1]}." for n in numbers])
+    for k, (n, code) in enumerate(zip(numbers, "33 33 33 33 7 7 7 1 1 358 49 1".split(), strict=True)):
+        assert got[k].kinds == ["phone", "phone"], n
+        one, two = re.fullmatch(rf"see (.+), (.+); not {n[-1]}\.", got[k].text).groups()
+        assert one == two != n and re.sub(r"\d", "0", one) == re.sub(r"\d", "0", n)
+        plain = "".join(filter(str.isdigit, n))
+        own = stream("phone", plain)
+        assert "".join(filter(str.isdigit, one)) == code + swapped(plain[len(code) :], own)
+
+
+def test_numbers_beside_a_phone_number_stay(spark):
+    got = run(spark, ["+49 30 1234 5678 2020 1999", "+33 6 12 34 56 78 123456", "+7 10 20 30 and 1-800 and 21-800-555-1234"])
+    assert got[0].text.endswith(" 2020 1999") and got[1].text.endswith(" 123456") and got[0].kinds == got[1].kinds == ["phone"]
+    assert "12 34 56 78" not in got[1].text and got[2].kinds == []
+
+
+def test_other_writings_of_a_phone_number(spark):
+    got = run(spark, ["1-800-555-1234", "(800) 555-1234", "+1 800 555 1234", "+33 6 12 34 56 78", "+33612345678", "+33 6 12 34 56 79"])
+    plain = ["".join(filter(str.isdigit, got[k].text)) for k in range(6)]
+    assert plain[0] == plain[2] == "1" + plain[1] and plain[3] == plain[4] != plain[5]
+
+
 def settled(spark, texts):
     """Texts after replacement, all different and none of them an original."""
     got = run(spark, texts)
