@@ -915,18 +915,21 @@ def k6_landed(spark, sf):
 NIC_SERIES = rates.Series(("intf",), ("rx_bytes", "tx_bytes"))
 
 
-def _streamed_nic(spark, sf, parts: int, order: str) -> DataFrame:
+NIC_COPIES = rates.Series(("intf",), ("rx_bytes", "tx_bytes"), row_id="id")
+
+
+def _streamed_nic(spark, sf, parts: int, order: str, table: str = "nic_counter", series: rates.Series = NIC_SERIES) -> DataFrame:
     """Rates from a stream of ``parts`` files cut along ``order``."""
     folder, landing = lake.shared_folder(spark, "rates"), lake.shared_folder(spark, "series")
-    rows = fx.table(spark, sf, "nic_counter").selectExpr(
-        "intf", "unix_millis(fetched_at) AS t_ms", "rx_bytes", "tx_bytes"
+    rows = fx.table(spark, sf, table).selectExpr(
+        "intf", *series.ids, "unix_millis(fetched_at) AS t_ms", "rx_bytes", "tx_bytes"
     )
     cut = rows.withColumn("part", F.expr(f"pmod({order}, {parts})"))
     for k in range(parts):  # each part lands as files of its own and is drained
         cut.where(F.col("part") == k).drop("part").write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(NIC_SERIES.ddl()).parquet(landing)
-        rates.stream_links(stream, NIC_SERIES, folder, f"{folder}/_checkpoint").awaitTermination()
-    links = rates.current_links(spark, NIC_SERIES, folder)
+        stream = spark.readStream.schema(series.ddl()).parquet(landing)
+        rates.stream_links(stream, series, folder, f"{folder}/_checkpoint").awaitTermination()
+    links = rates.current_links(spark, series, folder)
     return links.where("rx_bytes >= prev_rx_bytes AND tx_bytes >= prev_tx_bytes").selectExpr(
         "t_ms", "intf", "rx_bytes - prev_rx_bytes AS d_rx_bytes",
         "tx_bytes - prev_tx_bytes AS d_tx_bytes", "(t_ms - prev_ms) / 1e3 AS elapsed_secs",
@@ -948,6 +951,18 @@ def t5(spark, sf):
     return _streamed_nic(spark, sf, 3, "t_ms div 3600000")
 
 
+@query("t4_stream_rates_copies", _V5_COPIES)
+def t4_copies(spark, sf):
+    """Several rows of an interface at one time, in order."""
+    return _streamed_nic(spark, sf, 3, "t_ms div 864000000", "nic_copies", NIC_COPIES)
+
+
+@query("t5_late_rows_copies", _V5_COPIES)
+def t5_copies(spark, sf):
+    """Rows of one time come in different files."""
+    return _streamed_nic(spark, sf, 3, "rx_bytes div 1000", "nic_copies", NIC_COPIES)
+
+
 def _captured(spark, sf, batches: list[DataFrame], payloads: DataFrame | None = None) -> str:
     """Batches of dumps taken in one after the other; the lake's folder."""
     store = lake.shared_folder(spark, "lake")

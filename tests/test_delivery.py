@@ -248,6 +248,32 @@ def test_streamed_rates_equal_batch_rates(spark, tmp_path):
     assert got == want
 
 
+def test_streamed_rates_pair_all_rows_of_a_time(spark, tmp_path):
+    """Rows of one time with other figures, in one batch and in later ones; redelivery by id and, without one, by figures."""
+    batches = [
+        [("e0", "a", 10, 5, 5), ("e0", "b", 10, 6, None), ("e0", "c", 20, 9, 9), ("e0", "i", 20, 9, 9), ("e1", "d", 10, 1, 1)],
+        [("e0", "e", 20, 8, 7), ("e0", "c", 20, 9, 9), ("e1", "f", 20, 4, 4), ("e1", "g", 20, 4, 5), ("e0", "b", 10, 6, None)],
+        [("e0", "h", 10, 3, 3), ("e0", "j", 30, 8, 20), ("e1", "k", 30, 0, 0), ("e1", None, 30, 1, 1)],
+        [("e0", "l", 15, 6, 6), ("e1", "m", 30, 10, 10), ("e1", None, 30, 1, 1)],
+    ]
+    for ids in (1, 0):
+        line = rates.Series(("intf",), ("rx_bytes", "tx_bytes"), row_id="id" if ids else None)
+        cut = [[r[:1] + r[2 - ids :] for r in rows] for rows in batches]
+        folder = str(tmp_path / f"state{ids}")
+        for k, rows in enumerate(cut):
+            for _ in range(2 if k == 2 else 1):
+                rates.link_batch(spark.createDataFrame(rows, line.ddl()), k, line, folder)
+        names = [*line.ids, "intf", "t_ms", "prev_ms", "rx_bytes", "tx_bytes", "prev_rx_bytes", "prev_tx_bytes"]
+        got = sorted(map(repr, (tuple(r) for r in rates.current_links(spark, line, folder).select(*names).collect())))
+        points = {r for b in cut for r in b}
+        want = []
+        for c in points:
+            before = [p for p in points if p[0] == c[0] and p[-3] < c[-3]]
+            last = max((p[-3] for p in before), default=None)
+            want += [repr((*c[1 : 1 + ids], c[0], c[-3], last, *c[-2:], *p[-2:])) for p in before if p[-3] == last]
+        assert got == sorted(want)
+
+
 def landed(spark, root):
     sats = DUMP.replace("wifi1", "wifi7")
     dumps = spark.createDataFrame(
