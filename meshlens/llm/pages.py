@@ -4,6 +4,11 @@ A page is read into a flat list of text blocks. Each block has its number of wor
 density, those of the blocks before and after it, and what markup it stands in. A decision tree
 fitted on the small labelled table below tells main text from the rest.
 
+Class, id and role names mark a part as no main text where a whole name says so (``comments``,
+``cookie-notice``, ``sidebar-left``, but not ``has-sidebar`` or ``related-work``), unless the part is
+the wrapper of the page: it holds a main element or all articles, or, on a page without both, a first
+heading and most of the words.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 in page order by one space; nothing else is dropped or cut. NULL counts as the empty page; a page
 without main text gives the empty text. Rows are neither dropped nor merged; a column named like
@@ -32,41 +37,77 @@ BLOCKS = frozenset(
     " textarea tfoot th thead title tr ul".split()
 )
 #: Elements whose text is never shown or is data.
-HIDDEN = frozenset("script style template title noscript iframe object svg math textarea select head".split())
+HIDDEN = frozenset("script style template title noscript iframe object svg annotation annotation-xml textarea select head".split())
 #: Their content is read up to the matching end tag, whatever it looks like.
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-APART = frozenset("nav footer aside form menu button dialog fieldset search".split())
+APART = frozenset("nav footer aside menu button search".split())
+#: As the names below: apart, unless they are the wrapper of the page.
+MARKED = frozenset("form dialog fieldset".split())
+TOPS = frozenset(("main", "article"))
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SAME_CLOSES = {"li": "ul ol menu", "dd": "dl", "dt": "dl", "td": "tr table", "th": "tr table", "tr": "table", "option": "select"}
-#: Parts of class, id and role names that mark what is not main text.
+#: Words of class, id and role names that mark what is not main text.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|banner|breadcrumbs?|comments?|respond|reply|replies|cookies?|consent|gdpr|"
+    r"ads?|adverts?|advert\w*|banner|breadcrumbs?|comments?|respond|reply|replies|cookies?|consent|gdpr|"
     r"copyright|disclaimer|disqus|footer|form|header|legal|login|masthead|menu|modal|nav\w*|newsletter|notice|notices|"
     r"notification|pager|pagination|popup|promo\w*|recommend\w*|related|search|share|sharing|sidebar|side|skip|social|"
-    r"sponsor\w*|subscribe|subscription|tags|teaser|toolbar|topbar|warning|alert|widget)(?=$|[\s_-])",
+    r"sponsor\w*|subscribe|subscription|tags|teaser|toolbar|topbar|warning|alert|widget",
     re.I,
 )
+#: Words that may stand before and behind them in one name.
+BEFORE = frozenset("site main primary secondary global top bottom left right mobile desktop".split())
+BEHIND = BEFORE | frozenset(
+    "list item items box bar block section area container wrapper wrap inner outer content link links post posts article articles"
+    " story stories button buttons icon icons title slot unit policy message panel group row column".split()
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SHOWN_NOT = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+@functools.lru_cache(maxsize=4096)
+def hints(named: str) -> frozenset[str]:
+    """The words that mark what is not main text, of names that are made of such words as a whole."""
+    out: set[str] = set()
+    for name in named.lower().split():
+        words = [w for w in re.split("[-_]+", name) if w]
+        at = [k for k, w in enumerate(words) if HINT.fullmatch(w)]
+        if at and BEFORE.issuperset(words[: at[0]]) and all(k in at or w in BEHIND or w.isdigit() for k, w in enumerate(words[at[0] :], at[0])):
+            out.update(words[k] for k in at)
+    return frozenset(out)
+
+
+class Part:
+    """A marked part of a page: what it holds tells whether it is the wrapper of all."""
+
+    __slots__ = ("tops", "mains", "heads", "words")
+
+    def __init__(self) -> None:
+        self.tops = self.mains = self.heads = self.words = 0
+
+    def wraps(self, page: Part) -> bool:
+        if page.mains:
+            return self.mains > 0
+        return self.tops == page.tops if page.tops else self.heads > 0 and 2 * self.words > page.words
+
+
 class Block:
-    __slots__ = ("text", "words", "links", "apart", "inside", "heading", "item")
+    __slots__ = ("text", "words", "links", "apart", "inside", "heading", "item", "marked")
 
-    def __init__(self, parts: list[tuple[str, bool]], apart: bool, inside: bool, heading: bool, item: bool):
+    def __init__(self, parts: list[tuple[str, bool]], apart: bool, inside: bool, heading: bool, item: bool, marked: list[Part]):
         self.text = " ".join("".join(t for t, _ in parts).split())
         self.words = len(self.text.split())
         self.links = len("".join(t if linked else " " for t, linked in parts).split())
-        self.apart, self.inside, self.heading, self.item = apart, inside, heading, item
+        self.apart, self.inside, self.heading, self.item, self.marked = apart, inside, heading, item, marked
 
 
 def blocks(page: str | None) -> list[Block]:
     """The shown text blocks of a page, in order."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, begins a part that is not main text, hidden
+    stack: list[tuple[str, bool, bool, Part | None]] = []  # element, begins a part that is not main text, hidden, marked part
+    whole_page = Part()
 
     def flush() -> None:
         if any(not t.isspace() for t, _ in parts):
@@ -74,7 +115,10 @@ def blocks(page: str | None) -> list[Block]:
             inside = "article" in names or "main" in names
             top = names.index("article") if "article" in names else names.index("main") if inside else -1
             apart = any(s[1] for s in stack) or "header" in names[: top if inside else None]
-            out.append(Block(parts, apart, inside, any(n in CLOSED_BY_BLOCK and n != "p" for n in names), "li" in names))
+            marked = [s[3] for s in stack if s[3]]
+            out.append(Block(parts, apart, inside, any(n in CLOSED_BY_BLOCK and n != "p" for n in names), "li" in names, marked))
+            for part in (whole_page, *marked):
+                part.words += out[-1].words
         parts.clear()
 
     def say(text: str) -> None:
@@ -130,10 +174,19 @@ def blocks(page: str | None) -> list[Block]:
             end = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        named = " ".join(a or b or c for a, b, c in _NAMES.findall(tag[4]))
-        whole = name in ("body", "html", "article", "main")
-        stack.append((name, name in APART or bool(named and not whole and HINT.search(named)), name in HIDDEN or bool(_SHOWN_NOT.search(tag[4]))))
+        named = hints(" ".join(a or b or c for a, b, c in _NAMES.findall(tag[4])))
+        within = any(s[0] in TOPS for s in stack)
+        shown = not any(s[2] for s in stack)
+        for part in (whole_page, *(s[3] for s in stack if s[3])) if shown else ():
+            part.tops += name in TOPS and not within
+            part.mains += name == "main"
+            part.heads += name == "h1"
+        whole = name in ("body", "html", "article", "main") or named == {"header"} and within
+        part = Part() if name in MARKED or named and not whole else None
+        stack.append((name, name in APART, name in HIDDEN or bool(_SHOWN_NOT.search(tag[4])), part))
     flush()
+    for block in out:
+        block.apart = block.apart or any(not part.wraps(whole_page) for part in block.marked)
     return out
 
 
@@ -202,6 +255,9 @@ LABELLED = [
     f"<td>main:{_prose(1)}</td></tr></table></article><nav>{_links(3)}</nav>",
     f"<p>main:{_prose(30)}</p><p>main:{_prose(12)}</p><p>main:{_prose(5)}</p>",
     f"<div class='banner'>{_prose(60)}</div><p>main:{_prose(44)}</p><div class='newsletter'><form><p>{_prose(14)}</p><button>{_prose(1)}</button></form></div><p>main:{_prose(20)}</p>",
+    f"<div class='layout has-sidebar'><form id='form'><main><h1>main:{_prose(4)}</h1><p>main:{_prose(30)}</p><section id='related-work'><p>main:{_prose(20)}</p></section>"
+    f"<section aria-label='Side effects'><p>main:{_prose(22)}</p></section><div class='share'><p>{_prose(9)}</p></div></main></form><div class='sidebar-left'>{_prose(40)}</div></div>",
+    f"<div class='widget'><h1>main:{_prose(5)}</h1><p>main:{_prose(48)}</p><p>main:{_prose(31)}</p><div class='comments-list'><p>{_prose(26)}</p></div></div><div class='sidebar'><p>{_prose(21)}</p></div>",
     f"<main><nav>{_links(3, 2)}</nav><section><h2>main:{_prose(3)}</h2><p>main:{_prose(9)}</p></section><aside><p>{_prose(50)}</p></aside></main>",
 ]
 

@@ -24,6 +24,31 @@ def test_main_text(html, want):
     assert pages.main_text(html) == want
 
 
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "no-sidebar", "sticky-header page", "elementor-widget", "long-form", "side-by-side", "widget", "form"])
+@pytest.mark.parametrize("inner", ["<main>%s</main>", "<article>%s</article>", "<div><h1>Head</h1>%s</div>"])
+def test_hints_on_wrappers_do_not_count(wrapper, inner):
+    page = f"<div class='{wrapper}'>" + inner % f"<p>{PROSE}</p><p>{PROSE}</p>" + "</div>"
+    head = "Head " if "Head" in inner else ""
+    assert pages.main_text(page) == f"{head}{PROSE} {PROSE}"
+    assert pages.main_text(page + f"<div class='sidebar'><p>{PROSE}</p></div>") == f"{head}{PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("part", ["<section id='related-work'>%s</section>", "<section aria-label='Side effects'>%s</section>", "<div class='header'>%s</div>"])
+def test_parts_of_an_article_that_only_look_like_hints_stay(part):
+    assert pages.main_text(f"<article><p>{PROSE}</p>{part % f'<p>{PROSE}</p>'}</article>") == f"{PROSE} {PROSE}"
+
+
+def test_hints_inside_and_beside_the_article_count():
+    comments = f"<section id='comments'><article><p>{PROSE}</p></article></section>"
+    assert pages.main_text(f"<article><p>{PROSE} one</p></article>{comments}") == f"{PROSE} one"
+    assert pages.main_text(f"<div class='widget'><main><p>{PROSE} one</p>{comments}</main></div>") == f"{PROSE} one"
+
+
+def test_formulas_are_text():
+    math = "<math><semantics><mrow><mi>a</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>a=1</annotation></semantics></math>"
+    assert pages.main_text(f"<article><p>{PROSE} {math} holds</p></article>") == f"{PROSE} a=1 holds"
+
+
 def test_labelled_table_is_learned():
     for page in pages.LABELLED:
         found = pages.blocks(page)
