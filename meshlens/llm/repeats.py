@@ -1,10 +1,15 @@
-"""Substring dedup by hashes of lines and of the sentences in them.
+"""Substring dedup by hashes of lines, of the sentences in them and of parts of long sentences.
 
 A text is cut into lines, and a line after each sentence of at least ``LEAST_WORDS`` words; shorter
-sentences belong to the unit that follows. Where a unit ends depends on its last sentence alone, so
-the units inside a passage are the same wherever it stands, but for its first one. Units are
-normalised (lower case, runs of white space as one space) and hashed; a unit of fewer words than
-``LEAST_WORDS`` (and fewer than ``LEAST_CHARS`` characters, for scripts without spaces) is left alone.
+sentences belong to the unit that follows. What is still long is cut where the content says so: after
+the words whose hash, with the two words before, is the least of all within ``REACH`` words on both
+sides, if the nearest other cut is further away than that. Where a unit ends depends on the words
+around alone, so the units inside a passage are the same wherever it stands, but for those at its
+ends: of a passage that begins and ends inside sentences about a unit is left at both.
+
+In scripts without spaces two characters count as a word, and a full stop needs no space behind it.
+Units are normalised (lower case, runs of white space as one space) and hashed; a unit of fewer words
+than ``LEAST_WORDS`` (and fewer than ``LEAST_CHARS`` characters) is left alone.
 
 Of equal units, wherever they are, the one that stands earliest is kept, by document id and place;
 the others are removed. Offsets are code points of the original text.
@@ -16,8 +21,10 @@ them counts once, and all of them keep it. Rows without an id rank after all oth
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,28 +34,79 @@ from meshlens.llm.common import add_columns, parts
 
 LEAST_WORDS = 6
 LEAST_CHARS = 60
-_END = re.compile(r"[.!?…。！？]+(?=\s)\s*|\n")
+#: Words around a cut by content that hold no other cut: units have LEAST_WORDS at least.
+REACH = LEAST_WORDS - 1
+_END = re.compile(r"[.!?…。！？]+(?:(?=\s)|(?<=[。！？]))\s*|\n")
+#: Characters of scripts without spaces: Thai to Burmese, Khmer, kana and Han.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_IS_DENSE = re.compile(f"[{_DENSE}]")
+_SPACED = re.compile(r"\S+")
+_WORD = re.compile(f"[{_DENSE}]|[^\\s{_DENSE}]+")
 #: The rank of rows without an id.
 _LAST = (1 << 63) - 1
 
 
+def _halves(part: str, dense: bool) -> int:
+    """Size in half words."""
+    if not dense:
+        return 2 * len(part.split())
+    return sum(1 if _IS_DENSE.match(w) else 2 for w in _WORD.findall(part))
+
+
+def _cuts(text: str, pieces: list[tuple[int, int]], dense: bool) -> list[int]:
+    """The places inside ``pieces`` where the content says to cut."""
+    words = [[*(_WORD if dense else _SPACED).finditer(text, a, b)] for a, b in pieces]
+    found = [m for piece in words for m in piece]
+    hashes = np.array([zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) for m in found], np.uint64)
+    halves = np.array([1 if _IS_DENSE.match(m[0]) else 2 for m in found]) if dense else np.full(len(found), 2)
+    sizes = np.array([len(piece) for piece in words])
+    own = np.repeat(np.arange(len(words)), sizes)
+    behind = np.cumsum(halves)  # half words up to the end of a word
+    last = np.cumsum(sizes) - 1
+    first = last - sizes + 1
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    mixed[1:] += hashes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed[2:] += hashes[:-2] * np.uint64(0x165667B19E3779F9)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    for k in range(2):  # there the words before are another piece's
+        mixed[np.minimum(first + k, last)] = np.iinfo(np.uint64).max
+    room = np.minimum(behind - (behind - halves)[first][own], behind[last][own] - behind)
+    cut = room > 2 * REACH
+    for k in range(1, min(2 * REACH if dense else REACH, len(found) - 1) + 1):
+        near = (own[k:] == own[:-k]) & (behind[k:] - behind[:-k] <= 2 * REACH)
+        cut[:-k] &= ~(near & (mixed[k:] <= mixed[:-k]))
+        cut[k:] &= ~(near & (mixed[:-k] <= mixed[k:]))
+    return [found[i].end() for i in np.flatnonzero(cut)]
+
+
 def units(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, end, normalised)`` of the units of a text that count."""
-    out = []
     text = text or ""
+    dense = bool(_IS_DENSE.search(text))
+    ends, long = [], []
     start = sentence = 0
     for cut in [*(m for m in _END.finditer(text)), None]:
         end = cut.end() if cut else len(text)
         line_ends = cut is None or "\n" in cut[0]
-        if line_ends or len(text[sentence:end].split()) >= LEAST_WORDS:
-            part = text[start:end]
-            words = part.split()
-            plain = " ".join(words).lower()
-            if len(words) >= LEAST_WORDS or len(plain) >= LEAST_CHARS:
-                lead = len(part) - len(part.lstrip())
-                out.append((start + lead, start + len(part.rstrip()), plain))
+        size = _halves(text[sentence:end], dense)
+        if line_ends or size >= 2 * LEAST_WORDS:
+            if size > 4 * REACH or start < sentence and _halves(text[start:end], dense) > 4 * REACH:
+                long.append((start, end))
+            ends.append(end)
             start = end
         sentence = end
+    if long:
+        ends = sorted({*ends, *_cuts(text, long, dense)})
+    out = []
+    start = 0
+    for end in ends:
+        part = text[start:end]
+        plain = " ".join(part.split()).lower()
+        if _halves(part, dense) >= 2 * LEAST_WORDS or len(plain) >= LEAST_CHARS:
+            lead = len(part) - len(part.lstrip())
+            out.append((start + lead, start + len(part.rstrip()), plain))
+        start = end
     return out
 
 

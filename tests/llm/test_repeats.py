@@ -94,6 +94,43 @@ def test_units_do_not_depend_on_what_stands_before():
     assert re.match("host words alpha", tail[0]) and repeats.units("") == [] == repeats.units("a b.\nc d")
 
 
+def covered(host_words, passage, joint, seed):
+    """Share of the passage's characters in units that two run-on hosts have in common, and the units' number."""
+    rng = random.Random(seed)
+    hosts = [joint.join(rng.choices(host_words, k=40)) for _ in range(4)]
+    one, two = (joint.join([hosts[k], passage, hosts[k + 1]]) for k in (0, 2))
+    shared = {u for *_, u in repeats.units(one)} & {u for *_, u in repeats.units(two)}
+    at = one.index(passage)
+    hit = {p for a, b, u in repeats.units(one) if u in shared for p in range(a, b)}
+    assert all(at <= p < at + len(passage) for p in hit)
+    return len(hit) / len(passage), len(shared)
+
+
+def test_passages_between_places_without_a_full_stop_are_found():
+    rng = random.Random(5)
+    words, other = [f"w{i}" for i in range(500)], [f"v{i}" for i in range(500)]
+    for n, least, some in ((50, 0.25, 0.9), (100, 0.6, 1), (300, 0.85, 1)):
+        got = [covered(other, " ".join(rng.choices(words, k=n)), " ", k) for k in range(100)]
+        assert sum(c for c, _ in got) / 100 > least and sum(n > 0 for _, n in got) / 100 >= some, (n, sum(c for c, _ in got), sum(n > 0 for _, n in got))
+
+
+def test_scripts_without_spaces():
+    rng = random.Random(6)
+    han, other = [chr(0x4E00 + i) for i in range(400)], [chr(0x5E00 + i) for i in range(400)]
+    got = [covered(other, "".join(rng.choices(han, k=200)), "", k) for k in range(50)]
+    assert sum(c for c, _ in got) / 50 > 0.6 and all(n for _, n in got)
+    line = "今天天气很好我们一起去公园散步吧。"
+    assert [u for *_, u in repeats.units("他说的话我没有听见因为外面太吵了。" + line + "完")][1:] == [line]
+
+
+def test_short_sentences_are_not_cut():
+    for seed in range(300):
+        text = " ".join(random.Random(seed).choices([f"w{i}" for i in range(99)], k=2 * repeats.REACH)) + "."
+        assert len(repeats.units(text)) == 1
+    long = repeats.units(" ".join(random.Random(1).choices([f"w{i}" for i in range(99)], k=5000)))
+    assert min(len(u.split()) for *_, u in long) > repeats.REACH and len(long) > 200
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.repeated(frame).count() == 0 and repeats.without_repeats(frame).count() == 0
