@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,7 +98,10 @@ def train(
 ) -> Model:
     """Learn from all ``rows`` that have a language: frequencies from all, weights from a sample."""
     known = rows.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    count = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    key = F.xxhash64("text", F.lit(1)).alias("key")
+    keyed = known.groupBy("lang", key).agg(F.count("*").alias("n"))  # copies collapse before the shuffle
+    sizes = keyed.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    count, distinct = {r.lang: r.n for r in sizes}, {r.lang: r.texts for r in sizes}
     languages = sorted(count)
     if not languages:
         return Model([], np.ones(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0))
@@ -106,12 +110,8 @@ def train(
     for r in _frequencies(known).collect():  # one row a feature at most
         idf[r.at] = np.log((1 + total) / (1 + r.n)) + 1
 
-    part = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000))
-    rate = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, int(min(1.0, sample / n) * 1_000_000))])
-    chosen = known.where(part < F.element_at(rate, F.col("lang"))).withColumn(
-        "fold", F.pmod(F.xxhash64("text", F.lit(2)), F.lit(5))
-    )
-    shards = max(1, round(sum(min(n, sample) for n in count.values()) / SHARD))
+    chosen = sampled(known, distinct, sample).withColumn("fold", F.pmod(F.xxhash64("text", F.lit(2)), F.lit(5)))
+    shards = max(1, round(sum(min(n, sample) for n in distinct.values()) / SHARD))
     context = rows.sparkSession.sparkContext
     sent = context.broadcast((languages, idf))
     chosen = chosen.withColumn("shard", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(shards))).persist()
@@ -134,6 +134,25 @@ def train(
     return model
 
 
+def sampled(known: DataFrame, distinct: dict[str, int], sample: int) -> DataFrame:
+    """``text, lang``: of each language the ``sample`` different texts of the least hashes, once each.
+
+    ``distinct`` holds the number of different texts of every language.
+    """
+
+    def up_to(bound: dict[str, int]) -> DataFrame:
+        limits = F.create_map(*[F.lit(x) for item in bound.items() for x in item])
+        return known.withColumn("key", F.xxhash64("text", F.lit(1))).where(F.col("key") <= F.element_at(limits, F.col("lang")))
+
+    # somewhat more than are wanted, so that few are put in order
+    share = {k: min(1.0, (1.5 * sample + 100) / n) for k, n in distinct.items()}
+    near = up_to({k: min(int(x * 2**64) - 2**63, 2**63 - 1) for k, x in share.items()}).select("lang", "key").distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("key"))
+    least = near.withColumn("rank", rank).where(F.col("rank") <= sample).groupBy("lang").agg(F.max("key").alias("key"))
+    bound = {r.lang: r.key for r in least.collect()}
+    return up_to(bound).groupBy("key", "lang").agg(F.first("text").alias("text")).select("text", "lang")
+
+
 def _frequencies(known: DataFrame) -> DataFrame:
     """In how many texts each feature occurs."""
 

@@ -52,3 +52,15 @@ def test_sample_is_bounded(spark):
     model = langid.train(frame, sample=30)
     got = langid.predict(frame, model).collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
+def test_copies_count_once_in_the_sample(spark):
+    texts = [("same", "xx")] * 3000 + [(None, "yy")] * 3000 + [(f"t{k}", k) for k in ("xx", "yy") for _ in range(9)] + [(f"t{i}", "xx") for i in range(500)]
+    known = spark.createDataFrame(texts, "text string, lang string").repartition(5)
+    for sample in (5, 40, 1000):
+        got = [tuple(r) for r in langid.sampled(known, {"xx": 502, "yy": 2}, sample).collect()]
+        assert len(set(got)) == len(got) and set(got) <= set(texts)
+        assert [sum(k == lang for _, k in got) for lang in ("xx", "yy")] == [min(502, sample), 2]
+    frame = spark.createDataFrame([*rows(6, 200), *[(900, "ba bo be", "xx"), (901, None, "zz")] * 1500], "doc_id long, text string, lang string")
+    got = langid.predict(spark.createDataFrame(rows(7, 100), frame.schema), langid.train(frame, sample=30)).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9
