@@ -22,6 +22,8 @@ WORD_BYTES = bytes(
 LOWER_BYTES = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows of a batch that are Python objects at one time.
 ROWS = 256
+#: Keys that count as frequent: a fixed number, so that a table of them may be broadcast.
+HOT = 1000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -109,3 +111,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def bucket(column: str, n: int) -> Column:
     """crc32 of a column's text modulo ``n``; NULL for NULL."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
+
+
+def hottest(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The ``HOT`` most frequent keys; every other key has a thousandth of all rows at most."""
+    return counts.orderBy(F.desc(n), *keys).limit(HOT).select(*keys)
+
+
+def join_spread(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows with a table of unique keys; rows of ``hot`` keys and of NULL keys are dealt over all tasks.
+
+    ``hot`` has ``HOT`` keys at most, so that it may be broadcast, and so that their copies, one
+    a task, stay few. ``many`` should come from a stored table: the salt counts rows.
+    """
+    salts = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    unmatched = F.lit(False)
+    for k in keys:
+        unmatched = unmatched | F.col(k).isNull()
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    dealt = many.join(marked, keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | unmatched, salt).otherwise(F.lit(0))
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = one.join(marked, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.drop("_hot").join(copied, [*keys, "_salt"], how).drop("_salt")
