@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlens.llm import (
+    audit,
     bpe,
     decontam,
     jaccard,
     langid,
     licenses,
+    linededup,
     lzprint,
     pages,
     pii,
     repeats,
     toxicity,
+    wht,
 )
 from meshlens.llm.common import bucket, send_package
 
@@ -219,3 +222,95 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_repeated_passages")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated(table(spark, sf_dir, "documents"))
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0 .. an and the centroids between them."""
+    out = []
+    for k in range(n + 1):
+        out.append(f"""
+    a{k} AS (SELECT r, c, d FROM (SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS nth
+      FROM (SELECT x.r, y.c, sum((x.v - y.v) * (x.v - y.v)) AS d FROM long x JOIN c{k} y USING (i) GROUP BY 1, 2)) WHERE nth = 1)""")
+        if k < n:
+            out.append(f"""
+    c{k + 1} AS (SELECT c, i, CASE WHEN n IS NULL THEN v ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS v
+      FROM c{k} LEFT JOIN (SELECT c, i, sum(v) AS s, count(*) AS n FROM a{k} JOIN long USING (r) GROUP BY 1, 2) USING (c, i))""")
+    return ",".join(out)
+
+
+@query(
+    "op11_centroid_clusters",
+    f"""
+    WITH kept AS (SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+    long AS (SELECT r, i, v[i] AS v FROM (SELECT r, v, unnest(range(1, 65)) AS i FROM kept)),
+    top AS (SELECT v, row_number() OVER (ORDER BY h, v) - 1 AS c FROM (
+      SELECT v, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM kept ORDER BY h, v LIMIT 40)),
+    c0 AS (SELECT c, i, v[i] AS v FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM top)),{_rounds(5)},
+    named AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS h FROM c5 GROUP BY 1)
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+      CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+      h AS centroid_sha256
+    FROM a5 JOIN kept USING (r) JOIN named USING (c)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wht.cluster(table(spark, sf_dir, "embeddings"))
+
+
+_BLANK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_TESTS = {
+    "A": "len(w) < 50",
+    "B": "100 * len(list_distinct(w)) < 65 * len(w)",
+    "C": "100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t)",
+    "D": "regexp_matches(t, '[#$%&*|]')",
+    "E": "coalesce(doc_id > first_id, false)",
+}
+_STEPS = ", ".join(f"('{o}', {k}, '{f}', '{b}')" for o, k, f, b in audit.prefixes(list(_TESTS)))
+
+
+@query(
+    "op12_filter_audit",
+    rf"""
+    WITH step(filter_order, step, filter, before) AS (VALUES {_STEPS}),
+    label AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+    doc AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_BLANK_WORDS} AS w,
+        min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+    cell AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n,
+        {" || ".join(f"CASE WHEN {test} THEN '{f}' ELSE '' END" for f, test in _TESTS.items())} AS fails
+      FROM doc LEFT JOIN label USING (doc_id) GROUP BY ALL),
+    met AS (SELECT *, contains(fails, filter) AS hit, len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0
+        AND before <> '' AND fails <> '' AS gone FROM cell, step),
+    found AS (SELECT part, filter_order, step, filter, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = filter THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN NOT gone AND hit AND good THEN n ELSE 0 END) AS good_lost,
+        sum(CASE WHEN NOT gone AND hit AND toxic THEN n ELSE 0 END) AS toxic_lost
+      FROM met GROUP BY 1, 2, 3, 4)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST({m} AS BIGINT) AS {m}" for m in audit.MEASURES)},
+      CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+    FROM found""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op13_line_dedup",
+    f"""
+    WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    line AS (SELECT r, doc_id, i, line, {_KEY} AS k
+      FROM (SELECT r, doc_id, i, lines[i] AS line FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM doc))),
+    shared AS (SELECT k, min(doc_id) AS first_id FROM line WHERE length(k) >= 10 GROUP BY 1
+      HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 2),
+    marked AS (SELECT r, i, line, first_id IS NOT NULL AND doc_id IS DISTINCT FROM first_id AS gone FROM line LEFT JOIN shared USING (k))
+    SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM doc JOIN (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+      string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY 1) USING (r)""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = linededup.dedupe_lines(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
