@@ -21,7 +21,7 @@ from meshlens.functions.text import host_of
 from meshlens.operators import extract as ex
 from meshlens.operators import identity, names, sections, upsert, vendors
 from meshlens.operators.predecessor import with_predecessor
-from meshlens.plans import capture, panels, views
+from meshlens.plans import capture, panels, stored, views
 from meshlens.sinks import buffer as buffer_sink
 from meshlens.sinks import lake, messages
 from meshlens.sources import buffer as buffer_source
@@ -29,6 +29,7 @@ from meshlens.sources import dumps as dump_source
 from meshlens.sources import formats as fmt
 from meshlens.sources import names as name_source
 from meshlens.sources import vendors as vendor_source
+from meshlens.sources.tables import conform
 from meshlens.streaming import capture as stream_capture
 from meshlens.streaming import rates, replay
 
@@ -894,6 +895,63 @@ def s8_window(spark, sf):
     return in_ms(rows.select("id", "fetched_at", "rx_bytes"))
 
 
+@query("k3_retry_order", f"SELECT id, rx_bytes, tx_bytes + 1 AS tx_bytes FROM {fx.duck('nic_copies')} a")
+def k3_retry(spark, sf):
+    """A writer's batch is run again after another writer has stored newer versions: those stay."""
+    store = lake.shared_folder(spark, "lake")
+    rows = conform(fx.table(spark, sf, "nic_copies"), "nic_counter")
+    lake.store_rows(rows, store, "nic_counter", "a")
+    lake.store_rows(rows.withColumn("tx_bytes", F.col("tx_bytes") + 1), store, "nic_counter", "b")
+    lake.store_rows(rows, store, "nic_counter", "a")
+    return lake.read_table(spark, store, "nic_counter").select("id", "rx_bytes", "tx_bytes")
+
+
+def counters_lake(spark, sf) -> str:
+    """Counter tables landed by two writers, a third of the rows twice, and a day of each compacted."""
+    store = lake.shared_folder(spark, "lake")
+    for table in ("nic_counter", "radio_stats"):
+        rows = conform(fx.table(spark, sf, table), table)
+        part = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(3))
+        lake.store_rows(rows.where(part != 0), store, table, "a")
+        lake.store_rows(rows.where(part != 1), store, table, "b")
+        lake.compact(spark, store, table, "2024-01-09")
+    return store
+
+
+IN_WINDOW = views.Span(from_ms=FROM_MS, to_ms=TO_MS)
+
+
+@query("f3_stored_radio_rates", over(V1, "*", WINDOW))
+def f3_stored_radio(spark, sf):
+    """A window over stored tables: its days and the index of last rows, no other day."""
+    return in_ms(stored.radio_rates(spark, counters_lake(spark, sf), IN_WINDOW))
+
+
+@query("f3_stored_wifi_vs_wired", over(V3, "*", WINDOW))
+def f3_stored_wifi(spark, sf):
+    return in_ms(stored.wifi_vs_wired(spark, counters_lake(spark, sf), IN_WINDOW))
+
+
+@query("f3_stored_node_wifi", over(V4, "*", WINDOW))
+def f3_stored_node(spark, sf):
+    return in_ms(stored.node_wifi_rates(spark, counters_lake(spark, sf), IN_WINDOW))
+
+
+@query("f3_stored_nic_rates", over(V5, "*", WINDOW))
+def f3_stored_nic(spark, sf):
+    return in_ms(stored.nic_rates(spark, counters_lake(spark, sf), IN_WINDOW))
+
+
+@query("j1_balanced_ranges", f"SELECT id, t AS t_ms, prev_ms, rx AS rx_bytes, prev_rx AS prev_rx_bytes, prev_tx AS prev_tx_bytes FROM ({PAIRS}) p")
+def j1_ranges(spark, sf):
+    """The pairs of j2 with busy stretches of an entity cut into ranges of about 100 rows."""
+    rows = fx.table(spark, sf, "nic_copies").selectExpr(
+        "id", "intf", "unix_millis(fetched_at) AS t_ms", "rx_bytes", "tx_bytes"
+    )
+    found = with_predecessor(rows, ["intf"], ["rx_bytes", "tx_bytes"], chunk_ms=30 * 86_400_000, most_rows=100)
+    return found.select("id", "t_ms", "prev_ms", "rx_bytes", "prev_rx_bytes", "prev_tx_bytes")
+
+
 @query(
     "k6_landed_columns",
     f"""SELECT id, rx_bytes, CASE WHEN rx_bytes % 3000 = 0 THEN CAST(rx_bytes // 1000 AS BIGINT) END AS mtu FROM {fx.duck('nic_copies')} a""",

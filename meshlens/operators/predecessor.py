@@ -6,6 +6,11 @@ into a single task. The series is therefore cut into time chunks and shuffled on
 array before it; the first time of a chunk takes the last array of the entity's previous chunk,
 which comes from one small row per ``(entity, chunk)``. Both branches read the same exchange:
 they aggregate the same columns.
+
+A chunk of an entity that holds very many rows would still be one task. With ``most_rows`` the rows
+of every ``(entity, chunk)`` are counted per slice of time first (combined in the tasks); the
+chunks above that bound are cut where the running count passes a multiple of it, into ranges of
+about as many rows, and each range gets the last rows of the range before it, as chunks do.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from pyspark.sql import functions as F
 from meshlens.functions.measures import in_window
 
 CHUNK_MS = 24 * 3_600_000
+#: Slices of a chunk in which its rows are counted.
+SLICES = 1440
 
 
 def with_predecessor(
@@ -26,12 +33,14 @@ def with_predecessor(
     t_ms: str = "t_ms",
     *,
     chunk_ms: int = CHUNK_MS,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Add ``prev_ms`` and ``prev_<figure>`` for bigint ``figures``; drop rows without one.
 
     Rows with a NULL in ``entity`` or ``t_ms`` take no part. A predecessor is strictly earlier,
     also among rows that share a time. When several rows of an entity share the predecessor
-    time, the row is paired with each of them.
+    time, the row is paired with each of them. ``most_rows`` bounds the rows of a task, but for
+    those of one slice of time (a 1,440th of a chunk).
     """
     keys = [*entity, t_ms]
     known = rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
@@ -41,23 +50,27 @@ def with_predecessor(
         F.expr(f"`{t_ms}` div {chunk_ms}").alias("_chunk"),
         (F.array(*figures) if figures else F.array().cast("array<bigint>")).alias("_now"),
         *others,
-    ).repartition(*entity, "_chunk")
-    times = packed.groupBy(*entity, "_chunk", t_ms).agg(
+    )
+    place = [*entity, "_chunk"]
+    if most_rows is not None:
+        packed = in_ranges(packed, place, F.expr(f"pmod(`{t_ms}`, {chunk_ms}) * {SLICES} div {chunk_ms}"), most_rows)
+        place = [*place, "_range"]
+    packed = packed.repartition(*place)
+    times = packed.groupBy(*place, t_ms).agg(
         F.collect_list(F.struct("_now", *others)).alias("_rows")
     )
     figures_at = F.struct(
         F.col(t_ms).alias("ms"), F.transform("_rows", lambda r: r["_now"]).alias("v")
     )
-    inside = W.partitionBy(*entity, "_chunk").orderBy(t_ms)
+    inside = W.partitionBy(*place).orderBy(t_ms)
     linked = times.withColumn("_inside", F.lag(figures_at).over(inside))
-    tails = times.groupBy(*entity, "_chunk").agg(F.max_by(figures_at, t_ms).alias("_tail"))
+    tails = times.groupBy(*place).agg(F.max_by(figures_at, t_ms).alias("_tail"))
     heads = tails.select(
-        *entity,
-        "_chunk",
-        F.lag("_tail").over(W.partitionBy(*entity).orderBy("_chunk")).alias("_before"),
+        *place,
+        F.lag("_tail").over(W.partitionBy(*entity).orderBy(*place[len(entity) :])).alias("_before"),
     )
     return (
-        linked.join(heads, [*entity, "_chunk"], "left")
+        linked.join(heads, place, "left")
         .withColumn("_prev", F.coalesce("_inside", "_before"))
         .where("_prev IS NOT NULL")
         .select(*keys, F.explode("_rows").alias("_row"), "_prev")
@@ -72,6 +85,28 @@ def with_predecessor(
     )
 
 
+def in_ranges(rows: DataFrame, place: list[str], slice_: Column, most_rows: int) -> DataFrame:
+    """Add ``_range``: ascending with time, 0 throughout where ``place`` has ``most_rows`` rows at most.
+
+    Only places above the bound get cuts, at most one for every ``most_rows`` rows of the input.
+    """
+    counts = rows.groupBy(*place, slice_.alias("_slice")).agg(F.count("*").alias("_n"))
+    # A slice starts a range when its first row is the first one behind a multiple of the bound.
+    before = F.sum("_n").over(W.partitionBy(*place).orderBy("_slice")) - F.col("_n")
+    started = F.expr(f"_before div {most_rows}")
+    cuts = (
+        counts.withColumn("_before", before)
+        .groupBy(*place, started.alias("_nth"))
+        .agg(F.min("_slice").alias("_cut"))
+        .where("_nth > 0")
+        .groupBy(*place)
+        .agg(F.collect_list("_cut").alias("_cuts"))
+    )
+    passed = F.aggregate("_cuts", F.lit(0), lambda n, cut: n + F.when(cut <= F.col("_at"), 1).otherwise(0))
+    cut = rows.withColumn("_at", slice_).join(cuts, place, "left")
+    return cut.withColumn("_range", F.coalesce(passed, F.lit(0))).drop("_cuts", "_at")
+
+
 def clip_history(
     rows: DataFrame,
     entity: list[str],

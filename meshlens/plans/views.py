@@ -42,19 +42,27 @@ IPV4 = "inet"
 
 @dataclass(frozen=True)
 class Span:
-    """Time bounds (closed, epoch ms) and how finely the predecessor search is cut."""
+    """Time bounds (closed, epoch ms) and how finely the predecessor search is cut.
+
+    ``clipped``: of the time before ``from_ms`` the rows hold what is needed and little else, as
+    those of :func:`meshlens.sinks.lake.read_series` do. ``most_rows``: an entity's days of more
+    rows are cut into ranges of about as many.
+    """
 
     from_ms: int | None = None
     to_ms: int | None = None
     chunk_ms: int = CHUNK_MS
+    clipped: bool = False
+    most_rows: int | None = None
 
 
 ALL = Span()
 
 
 def _linked(rows: DataFrame, entity: list[str], figures: list[str], span: Span) -> DataFrame:
-    rows = clip_history(rows, entity, figures, span.from_ms, span.to_ms, at="fetched_at")
-    linked = with_predecessor(rows, entity, figures, chunk_ms=span.chunk_ms)
+    if not span.clipped:
+        rows = clip_history(rows, entity, figures, span.from_ms, span.to_ms, at="fetched_at")
+    linked = with_predecessor(rows, entity, figures, chunk_ms=span.chunk_ms, most_rows=span.most_rows)
     return linked if span.from_ms is None else linked.where(F.col("t_ms") >= span.from_ms)
 
 

@@ -4,7 +4,15 @@ One layout for every way in: ``<root>/<table>/day=<capture day>/writer=<id>/batc
 is one stream checkpoint or one batch run, so no writer can touch another's rows, and a batch that
 is run again replaces exactly its own earlier attempt. Rows are versions: an id that is delivered
 again is stored again, and the reader gives the version that arrived last. ``compact`` rewrites a
-day to one version per id.
+day to one version per id; a day that lies in one batch is read as it is, without looking for versions.
+
+What arrived last is told by a number that a batch gets at its first attempt and keeps when it is
+run again; it grows from batch to batch of a writer whatever the clock does.
+
+Beside the counter tables lies an index, ``<root>/_last/<table>``: per entity and day the rows of its
+last time. It is written with every batch and by ``compact``. A rate over a window needs, of the time
+before the window, only an entity's last rows: ``read_series`` takes them from the index, so that no
+day before the window's first one is read, however long the history is.
 """
 
 from __future__ import annotations
@@ -12,17 +20,25 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from datetime import date, datetime, timedelta, timezone
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshlens.functions.measures import in_window
 from meshlens.operators.upsert import latest_by
 from meshlens.sources.tables import ADDED, schema
 
 #: Stored beside a table's own columns.
-STAMPS = f"`{ADDED}` map<string, string>, pos int, source_ip string, arrived_ms bigint, arrival string"
+STAMPS = f"`{ADDED}` map<string, string>, pos int, source_ip string, arrived_ms bigint, arrival string, moved boolean"
 PLACES = "day date, writer string, batch bigint"
+#: Of longer windows all days are searched for versions.
+MOST_DAYS_LISTED = 400
+#: Tables of counters, and what tells their series apart.
+ENTITIES = {"radio_stats": ["source_node_mac", "band", "radio"], "nic_counter": ["intf"]}
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -48,15 +64,39 @@ def ddl(table: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema(table))
 
 
+def arrival_number(spark: SparkSession, root: str, table: str, writer: str, batch_id: int) -> int:
+    """The number of a writer's batch: given at its first attempt, and greater than that of the batch before.
+
+    It is kept as the name of an empty file, so a crash leaves either no number or the whole one.
+    """
+
+    def numbers(batch: int) -> list[int]:
+        folder = path(f"{root}/_arrivals/{table}/{writer}/{batch}")
+        found = store.listStatus(folder) if store.exists(folder) else []
+        return [int(f.getPath().getName()) for f in found]
+
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if own := numbers(batch_id):
+        return min(own)
+    number = max([time.time_ns() // 1_000_000, *(n + 1 for n in numbers(batch_id - 1))])
+    store.create(path(f"{root}/_arrivals/{table}/{writer}/{batch_id}/{number}")).close()
+    return number
+
+
 def store_rows(rows: DataFrame, root: str, table: str, writer: str, batch_id: int = 0) -> None:
-    """Store one batch's rows; the same batch of the same writer replaces its earlier attempt."""
+    """Store one batch's rows, an id once; the same batch of the same writer replaces its earlier attempt.
+
+    ``moved`` marks rows that were stored before as rows of another entity.
+    """
     have = set(rows.columns)
     stamps = [
         F.col(ADDED) if ADDED in have else F.lit(None).cast("map<string,string>").alias(ADDED),
         F.col("pos").cast("int") if "pos" in have else F.lit(None).cast("int").alias("pos"),
         F.col("source_ip") if "source_ip" in have else F.lit(None).cast("string").alias("source_ip"),
-        F.lit(time.time_ns() // 1_000_000).alias("arrived_ms"),
+        F.lit(arrival_number(rows.sparkSession, root, table, writer, batch_id)).alias("arrived_ms"),
         F.col("arrival") if "arrival" in have else F.lit("").alias("arrival"),
+        F.col("moved") if "moved" in have else F.lit(False).alias("moved"),
     ]
     placed = rows.select(
         *schema(table).names,
@@ -65,14 +105,56 @@ def store_rows(rows: DataFrame, root: str, table: str, writer: str, batch_id: in
         F.lit(writer).alias("writer"),
         F.lit(batch_id).cast("bigint").alias("batch"),
     )
+    _place(placed, f"{root}/{table}")
+    if table in ENTITIES:
+        index_batch(rows.sparkSession, root, table, writer, batch_id, moved="moved" in have)
+
+
+def _place(rows: DataFrame, folder: str) -> None:
     (
-        placed.write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day", "writer", "batch")
-        .parquet(f"{root}/{table}")
+        .parquet(folder)
     )
 
 
+def last_rows(rows: DataFrame, by: list[str]) -> DataFrame:
+    """All rows at the last time of every ``by``; NULL is a value of its own here."""
+    last = rows.groupBy(*by).agg(F.max("fetched_at").alias("_at"))
+    last = last.select("_at", *(F.col(c).alias(f"_{c}") for c in by))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return rows.join(last, reduce(and_, same, F.col("fetched_at") == F.col("_at")), "left_semi")
+
+
+def index_batch(
+    spark: SparkSession, root: str, table: str, writer: str, batch_id: int, moved: bool = False
+) -> None:
+    """Index what a batch has stored: per entity and day the rows of its last time there.
+
+    Where rows have moved to another entity, the last row of the one they left lies in some older
+    batch: of such a day the index takes the last rows of all batches.
+    """
+    by = [*ENTITIES[table], "day"]
+    try:
+        own = _stored(spark, f"{root}/{table}", table, f"day=*/writer={writer}/batch={batch_id}")
+    except AnalysisException:
+        return  # nothing stored
+    rows = last_rows(own, by)
+    days = [r.day for r in own.where("moved").select("day").distinct().collect()] if moved else []
+    if days:
+        whole = newest(versions(spark, root, table).where(F.col("day").isin(days)))
+        whole = whole.withColumn("writer", F.lit(writer)).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        rows = rows.where(~F.col("day").isin(days)).unionByName(last_rows(whole, by))
+        rows = rows.unionByName(own.where("moved")).dropDuplicates(["id", "arrived_ms"])
+    _place(rows, f"{root}/_last/{table}")
+
+
+def _stored(spark: SparkSession, folder: str, table: str, part: str = "") -> DataFrame:
+    reader = spark.read.schema(f"{ddl(table)}, {STAMPS}, {PLACES}")
+    return reader.option("basePath", folder).parquet(f"{folder}/{part}" if part else folder)
+
+
 def versions(
     spark: SparkSession,
     root: str,
@@ -81,11 +163,10 @@ def versions(
     to_ms: int | None = None,
 ) -> DataFrame:
     """All stored versions of a table's rows; a time window reads only its days."""
-    kind = f"{ddl(table)}, {STAMPS}, {PLACES}"
     try:
-        stored = spark.read.schema(kind).parquet(f"{root}/{table}")
+        stored = _stored(spark, f"{root}/{table}", table)
     except AnalysisException:
-        return spark.createDataFrame([], kind)
+        return spark.createDataFrame([], f"{ddl(table)}, {STAMPS}, {PLACES}")
     if from_ms is not None:
         stored = stored.where(F.col("day") >= F.to_date(F.timestamp_millis(F.lit(from_ms))))
     if to_ms is not None:
@@ -110,14 +191,57 @@ def read_table(
     """A stored table: of every id the version that arrived last.
 
     With a time window only the days it touches are read; an id keeps its capture time, as a
-    snapshot does, when it is delivered again. ``added`` names columns (and their types) that
-    arrived beyond the declared ones; rows without one give NULL.
+    snapshot does, when it is delivered again. Days of the window that lie in one batch hold an id
+    once and are not searched for versions. ``added`` names columns (and their types) that arrived
+    beyond the declared ones; rows without one give NULL.
     """
-    rows = newest(versions(spark, root, table, from_ms, to_ms))
+    stored = versions(spark, root, table, from_ms, to_ms)
+    bounded = from_ms is not None and to_ms is not None
+    several = days_of_several_batches(spark, root, table, from_ms, to_ms) if bounded else None
+    if several is None:
+        rows = newest(stored)
+    else:
+        again = F.col("day").isin(several) if several else F.lit(False)
+        rows = stored.where(~again)
+        rows = rows.unionByName(newest(stored.where(again))) if several else rows
     extra = [F.col(ADDED)[c].try_cast(kind).alias(c) for c, kind in (added or {}).items()]
     return rows.select(*schema(table).names, *extra)
 
 
+def days_of_several_batches(spark: SparkSession, root: str, table: str, from_ms: int, to_ms: int) -> list[date] | None:
+    """Days of a window that are stored in more than one batch, by the names of their folders.
+
+    None for a window too long to look at its days one by one.
+    """
+    first, last = (datetime.fromtimestamp(ms / 1000, timezone.utc).date() for ms in (from_ms, to_ms))
+    if (last - first).days >= MOST_DAYS_LISTED:
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    days = [first + timedelta(days=k) for k in range((last - first).days + 1)]
+    return [d for d in days if len(store.globStatus(path(f"{root}/{table}/day={d}/writer=*/batch=*")) or []) > 1]
+
+
+def read_series(
+    spark: SparkSession, root: str, table: str, from_ms: int | None = None, to_ms: int | None = None
+) -> DataFrame:
+    """Rows of a counter table that rates over a window need.
+
+    These are the rows of the window's days and, for the time before, of every entity the rows of its
+    last time, which the index holds. The facts of earlier days are not read. Give a view such
+    rows with ``Span(..., clipped=True)``.
+    """
+    rows = read_table(spark, root, table, from_ms, to_ms).where(in_window(F.col("fetched_at"), None, to_ms))
+    if from_ms is None:
+        return rows
+    try:
+        kept = _stored(spark, f"{root}/_last/{table}", table)
+    except AnalysisException:
+        return rows
+    before = newest(kept.where(F.col("day") < F.to_date(F.timestamp_millis(F.lit(from_ms)))))
+    return rows.unionByName(last_rows(before, ENTITIES[table]).select(rows.columns))
+
+
 def compact(spark: SparkSession, root: str, table: str, day: str) -> None:
     """Rewrite one day to one version per id; readers see the same rows throughout.
 
@@ -125,14 +249,15 @@ def compact(spark: SparkSession, root: str, table: str, day: str) -> None:
     """
     old = versions(spark, root, table).where(F.col("day") == F.lit(day).cast("date"))
     written = [r.writer for r in old.select("writer").distinct().collect()]
-    kept = newest(old).withColumn("batch", F.lit(0).cast("bigint"))
+    kept = newest(old).withColumn("batch", F.lit(0).cast("bigint")).withColumn("moved", F.lit(False))
     kept = kept.withColumn("writer", F.lit(f"compact-{new_writer()}"))
-    (
-        kept.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day", "writer", "batch")
-        .parquet(f"{root}/{table}")
-    )
+    _place(kept, f"{root}/{table}")
+    if table in ENTITIES:
+        own = _stored(spark, f"{root}/{table}", table).where(F.col("day") == F.lit(day).cast("date"))
+        own = own.where(~F.col("writer").isin(written))
+        _place(last_rows(own, [*ENTITIES[table], "day"]), f"{root}/_last/{table}")
+        for writer in written:
+            remove(spark, f"{root}/_last/{table}/day={day}/writer={writer}")
     for writer in written:
         remove(spark, f"{root}/{table}/day={day}/writer={writer}")
 
