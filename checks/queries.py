@@ -7,6 +7,7 @@ use DuckDB's as-of join or correlated maxima, an independent way to the same row
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from meshlens.sources import names as name_source
 from meshlens.sources import vendors as vendor_source
 from meshlens.sources.tables import conform
 from meshlens.streaming import capture as stream_capture
-from meshlens.streaming import rates, replay
+from meshlens.streaming import ordered, rates, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -820,6 +821,58 @@ def k8(spark, sf):
     return messages.message_counts(stored)
 
 
+_REPLAY_PART = "CAST(rx_bytes // 1000 % 6 AS INTEGER)"
+
+
+def _ordered_replay(spark, sf) -> tuple[str, list]:
+    """Six files written against the order of their names; the fourth fails in the first run, the second takes two."""
+    folder, store = lake.shared_folder(spark, "buffer"), lake.shared_folder(spark, "lake")
+    rows = conform(fx.table(spark, sf, "nic_copies"), "nic_counter")
+    part = F.expr(_REPLAY_PART.replace("//", "div"))
+    # Every file also has the rows of the file before it, with another value: the later name counts.
+    for k in reversed(range(6)):
+        own = rows.where(part.isin(k, k - 1)).withColumn("tx_bytes", F.col("tx_bytes") + k)
+        sent = messages.messages(own, "nic_counter", marked_time=True).coalesce(1)
+        buffer_sink.write_files(sent, folder, datetime(2026, 6, 25, 9, 0, k))
+    ledger = f"{store}/_ledger"
+    down = {"mesh.nic_counter.20260625_090003"}
+
+    def deliver(batch: DataFrame, step: int) -> None:
+        found = {r.arrival for r in batch.select("arrival").distinct().collect()}
+        if found & down:
+            raise ConnectionError("broker is down")
+        replay.store_messages(batch, step, store, writer="ordered")
+
+    reports = [ordered.drain(spark, folder, ledger, deliver)]
+    down.clear()
+    reports.append(ordered.drain(spark, folder, ledger, deliver, most_files=2))
+    reports.append(ordered.drain(spark, folder, ledger, deliver))
+    return store, reports
+
+
+_PARTS = f"(SELECT *, {_REPLAY_PART} AS part FROM {fx.duck('nic_copies')} n)"
+
+
+@query("k8_ordered_replay", f"SELECT id, rx_bytes, tx_bytes + least(part + 1, 5) AS tx_bytes FROM {_PARTS} a")
+def k8_ordered(spark, sf):
+    """By name whatever the files' times say, so that the last name's value of an id stays."""
+    store, _ = _ordered_replay(spark, sf)
+    return lake.read_table(spark, store, "nic_counter").select("id", "rx_bytes", "tx_bytes")
+
+
+@query(
+    "k8_replay_progress",
+    f"""SELECT CASE WHEN k < 3 THEN 1 WHEN k < 5 THEN 2 ELSE 3 END AS run, 'mesh.nic_counter.20260625_09000' || CAST(k AS VARCHAR(1)) AS file,
+  CAST(COUNT(id) AS BIGINT) AS messages
+FROM (SELECT unnest(range(6)) AS k) f LEFT JOIN {_PARTS} p ON p.part = k OR p.part = k - 1 GROUP BY k""",
+)
+def k8_progress(spark, sf):
+    """Which run has sent which file: none behind the failing one, no more than the bound."""
+    _, reports = _ordered_replay(spark, sf)
+    sent = [(run + 1, name, n) for run, report in enumerate(reports) for name, n in report.sent.items()]
+    return spark.createDataFrame(sent, "run int, file string, messages bigint")
+
+
 @query(
     "t2_stream_upsert",
     f"SELECT id, epoch_ms(fetched_at) AS fetched_at, intf, rx_bytes, tx_bytes FROM {fx.duck('nic_copies')} a",

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from meshlens.functions.measures import in_window
 from meshlens.operators.upsert import latest_by
+from meshlens.sources.files import Folder
 from meshlens.sources.tables import ADDED, schema
 
 #: Stored beside a table's own columns.
@@ -70,17 +71,15 @@ def arrival_number(spark: SparkSession, root: str, table: str, writer: str, batc
     It is kept as the name of an empty file, so a crash leaves either no number or the whole one.
     """
 
+    folder = Folder(spark, f"{root}/_arrivals/{table}/{writer}")
+
     def numbers(batch: int) -> list[int]:
-        folder = path(f"{root}/_arrivals/{table}/{writer}/{batch}")
-        found = store.listStatus(folder) if store.exists(folder) else []
-        return [int(f.getPath().getName()) for f in found]
+        return [int(name.rsplit("/", 1)[1]) for name in folder.names(str(batch))]
 
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     if own := numbers(batch_id):
         return min(own)
     number = max([time.time_ns() // 1_000_000, *(n + 1 for n in numbers(batch_id - 1))])
-    store.create(path(f"{root}/_arrivals/{table}/{writer}/{batch_id}/{number}")).close()
+    folder.touch(f"{batch_id}/{number}")
     return number
 
 
@@ -216,10 +215,9 @@ def days_of_several_batches(spark: SparkSession, root: str, table: str, from_ms:
     first, last = (datetime.fromtimestamp(ms / 1000, timezone.utc).date() for ms in (from_ms, to_ms))
     if (last - first).days >= MOST_DAYS_LISTED:
         return None
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = Folder(spark, f"{root}/{table}")
     days = [first + timedelta(days=k) for k in range((last - first).days + 1)]
-    return [d for d in days if len(store.globStatus(path(f"{root}/{table}/day={d}/writer=*/batch=*")) or []) > 1]
+    return [d for d in days if folder.matches(f"day={d}/writer=*/batch=*") > 1]
 
 
 def read_series(
@@ -264,8 +262,7 @@ def compact(spark: SparkSession, root: str, table: str, day: str) -> None:
 
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the lake, wherever it is stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    Folder(spark, folder).remove()
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
