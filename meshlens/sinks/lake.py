@@ -146,7 +146,7 @@ def index_batch(
         whole = whole.withColumn("writer", F.lit(writer)).withColumn("batch", F.lit(batch_id).cast("bigint"))
         rows = rows.where(~F.col("day").isin(days)).unionByName(last_rows(whole, by))
         rows = rows.unionByName(own.where("moved")).dropDuplicates(["id", "arrived_ms"])
-    _place(rows, f"{root}/_last/{table}")
+    _place(rows.hint("rebalance", "day"), f"{root}/_last/{table}")
 
 
 def _stored(spark: SparkSession, folder: str, table: str, part: str = "") -> DataFrame:
