@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.common import parts, plain_words, stored
+from meshlens.llm.common import hottest, join_spread, parts, plain_words, stored
 
 SIZE = 5
 #: Similarity in hundredths.
@@ -43,8 +43,13 @@ TURNS = (0, 0x15555555555555, 0x0CCCCCCCCCCCCC)
 #: Counters that find common shingles, whatever the size of the input.
 COUNTERS = 1 << 20
 SLICES = 64
-#: Sets compared with one other in one task.
+#: Sets compared with one other in one task, and shingles of these sets together (but for a single longer set).
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 18
+#: Classes with which a class is compared in a star round.
+BEST_HUBS = 3
+#: Classes a task remembers, so that it sends the first shingles of copies once.
+MOST_SEEN = 1 << 16
 #: Rounds that compare with one class a shingle, before all that is left is compared; 3 at most.
 STARS = 1
 #: So many ids at most are sent to all executors; more are joined by shuffle.
@@ -143,6 +148,8 @@ def documents(docs: DataFrame, doc_id: str, text: str, size: int, sent) -> DataF
                 n, key = len(tokens), class_of(tokens)
                 first = []
                 if n and key not in seen:
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()  # a class that is sent again does no harm
                     seen.add(key)
                     first = ordered(tokens, sent.value)[: first_of(n)].view(np.int64)
                 rows.append((*key, n, first))
@@ -261,17 +268,19 @@ def overlap_links(query: np.ndarray, others: list[tuple[int, np.ndarray]]) -> li
     universe = np.unique(np.concatenate([query, *(t for _, t in others)]))
     inside = np.zeros(len(universe), bool)
     inside[np.searchsorted(universe, query)] = True
-    paths = sorted((np.searchsorted(universe, t).tolist(), key) for key, t in others)
+    # Big-endian numbers: bytes sort as the paths do.
+    paths = sorted((np.searchsorted(universe, t).astype(">u4").tobytes(), key) for key, t in others)
     links = []
-    before: list[int] = []
+    before = np.zeros(0, np.int64)
     counted = np.zeros(1, np.int64)  # overlap after 0, 1, ... steps of the path before
-    for path, key in paths:
+    for packed, key in paths:
+        path = np.frombuffer(packed, ">u4").astype(np.int64)
         n = len(path)
         need = -(-SAME * (n + len(query)) // (100 + SAME))
         share = 0
         known = min(len(counted) - 1, len(before), n)
         if known:
-            differ = np.nonzero(np.array(path[:known]) != np.array(before[:known]))[0]
+            differ = np.nonzero(path[:known] != before[:known])[0]
             share = int(differ[0]) if len(differ) else known
         steps = np.arange(share + 1)
         got = counted[: share + 1]
@@ -294,10 +303,13 @@ def overlap_links(query: np.ndarray, others: list[tuple[int, np.ndarray]]) -> li
 
 
 def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Of the pairs (``hub, key``), those that link, as ``a, b``."""
+    """Of the pairs (``hub, key, n``), those that link, as ``a, b``."""
     salt = F.xxhash64("key")
-    size = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = pairs.join(size, "hub").withColumn("block", F.pmod(salt, F.col("blocks")).cast("int"))
+    size = pairs.groupBy("hub").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
+    size = stored(size, "jaccard-hubs")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
+    dealt = join_spread(pairs.select("hub", "key"), size.select("hub", blocks), ["hub"], hottest(size, ["hub"]))
+    dealt = dealt.withColumn("block", F.pmod(salt, F.col("blocks")).cast("int"))
     hubs = dealt.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("key"))
     members = dealt.select("hub", "block", "key").unionByName(hubs)
     rows = members.join(whole.select("key", "tokens"), "key")
@@ -318,13 +330,6 @@ def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return rows.groupBy("hub", "block").applyInArrow(compare, "a long, b long")
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """``key, root``: one step towards the components, which spares most comparisons inside them."""
-    both = links.select("a", "b").union(links.select("b", "a")).toDF("key", "v")
-    near = both.groupBy("key").agg(F.min("v").alias("v"))
-    return stored(near.select("key", F.least("key", "v").alias("root")), "jaccard-near")
-
-
 def components(links: DataFrame) -> DataFrame:
     """``key, root`` for the ends of links ``a, b``: the smallest key that is connected."""
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
@@ -362,13 +367,15 @@ def linked_groups(whole: DataFrame) -> DataFrame:
         rows = stored(open_rows.join(tokens, "token"), "jaccard-open")
         met = against_hubs(rows, classes, groups) if turn < STARS else against_all(rows)
         low, high = F.least("hub", "key").alias("low"), F.greatest("hub", "key").alias("high")
-        pairs = met.select("hub", "key", low, high).dropDuplicates(["low", "high"])
+        pairs = met.select("hub", "key", "n", low, high).dropDuplicates(["low", "high"])
         pairs = stored(pairs.join(checked, ["low", "high"], "left_anti"), "jaccard-pairs")
         if not pairs.isEmpty():
             checked = checked.union(pairs.select("low", "high"))
-            found = stored(verified(pairs.select("hub", "key"), whole), "jaccard-links")
+            found = stored(verified(pairs, whole), "jaccard-links")
             links = links.union(found)
-            groups = contracted(links)
+            if turn == STARS:
+                break
+            groups = components(links)
         open_rows = rows.select("token", "key", "n", "room").join(groups, "key", "left")
         open_rows = open_rows.withColumn("root", F.coalesce("root", "key"))
     return components(links)
@@ -383,15 +390,21 @@ _ENOUGH = f"shared * 100 >= least(m, n) * {SPARE}"
 
 
 def against_hubs(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Classes with the class that each of their shingles names, where a link is likely.
+    """Classes with those that most of their shingles name, where a link is likely.
 
-    Shingles that name another class are not counted here, so this may miss links.
+    Shingles that name another class are not counted here, and a class meets its best hubs only, so
+    this may miss links: the round behind it is whole.
     """
     counted = rows.where("key != hub").groupBy("hub", "key", "n").agg(F.count("*").alias("shared"))
     # the other set has at least SAME hundredths of this one's size
     counted = counted.where(f"shared * 10000 >= n * {SPARE * SAME}").drop("n")
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("shared", F.negative("hub").alias("other"))))), 1, BEST_HUBS)
+    counted = counted.groupBy("key").agg(best.alias("b")).select("key", F.explode("b").alias("b"))
+    counted = counted.select("key", F.negative("b.other").alias("hub"), "b.shared")
     info = classes.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    both = counted.join(info, "key").join(info.toDF("hub", "m", "top_room", "top"), "hub")
+    near = stored(counted.join(info, "key"), "jaccard-near")
+    hot = hottest(near.groupBy("hub").agg(F.count("*").alias("n")), ["hub"])
+    both = join_spread(near, info.toDF("hub", "m", "top_room", "top"), ["hub"], hot)
     return both.where(f"{_ENOUGH} AND {_MAY_LINK}")
 
 
