@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlens.llm.common import add_columns, parts
+from meshlens.llm.common import add_columns, parts, stored
 
 LEAST_WORDS = 6
 LEAST_CHARS = 60
@@ -144,7 +144,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     ``kept_doc_id`` is the document whose place of the unit is kept (NULL: it has no id).
     """
-    found = _digests(docs, doc_id, text)
+    found = stored(_digests(docs, doc_id, text), "repeats-units")
     # copies of a unit collapse before the shuffle; what stands once goes no further
     first = (
         found.groupBy("k1", "k2")
