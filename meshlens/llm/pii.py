@@ -248,11 +248,11 @@ def cased_as(entity: Column, plain: Column) -> Column:
     )
 
 
-def surrogate(key: str, entity: Column, attempts: Column | None) -> Column:
+def surrogate(key: str, entity: Column, attempts: Column) -> Column:
     """The replacement of an entity as it is written in the text."""
 
     def drawn(unit: Column) -> Column:
-        again = F.lit(0) if attempts is None else F.coalesce(F.get(F.map_values(F.map_filter(attempts, lambda k, _: k == unit_name(unit))), F.lit(0)), F.lit(0))
+        again = F.coalesce(F.get(F.map_values(F.map_filter(attempts, lambda k, _: k == unit_name(unit))), F.lit(0)), F.lit(0))
         return stand_in(key, unit["kind"], unit["norm"], again)
 
     def put(parts: Column, found: Column) -> Column:
@@ -279,10 +279,25 @@ def entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def found_entities(docs: DataFrame, text: str) -> DataFrame:
+    """``__pii_key, entity``: the entities of every text, found once and stored."""
+    hinted = docs.where(F.col(text).rlike(HINT))
+    found = hinted.select(digest_of(F.col(text)).alias("__pii_key"), F.explode(entities(F.col(text))).alias("entity"))
+    return stored(found.distinct(), "pii-entities")
+
+
 def drawn_anew(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``unit, attempt`` of the units whose first stand-in collides with another or with an original."""
-    hinted = docs.where(F.col(text).rlike(HINT))
-    found = hinted.select(F.explode(entities(F.col(text))).alias("entity")).distinct()
+    return redrawn(found_entities(docs, text), key)
+
+
+def redrawn(found: DataFrame, key: str) -> DataFrame:
+    """:func:`drawn_anew` for the entities found."""
+    found = found.select("entity").distinct()
     own = stored(found.select(F.explode(units(F.col("entity"))).alias("u")).select("u.kind", "u.norm").distinct(), "pii-units")
     now = own.withColumn("attempt", F.lit(0))
     taken = own.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real"))
@@ -303,18 +318,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", n_chars: str = "
     ``found`` names a column to add: the types of the replaced entities, in order. ``key`` is the
     secret that the replacements depend on.
     """
-    anew = drawn_anew(docs, key, text)
+    entity_rows = found_entities(docs, text)
+    anew = redrawn(entity_rows, key)
     columns = docs.columns
-    if anew.isEmpty():
-        rows, attempts = docs, None
-    else:
-        digest = F.sha2(F.col(text).cast("binary"), 256)
-        unit_list = F.flatten(F.transform(entities(F.col(text)), units))
-        named = docs.where(F.col(text).rlike(HINT)).select(digest.alias("__pii_key"), F.explode(unit_list).alias("u")).distinct()
-        named = named.select("__pii_key", unit_name(F.col("u")).alias("unit")).join(anew, "unit")
-        maps = named.groupBy("__pii_key").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("__pii_map"))
-        rows = docs.withColumn("__pii_key", digest).join(maps, "__pii_key", "left")
-        attempts = F.coalesce("__pii_map", F.create_map().cast("map<string,int>"))
+    # Texts that hold a unit drawn anew, whatever their number: Spark sends them to the documents if they are few.
+    held = entity_rows.select("__pii_key", F.explode(units(F.col("entity"))).alias("u")).distinct()
+    held = held.select("__pii_key", unit_name(F.col("u")).alias("unit")).join(anew, "unit")
+    maps = held.groupBy("__pii_key").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("__pii_map"))
+    rows = docs.withColumn("__pii_key", digest_of(F.col(text))).join(stored(maps, "pii-maps"), "__pii_key", "left")
+    attempts = F.coalesce("__pii_map", F.create_map().cast("map<string,int>"))
 
     def replaced(found_here: Column) -> Column:
         new = F.transform(found_here, lambda e: surrogate(key, e, attempts))
