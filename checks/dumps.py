@@ -82,8 +82,18 @@ ROWS: dict[str, dict[str, str]] = {
         "serial_number": f"CASE WHEN {HAS_INFO} AND d % 2 = 0 THEN 'S\"' || {_text('n')} || '}}' END",
         "fw_ver": f"CASE WHEN {HAS_INFO} AND d % 3 != 0 THEN '2.' || {_text('d')} ELSE {DEVICE_FW} END",
         "mode": f"CASE WHEN {HAS_INFO} THEN {ROLE} END",
+        "model_base": f"CASE WHEN {HAS_INFO} THEN 'MX' || {_text('d % 90')} END",
+        "model_number": f"CASE WHEN {HAS_INFO} AND d % 5 != 0 THEN 'MX' || {_text('d % 90')} || '-' || lang END",
+        "hw_version": f"CASE WHEN {HAS_INFO} THEN {_text('1 + i')} END",
         "userap2g_bssid": f"CASE WHEN {HAS_INFO} THEN {NODE_MAC} END",
+        "userap2g_channel": f"CASE WHEN {HAS_INFO} THEN {_text('1 + (d + i) % 11')} END",
+        "userap5gl_bssid": f"CASE WHEN {HAS_INFO} AND d % 3 != 1 THEN lower({NODE_MAC}) END",
+        "userap5gl_channel": f"CASE WHEN {HAS_INFO} AND d % 3 != 1 THEN {_text('36 + i')} END",
+        "userap5gh_bssid": f"CASE WHEN {HAS_INFO} AND d % 2 = 1 THEN {NODE_MAC} END",
         "userap5gh_channel": f"CASE WHEN {HAS_INFO} AND d % 2 = 1 THEN {_text('100 + i')} END",
+        # Of the whole object: a text inside a list of an object, and the number of its keys.
+        "info_nested": f"CASE WHEN {HAS_INFO} THEN '}}' END",
+        "info_keys": f"CAST(CASE WHEN {HAS_INFO} THEN 8 + CASE WHEN d % 2 = 0 THEN 1 ELSE 2 END + CASE WHEN d % 5 != 0 THEN 1 ELSE 0 END + 2 ELSE 0 END AS BIGINT)",
     },
     "radio_stats": {
         "radio": "'wifi' || " + _text("i"),
@@ -231,7 +241,13 @@ def _dump_sql() -> str:
         f" IF(d % 2 = 0, concat('\"serialNumber\": \"S\\\\\"', n, '}}\",'), ''),"
         f" '\"fw_ver\": \"', IF(d % 3 != 0, concat('2.', d), ''), '\",',"
         f" '\"mode\": \"', {s['mode']}, '\", \"userAp2G_bssid\": \" ', {s['userap2g_bssid']}, ' \",',"
-        f" IF(d % 2 = 1, concat('\"userAp5GH_channel\": \"', {s['userap5gh_channel']}, '\",'), ''),"
+        f" '\"model_base\": \"', {s['model_base']}, '\", \"hw_version\": ', {s['hw_version']}, ',',"
+        f" IF(d % 5 != 0, concat('\"model_number\": \"', {s['model_number']}, '\",'), ''),"
+        f" '\"userAp2G_channel\": \"', {s['userap2g_channel']}, '\",',"
+        # Blank texts count as none.
+        f" '\"userAp5GL_bssid\": \"', IF(d % 3 != 1, {s['userap5gl_bssid']}, '  '), '\",',"
+        f" '\"userAp5GL_channel\": \"', {s['userap5gl_channel']}, '\",',"
+        f" IF(d % 2 = 1, concat('\"userAp5GH_channel\": \"', {s['userap5gh_channel']}, '\",\"userAp5GH_bssid\": \"', {s['userap5gh_bssid']}, '\",'), ''),"
         " '\"list\": [\"{\", {\"a\": \"}\"}]}}')"
     )
     put(

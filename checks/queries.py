@@ -22,7 +22,7 @@ from meshlens.functions.text import host_of
 from meshlens.operators import extract as ex
 from meshlens.operators import identity, names, sections, upsert, vendors
 from meshlens.operators.predecessor import with_predecessor
-from meshlens.plans import capture, panels, stored, views
+from meshlens.plans import capture, panels, sketches, stored, views
 from meshlens.sinks import buffer as buffer_sink
 from meshlens.sinks import lake, messages
 from meshlens.sources import buffer as buffer_source
@@ -329,6 +329,29 @@ def f3_copies(spark, sf):
     return rates_of.select("t_ms", "intf", "d_rx_bytes", "d_tx_bytes", "elapsed_secs")
 
 
+@query(
+    "a2_sketched_hosts",
+    f"""SELECT epoch_ms(date_trunc('week', fetched_at)) AS week, subnet, COUNT(DISTINCT mac) AS live_hosts, TRUE AS within
+FROM (SELECT *, coalesce(map {{'br0': 'Main LAN', 'br1': 'Guest', 'br2': 'Smart Connect', 'eth0': 'WAN', 'eth1': 'WAN'}}[iface], iface) AS subnet
+      FROM {fx.duck('ip_neighbor')} a WHERE family = 'inet') b GROUP BY 1, 2""",
+)
+def a2_sketched(spark, sf):
+    """Sketches of every snapshot, stored and rolled up to weeks, beside the exact counts."""
+    rows = fx.table(spark, sf, "ip_neighbor")
+    folder = lake.shared_folder(spark, "sketches")
+    sketches.neighbor_sketches(rows).write.parquet(folder)
+    rolled = sketches.live_hosts(spark.read.parquet(folder), "week")
+    exact = (
+        rows.where(F.col("family") == views.IPV4)
+        .groupBy(F.date_trunc("week", "fetched_at").alias("span"), views.subnet_of().alias("subnet"))
+        .agg(F.count_distinct("mac").alias("exact"))
+    )
+    same = (rolled["span"] == exact["span"]) & rolled["subnet"].eqNullSafe(exact["subnet"])
+    both = rolled.join(exact, same).select(rolled["span"].alias("week"), rolled["subnet"], "live_hosts", "exact")
+    error = F.abs(F.col("live_hosts") - F.col("exact")) / F.greatest("exact", F.lit(1))
+    return in_ms(both.select("week", "subnet", F.col("exact").alias("live_hosts"), (error <= sketches.ERROR).alias("within")))
+
+
 @query(
     "a10_name_coverage",
     f"""SELECT snapshot_id, COUNT(nullif(friendly_name, '')) AS named, COUNT(*) AS devices
@@ -420,6 +443,9 @@ def extraction(key: str, table: str) -> None:
             rows = rows.withColumn("_v", values).select(
                 "*", *(F.col("_v")[k].alias(k.lower()) for k in keys)
             )
+        if table == "node":
+            keys = F.size(F.json_object_keys("devinfo")).cast("bigint")
+            rows = rows.withColumn("info_nested", F.get_json_object("devinfo", "$.list[1].a")).withColumn("info_keys", keys)
         return rows.select("snapshot_id", *dm.ROWS[table])
 
     query(key, dm.expected(table))(call)
@@ -566,6 +592,14 @@ def s6(spark, sf):
     return _vendors(spark, sf).select("bits", "prefix", "vendor")
 
 
+@query("s7_no_vendor_file", f"SELECT id, mac, CAST(NULL AS VARCHAR) AS mac_vendor FROM {fx.duck('host')} h")
+def s7(spark, sf):
+    """Without a vendor file every vendor is unknown, and nothing fails."""
+    missing = vendor_source.read_vendor_file(spark, f"{sf}/no-such-vendor-file")
+    ouis = vendors.oui_table(missing)
+    return vendors.with_vendor(fx.table(spark, sf, "host"), ouis, "mac", "mac_vendor").select("id", "mac", "mac_vendor")
+
+
 @query(
     "n7_oui_table",
     f"""SELECT upper(left(prefix, 2) || ':' || substr(prefix, 3, 2) || ':' || substr(prefix, 5, 2)) AS oui, vendor FROM {_OUI} o""",
@@ -888,6 +922,26 @@ def t2(spark, sf):
     return in_ms(lake.read_table(spark, store, "nic_counter")).drop("snapshot_id")
 
 
+@query(
+    "t2_watermark",
+    f"""SELECT id, CAST(SUM(versions) AS BIGINT) AS versions, CAST(MAX(tx) AS BIGINT) AS tx_bytes FROM (
+  SELECT id, 1 AS versions, tx_bytes AS tx FROM {fx.duck('nic_copies')} a
+  UNION ALL SELECT id, 1, tx_bytes + 1 FROM {fx.duck('nic_copies')} b WHERE rx_bytes % 3000 = 0) x GROUP BY id""",
+)
+def t2_watermark(spark, sf):
+    """Redelivery within the bound never reaches the lake, a changed row does; the reader gives the last one."""
+    path, store = lake.shared_folder(spark, "buffer"), lake.shared_folder(spark, "lake")
+    rows = fx.table(spark, sf, "nic_copies")
+    sent = messages.messages(rows, "nic_counter", marked_time=True)
+    for part in (sent, sent.repartition(2), _changed(rows.where("rx_bytes % 3000 = 0"))):
+        buffer_sink.write_buffer(part, path)
+        stream = buffer_source.stream_buffer(spark, path)
+        replay.replay(stream, store, f"{store}/_checkpoint", within="1 hour").awaitTermination()
+    kept = lake.versions(spark, store, "nic_counter").groupBy("id").agg(F.count("*").alias("versions"))
+    newest = lake.read_table(spark, store, "nic_counter").select("id", "tx_bytes")
+    return kept.join(newest, "id")
+
+
 def _drain(spark, path: str, store: str, name: str = "a") -> None:
     stream = buffer_source.stream_buffer(spark, path)
     replay.replay(stream, store, f"{store}/_checkpoint_{name}").awaitTermination()

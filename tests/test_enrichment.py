@@ -188,3 +188,37 @@ def test_source_tags_and_ids(spark):
     ids = [r.id for r in tagged.collect()]
     assert len(set(ids)) == 4 and all(len(i) == 64 for i in ids)
     assert [r.id for r in with_ids(tagged.withColumn("id", F.lit("kept")), "system").collect()] == ["kept"] * 4
+
+
+def test_nested_blocks_of_all_lengths(spark):
+    """Blocks inside blocks, shorter and longer than 24 bits; the longest one that holds the address counts."""
+    blocks = [(8, "5e", "eight"), (20, "5e702", "twenty"), (24, "5e702b", "oui"), (28, "5e702b1", "small"), (36, "5e702b123", "tiny"), (36, "aabbccdde", "alone")]
+    table = spark.createDataFrame(blocks, "bits int, prefix string, vendor string")
+    want = {
+        "5E:70:2B:12:3F:00": "tiny", "5e702b1fffff": "small", "5E:70:2B:FF:FF:FF": "oui", "5e:70:2c:00:00:00": "twenty",
+        "5E-00-00-00-00-00": "eight", "AA:BB:CC:DD:EF:00": "alone", "AA:BB:CC:DE:00:00": None, "5E": "eight", "zz": None,
+    }
+    macs = spark.createDataFrame([(m,) for m in [*want, *want, None]], "mac string")
+    for lengths in (range(9), (6, 7, 9), (6,)):
+        kept = table.where(F.length("prefix").isin(*lengths))
+        best = {m: max(((len(p), v) for _, p, v in blocks if len(p) in lengths and "".join(c for c in m.lower() if c in "0123456789abcdef").startswith(p)), default=(0, None))[1] for m in want}
+        assert {r.mac: r.vendor for r in vendors.longest_prefix(macs, kept).collect()} == best
+    assert best != want and vendors.longest_prefix(macs, table).count() == len(want)
+
+
+def test_sketches_roll_up(spark):
+    from meshlens.plans import sketches
+
+    rows = spark.range(6000).selectExpr(
+        "timestamp_millis(1704067200000 + id % 48 * 3600000) AS fetched_at", "IF(id % 7 = 0, 'inet6', 'inet') AS family",
+        "IF(id % 2 = 0, 'br0', NULL) AS iface", "IF(id % 11 = 0, NULL, CAST(id % 700 AS STRING)) AS mac",
+    )
+    kept = sketches.neighbor_sketches(rows)
+    assert kept.count() == 48
+    for unit, n in (("hour", 48), ("day", 4), ("year", 2)):
+        found = sketches.live_hosts(kept, unit)
+        exact = rows.where("family = 'inet'").groupBy(F.date_trunc(unit, "fetched_at").alias("span"), "iface").agg(F.count_distinct("mac").alias("n"))
+        got = {(r.span, r.subnet): r.live_hosts for r in found.collect()}
+        assert len(got) == n
+        for r in exact.collect():
+            assert abs(got[r.span, r.iface and "Main LAN"] - r.n) <= sketches.ERROR * r.n
