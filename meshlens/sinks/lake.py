@@ -25,7 +25,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlens.functions.measures import in_window
@@ -162,8 +162,12 @@ def versions(
     to_ms: int | None = None,
 ) -> DataFrame:
     """All stored versions of a table's rows; a time window reads only its days."""
+    return _days_of(spark, f"{root}/{table}", table, from_ms, to_ms)
+
+
+def _days_of(spark: SparkSession, folder: str, table: str, from_ms: int | None, to_ms: int | None) -> DataFrame:
     try:
-        stored = _stored(spark, f"{root}/{table}", table)
+        stored = _stored(spark, folder, table)
     except AnalysisException:
         return spark.createDataFrame([], f"{ddl(table)}, {STAMPS}, {PLACES}")
     if from_ms is not None:
@@ -207,6 +211,30 @@ def read_table(
     return rows.select(*schema(table).names, *extra)
 
 
+def store_waiting(spark: SparkSession, root: str, table: str, writer: str, batch_id: int) -> None:
+    """Keep a batch's rows without a source node aside, for the batch that their master comes with."""
+    try:
+        own = _stored(spark, f"{root}/{table}", table, f"day=*/writer={writer}/batch={batch_id}")
+    except AnalysisException:
+        return  # nothing stored
+    _place(own.where("source_node_mac IS NULL").hint("rebalance", "day"), f"{root}/_waiting/{table}")
+
+
+def waiting_rows(
+    spark: SparkSession, root: str, table: str, from_ms: int, to_ms: int, which: Column | None = None
+) -> DataFrame:
+    """Rows kept aside on the days of a time window, each id once."""
+    aside = _days_of(spark, f"{root}/_waiting/{table}", table, from_ms, to_ms)
+    return newest(aside if which is None else aside.where(which))
+
+
+def drop_waiting(spark: SparkSession, root: str, before: date) -> None:
+    """Forget rows kept aside of the days before one; their masters are not expected any more."""
+    for name in Folder(spark, f"{root}/_waiting").folders("*/day=*"):
+        if name.rsplit("=", 1)[1] < before.isoformat():
+            remove(spark, f"{root}/_waiting/{name}")
+
+
 def days_of_several_batches(spark: SparkSession, root: str, table: str, from_ms: int, to_ms: int) -> list[date] | None:
     """Days of a window that are stored in more than one batch, by the names of their folders.
 

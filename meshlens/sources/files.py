@@ -34,6 +34,12 @@ class Folder:
         """How many files or folders a glob pattern names."""
         return len(self._store.globStatus(self._path(pattern)) or [])
 
+    def folders(self, pattern: str) -> list[str]:
+        """Folders that a glob pattern names, relative to the root, in ascending order."""
+        base = self._store.makeQualified(self._path()).toString().rstrip("/") + "/"
+        found = self._store.globStatus(self._path(pattern)) or []
+        return sorted(f.getPath().toString().removeprefix(base) for f in found if f.isDirectory())
+
     def touch(self, name: str) -> None:
         self._store.create(self._path(name), False).close()
 

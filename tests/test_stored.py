@@ -133,3 +133,36 @@ def test_ranges_give_the_same_links(spark):
     cut = with_predecessor(rows, ["e"], ["v"], most_rows=20)
     take = lambda df: sorted(map(repr, df.select("id", "t_ms", "prev_ms", "v", "prev_v").collect()))
     assert take(cut) == take(plain) and len(take(cut)) >= 2990
+
+
+def test_late_masters_tag_rows_kept_aside(spark, tmp_path):
+    """No batch reads the stored per-node tables: they may as well be away."""
+    root = str(tmp_path / "lake")
+    schema = "snapshot_id string, fetched_at timestamp, source_ip string, text string"
+
+    def batch(number, *dumps):
+        frame = spark.createDataFrame([(s, at(0, h), ip, DUMP) for s, h, ip in dumps], schema)
+        stream_capture.capture_batch(frame, number, root, writer="w")
+
+    sat = "10.44.8.6"
+    batch(0, ("s1", 1, sat), ("s2", 2, sat), ("s3", 3, None))
+    assert lake.waiting_rows(spark, root, "radio_stats", START_MS, START_MS + DAY).count() == 4
+    hidden = tmp_path / "hidden"
+    (tmp_path / "lake/radio_stats").rename(hidden)
+    batch(1, ("s2", 2, None))
+    batch(1, ("s2", 2, None))  # run again
+    rows = spark.read.parquet(f"{root}/radio_stats").groupBy("snapshot_id", "source_role").count().collect()
+    assert sorted(map(tuple, rows)) == [("s2", "master", 2), ("s2", "slave", 2)]
+    lake.drop_waiting(spark, root, at(1).date())
+    assert lake.waiting_rows(spark, root, "radio_stats", START_MS, START_MS + DAY).count() == 0
+
+
+def test_of_two_dumps_of_a_node_the_last_to_arrive_counts(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    short = DUMP.replace("wifi1", "wifi9")
+    schema = "snapshot_id string, fetched_at timestamp, source_ip string, text string, arrival int"
+    for number, arrivals in enumerate([(1, 2), (2, 1)]):
+        rows = [(f"s{number}", at(number), None, text, n) for text, n in zip((DUMP, short), arrivals)]
+        stream_capture.capture_batch(spark.createDataFrame(rows, schema), number, root, writer="w")
+    got = lake.read_table(spark, root, "radio_stats").select("fetched_at", "radio").collect()
+    assert sorted(map(tuple, got)) == [(at(0), "wifi0"), (at(0), "wifi9"), (at(1), "wifi0"), (at(1), "wifi1")]
