@@ -8,7 +8,8 @@ automaton of its own, so what is sent to the executors has a bound; the document
 after the other without any shuffle.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lowering A-Z. NULL and empty texts have no
-words and no leak. Items without words are never found. Rows are neither dropped nor merged by
+words and no leak. Items without words are never found; passages of items without an id are leaks
+like others, but no id is named for them. Rows are neither dropped nor merged by
 ``find_leaks``; ``remove_leaks`` drops documents as its parameters say.
 """
 
@@ -40,10 +41,14 @@ FIELDS = [
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+#: Of states that no item is named for; never changed.
+_NONE: set[str | None] = set()
+
+
 class Automaton:
     """Generalised suffix automaton of items, with the items that hold each state's words."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -55,7 +60,8 @@ class Automaton:
                 path.append(last)
             if own:
                 entries.append((name, len(own), path))
-        self.items: list[set[str]] = [set() for _ in self.next]
+        #: Of each state, the items that hold it; most states have none of their own and share one.
+        self.items: list[set[str | None]] = [_NONE] * len(self.next)
         self.short: dict[int, list[tuple[int, str]]] = {}
         for name, size, path in entries:
             if size < window:
@@ -63,6 +69,8 @@ class Automaton:
                 continue
             for state in path:
                 while state > 0 and self.length[state] >= window and name not in self.items[state]:
+                    if self.items[state] is _NONE:
+                        self.items[state] = set()
                     self.items[state].add(name)
                     state = self.link[state]
         #: Of each state, the state of its last ``window`` words (0: it is shorter).
@@ -107,12 +115,12 @@ class Automaton:
         self.length.append(length)
         return len(self.next) - 1
 
-    def scan(self, own: list[bytes]) -> tuple[list[int], set[str]]:
+    def scan(self, own: list[bytes]) -> tuple[list[int], set[str | None]]:
         """Hit word ranges ``[from, to, from, to, ...)``, merged, and the items found."""
         following, link, length = self.next, self.link, self.length
         base, ends, window = self.base, self.ends, self.window
         spans: list[int] = []
-        found: set[str] = set()
+        found: set[str | None] = set()
         root = following[0]
         state = run = 0
         for i, word in enumerate(own):
@@ -160,17 +168,16 @@ def merged(a: list[int], b: list[int]) -> list[int]:
 
 def item_blocks(
     items: DataFrame, item_id: str, text: str, window: int, block_words: int
-) -> Iterator[list[tuple[str, list[bytes]]]]:
+) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items in blocks of bounded size, read partition by partition.
 
-    Items without an id are left out. An item longer than a block becomes parts that share
+    An item longer than a block becomes parts that share
     ``window`` - 1 words, so that none of its windows is lost.
     """
-    block: list[tuple[str, list[bytes]]] = []
+    block: list[tuple[str | None, list[bytes]]] = []
     size = 0
     step = max(1, block_words - window + 1)
-    named = items.where(F.col(item_id).isNotNull())
-    for row in named.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
+    for row in items.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
         own = words(row[1])
         for start in range(0, max(len(own) - window + 1, min(len(own), 1)), step):
             part = own[start : start + block_words]
@@ -230,7 +237,7 @@ def _pass(sent: Broadcast, name: str, window: int, text: str, first: bool):
                 ranges, items = merged(old_spans[i], ranges), items | set(old_items[i])
             counts.append(len(own))
             spans.append(ranges)
-            found.append(sorted(items))
+            found.append(sorted(items - {None}))
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
         return [pa.array(x, k) for x, k in zip((counts, spans, found), kinds, strict=True)]
 

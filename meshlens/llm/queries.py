@@ -73,7 +73,7 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 @query(
     "op6_benchmark_leaks",
     rf"""
-    WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
     sized AS (SELECT item_id, w, least(len(w), 10) AS size FROM item WHERE len(w) > 0),
     win AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS gram
       FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM sized)),
@@ -85,7 +85,7 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
       FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM hit) GROUP BY 1),
     found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY 1)
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
       coalesce(n_hit, 0) > 0 AS contaminated

@@ -64,3 +64,22 @@ def test_empty_tables(spark):
     assert decontam.find_leaks(docs, bench).count() == 0
     one = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert decontam.find_leaks(one, bench).collect()[0].leak_spans == []
+
+
+def test_items_without_an_id_are_leaks_without_a_name(spark):
+    long, short = "one two three four five six seven eight nine ten eleven", "alpha beta"
+    items = [(None, long), (None, short), (None, None), (7, short)]
+    docs = [(1, f"x {long} y"), (2, f"alpha {long.upper()} and alpha beta"), (3, "nothing of it"), (None, short)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (1000, 11):
+        got = {r.doc_id: (r.leak_spans, r.leak_items) for r in decontam.find_leaks(frame, bench, block_words=block_words).collect()}
+        assert got == {1: ([1, 12], []), 2: ([1, 12, 13, 15], ["7"]), 3: ([], []), None: ([0, 2], ["7"])}
+
+
+def test_very_long_texts(spark):
+    item = [f"w{k}" for k in range(30_000)]
+    text = " ".join([*item, "x", *item])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontam.find_leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).head()
+    assert got.leak_spans == [0, 30_000, 30_001, 60_001] and got.leak_items == ["1"]
