@@ -329,6 +329,57 @@ def f3_copies(spark, sf):
     return rates_of.select("t_ms", "intf", "d_rx_bytes", "d_tx_bytes", "elapsed_secs")
 
 
+# Sites: the last digit of a row's id. Series and newest snapshots are each site's own.
+BY_SITE = views.Span(by=("site",))
+
+
+def _sited(spark, sf, table: str) -> DataFrame:
+    return fx.table(spark, sf, table).withColumn("site", F.expr("right(id, 1)"))
+
+
+@query(
+    "v1_site_rates",
+    f"""WITH s AS (SELECT x.*, right(id, 1) AS site FROM (SELECT r.id, q.* FROM {fx.duck('radio_stats')} r JOIN
+  (SELECT id AS key, y.* EXCLUDE (id) FROM ({RADIO.replace("SELECT coalesce", "SELECT id, coalesce", 1)}) y) q ON r.id = q.key) x)
+SELECT c.site, c.t AS t_ms, coalesce(c.label, 'master') || ' ' || c.band || ' / ' || c.radio AS metric,
+  {mbps_sql('c.tx - p.tx', 'c.t - p.t')} AS tx_mbps, {mbps_sql('c.rx - p.rx', 'c.t - p.t')} AS rx_mbps
+FROM s c ASOF JOIN s p ON c.site = p.site AND c.node = p.node AND c.band = p.band AND c.radio = p.radio AND c.t > p.t
+WHERE c.tx >= p.tx""",
+)
+def v1_site(spark, sf):
+    found = views.radio_rates(_sited(spark, sf, "radio_stats"), BY_SITE)
+    return found.select("site", "t_ms", "metric", "tx_mbps", "rx_mbps")
+
+
+_SITE_PAIRS = PAIRS.replace("SELECT id, intf,", "SELECT id, right(id, 1) AS site, intf,").replace(
+    "SELECT intf, t, lag(t) OVER (PARTITION BY intf ORDER BY t) AS prev FROM (SELECT DISTINCT intf, t FROM c) d",
+    "SELECT site, intf, t, lag(t) OVER (PARTITION BY site, intf ORDER BY t) AS prev FROM (SELECT DISTINCT site, intf, t FROM c) d",
+).replace("SELECT c.id, c.intf", "SELECT c.id, c.site, c.intf").replace(
+    "ON c.intf = t.intf AND c.t = t.t JOIN c p ON p.intf", "ON c.site = t.site AND c.intf = t.intf AND c.t = t.t JOIN c p ON p.site = c.site AND p.intf"
+)
+
+
+@query(
+    "v5_site_rates",
+    f"""SELECT site, t AS t_ms, intf, rx - prev_rx AS d_rx_bytes, tx - prev_tx AS d_tx_bytes, (t - prev_ms) / 1e3 AS elapsed_secs
+FROM ({_SITE_PAIRS}) p WHERE rx >= prev_rx AND tx >= prev_tx""",
+)
+def v5_site(spark, sf):
+    found = views.nic_rates(_sited(spark, sf, "nic_copies"), BY_SITE)
+    return found.select("site", "t_ms", "intf", "d_rx_bytes", "d_tx_bytes", "elapsed_secs")
+
+
+@query(
+    "q9_site_neighbors",
+    f"""WITH n AS (SELECT *, right(id, 1) AS site FROM {fx.duck('ip_neighbor')} a WHERE epoch_ms(fetched_at) <= {TO_MS})
+SELECT site, ip, coalesce(map {{'br0': 'Main LAN', 'br1': 'Guest', 'br2': 'Smart Connect', 'eth0': 'WAN', 'eth1': 'WAN'}}[iface], iface) AS subnet,
+  mac, mac_vendor, is_router, state FROM n JOIN (SELECT site AS s, max(fetched_at) AS newest FROM n GROUP BY 1) m ON site = s
+WHERE family = 'inet' AND mac IS NOT NULL AND fetched_at = newest""",
+)
+def q9_site(spark, sf):
+    return panels.q9_latest_neighbors(_sited(spark, sf, "ip_neighbor"), TO_MS, ("site",))
+
+
 @query(
     "a2_sketched_hosts",
     f"""SELECT epoch_ms(date_trunc('week', fetched_at)) AS week, subnet, COUNT(DISTINCT mac) AS live_hosts, TRUE AS within

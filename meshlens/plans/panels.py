@@ -88,13 +88,25 @@ def latest_at(table: DataFrame, to_ms: int | None = None) -> Column:
     return (at >= newest) & (at < newest + F.expr("INTERVAL 1 MILLISECOND"))
 
 
-def q9_latest_neighbors(ip_neighbor: DataFrame, to_ms: int | None = None) -> DataFrame:
-    """Resolved IPv4 neighbours of the newest snapshot (newest of the whole table)."""
+def latest_rows(table: DataFrame, to_ms: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the newest snapshot up to ``to_ms``, of every site that ``by`` tells apart its own."""
+    if not by:
+        return table.where(latest_at(table, to_ms))
+    at = F.date_trunc("millisecond", "fetched_at")
+    known = table.where(in_window(F.col("fetched_at"), None, to_ms))
+    newest = known.groupBy(*by).agg(F.max(at).alias("_newest"))
+    return known.join(newest, list(by)).where(at == F.col("_newest")).drop("_newest")
+
+
+def q9_latest_neighbors(
+    ip_neighbor: DataFrame, to_ms: int | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Resolved IPv4 neighbours of the newest snapshot (newest of the whole table, or of each site)."""
     return (
-        ip_neighbor.where((F.col("family") == views.IPV4) & F.col("mac").isNotNull())
-        .where(latest_at(ip_neighbor, to_ms))
-        .select("ip", views.subnet_of().alias("subnet"), "mac", "mac_vendor", "is_router", "state")
-        .orderBy("subnet", "ip")
+        latest_rows(ip_neighbor, to_ms, by)
+        .where((F.col("family") == views.IPV4) & F.col("mac").isNotNull())
+        .select(*by, "ip", views.subnet_of().alias("subnet"), "mac", "mac_vendor", "is_router", "state")
+        .orderBy(*by, "subnet", "ip")
     )
 
 
@@ -140,9 +152,12 @@ def display_name() -> Column:
     )
 
 
-def _linked_devices(device: DataFrame, wlan_client: DataFrame, how: str) -> DataFrame:
+def _linked_devices(
+    device: DataFrame, wlan_client: DataFrame, how: str, by: tuple[str, ...] = ()
+) -> DataFrame:
     """Devices with the wireless link of the same snapshot and, ignoring case, address."""
     hosts = device.select(
+        *by,
         "snapshot_id",
         F.lower("mac").alias("_mac"),
         F.col("fetched_at").alias("time"),
@@ -150,9 +165,9 @@ def _linked_devices(device: DataFrame, wlan_client: DataFrame, how: str) -> Data
         "ip",
     )
     links = wlan_client.select(
-        "snapshot_id", F.lower("client_mac").alias("_mac"), "mcs", "rssi"
+        *by, "snapshot_id", F.lower("client_mac").alias("_mac"), "mcs", "rssi"
     )
-    return hosts.join(links, ["snapshot_id", "_mac"], how)
+    return hosts.join(links, [*by, "snapshot_id", "_mac"], how)
 
 
 def q18_device_links(
@@ -184,9 +199,12 @@ def q19_device_rssi(
 
 
 def q20_latest_device_links(
-    device: DataFrame, wlan_client: DataFrame, to_ms: int | None = None
+    device: DataFrame, wlan_client: DataFrame, to_ms: int | None = None, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Devices of the newest snapshot with their wireless links."""
-    newest = latest_at(device, to_ms)
-    joined = _linked_devices(device.where(newest), wlan_client.where(newest), "left")
-    return joined.select("name", "ip", "mcs", "rssi").orderBy("name")
+    """Devices of the newest snapshot (of each site) with their wireless links."""
+    if by:  # a snapshot is one site's, so its id alone finds the links
+        joined = _linked_devices(latest_rows(device, to_ms, by), wlan_client, "left", by)
+    else:
+        newest = latest_at(device, to_ms)
+        joined = _linked_devices(device.where(newest), wlan_client.where(newest), "left")
+    return joined.select(*by, "name", "ip", "mcs", "rssi").orderBy(*by, "name")

@@ -46,7 +46,8 @@ class Span:
 
     ``clipped``: of the time before ``from_ms`` the rows hold what is needed and little else, as
     those of :func:`meshlens.sinks.lake.read_series` do. ``most_rows``: an entity's days of more
-    rows are cut into ranges of about as many.
+    rows are cut into ranges of about as many. ``by`` names columns of the tables that tell
+    sites (or tenants) apart: series are not linked across them, and results have them in front.
     """
 
     from_ms: int | None = None
@@ -54,12 +55,14 @@ class Span:
     chunk_ms: int = CHUNK_MS
     clipped: bool = False
     most_rows: int | None = None
+    by: tuple[str, ...] = ()
 
 
 ALL = Span()
 
 
 def _linked(rows: DataFrame, entity: list[str], figures: list[str], span: Span) -> DataFrame:
+    entity = [*span.by, *entity]
     if not span.clipped:
         rows = clip_history(rows, entity, figures, span.from_ms, span.to_ms, at="fetched_at")
     linked = with_predecessor(rows, entity, figures, chunk_ms=span.chunk_ms, most_rows=span.most_rows)
@@ -74,11 +77,12 @@ def _elapsed():
     return F.col("t_ms") - F.col("prev_ms")
 
 
-def _radio_points(radio_stats: DataFrame, keys: dict[str, str], label: str) -> DataFrame:
+def _radio_points(radio_stats: DataFrame, keys: dict[str, str], label: str, by: tuple[str, ...]) -> DataFrame:
     """Radio rows with the wanted counters read from the stats object in one parse."""
     wanted = ", ".join(f"{k} string" for k in keys.values())
     return (
         radio_stats.select(
+            *by,
             F.coalesce("source_node_mac", F.lit(UNTAGGED_NODE)).alias("node"),
             F.coalesce("source_node_name", F.lit(label)).alias("node_name"),
             "band",
@@ -88,6 +92,7 @@ def _radio_points(radio_stats: DataFrame, keys: dict[str, str], label: str) -> D
             F.from_json("stats", wanted).alias("s"),
         )
         .select(
+            *by,
             "node",
             "node_name",
             "band",
@@ -102,9 +107,10 @@ def _radio_points(radio_stats: DataFrame, keys: dict[str, str], label: str) -> D
 def radio_rates(radio_stats: DataFrame, span: Span = ALL) -> DataFrame:
     """V1: throughput and link quality per radio; intervals whose tx counter fell are dropped."""
     figures = [*RADIO_COUNTERS, *RADIO_GAUGES]
-    points = _radio_points(radio_stats, RADIO_COUNTERS | RADIO_GAUGES, UNTAGGED_NODE)
+    points = _radio_points(radio_stats, RADIO_COUNTERS | RADIO_GAUGES, UNTAGGED_NODE, span.by)
     linked = _linked(points, ["node", "band", "radio"], figures, span)
     return linked.where(_delta("tx_bytes") >= 0).select(
+        *span.by,
         "fetched_at",
         "t_ms",
         F.concat("node_name", F.lit(" "), "band", F.lit(" / "), "radio").alias("metric"),
@@ -133,7 +139,7 @@ def neighbor_counts(ip_neighbor: DataFrame, span: Span = ALL) -> DataFrame:
     return (
         ip_neighbor.where(F.col("family") == IPV4)
         .where(in_window(F.col("fetched_at"), span.from_ms, span.to_ms))
-        .groupBy("fetched_at", subnet_of().alias("subnet"))
+        .groupBy(*span.by, "fetched_at", subnet_of().alias("subnet"))
         .agg(
             F.count_distinct("mac").alias("live_hosts"),
             F.count_if(state == "REACHABLE").alias("reachable"),
@@ -142,6 +148,7 @@ def neighbor_counts(ip_neighbor: DataFrame, span: Span = ALL) -> DataFrame:
             F.count_if(F.col("mac").isNull()).alias("unresolved"),
         )
         .select(
+            *span.by,
             F.col("fetched_at").cast("timestamp").alias("fetched_at"),
             epoch_ms(F.col("fetched_at")).alias("t_ms"),
             "subnet",
@@ -161,6 +168,7 @@ def wifi_vs_wired(nic_counter: DataFrame, radio_stats: DataFrame, span: Span = A
     snapshot is the denominator for all its entities.
     """
     wired = nic_counter.where(F.col("intf").isin(*WIRED_PORTS)).select(
+        *span.by,
         "intf",
         F.col("fetched_at").cast("timestamp").alias("fetched_at"),
         epoch_ms(F.col("fetched_at")).alias("t_ms"),
@@ -168,7 +176,8 @@ def wifi_vs_wired(nic_counter: DataFrame, radio_stats: DataFrame, span: Span = A
     )
     traffic = {c: RADIO_COUNTERS[c] for c in ("tx_bytes", "rx_bytes")}
     zero = F.lit(0).cast("bigint")
-    wifi = _radio_points(radio_stats, traffic, UNTAGGED_LABEL).select(
+    wifi = _radio_points(radio_stats, traffic, UNTAGGED_LABEL, span.by).select(
+        *span.by,
         "node",
         "radio",
         "fetched_at",
@@ -180,9 +189,10 @@ def wifi_vs_wired(nic_counter: DataFrame, radio_stats: DataFrame, span: Span = A
         linked = _linked(points, entity, ["bytes"], span)
         return (
             linked.where(_delta("bytes") >= 0)
-            .groupBy("fetched_at", "t_ms")
+            .groupBy(*span.by, "fetched_at", "t_ms")
             .agg(F.sum(_delta("bytes")).alias("moved"), F.max(_elapsed()).alias("elapsed"))
             .select(
+                *span.by,
                 "fetched_at",
                 "t_ms",
                 F.lit(category).alias("category"),
@@ -199,11 +209,11 @@ def node_wifi_rates(radio_stats: DataFrame, span: Span = ALL) -> DataFrame:
     """V4: wireless throughput per node; a radio whose tx or rx counter fell is left out."""
     figures = ["tx_bytes", "rx_bytes"]
     traffic = {c: RADIO_COUNTERS[c] for c in figures}
-    points = _radio_points(radio_stats, traffic, UNTAGGED_LABEL).fillna(0, figures)
+    points = _radio_points(radio_stats, traffic, UNTAGGED_LABEL, span.by).fillna(0, figures)
     linked = _linked(points.drop("band"), ["node", "radio"], figures, span)
     moved = (
         linked.where((_delta("tx_bytes") >= 0) & (_delta("rx_bytes") >= 0))
-        .groupBy("fetched_at", "t_ms", "node", "node_name")
+        .groupBy(*span.by, "fetched_at", "t_ms", "node", "node_name")
         .agg(
             F.sum(_delta("tx_bytes")).alias("sent"),
             F.sum(_delta("rx_bytes")).alias("received"),
@@ -212,6 +222,7 @@ def node_wifi_rates(radio_stats: DataFrame, span: Span = ALL) -> DataFrame:
     )
     elapsed = F.col("elapsed")
     return moved.select(
+        *span.by,
         "fetched_at",
         "t_ms",
         F.col("node_name").alias("node"),
@@ -224,6 +235,7 @@ def node_wifi_rates(radio_stats: DataFrame, span: Span = ALL) -> DataFrame:
 def nic_rates(nic_counter: DataFrame, span: Span = ALL) -> DataFrame:
     """V5: bytes moved and throughput per interface; resets of either counter are dropped."""
     points = nic_counter.select(
+        *span.by,
         "intf",
         F.col("fetched_at").cast("timestamp").alias("fetched_at"),
         epoch_ms(F.col("fetched_at")).alias("t_ms"),
@@ -232,6 +244,7 @@ def nic_rates(nic_counter: DataFrame, span: Span = ALL) -> DataFrame:
     )
     linked = _linked(points, ["intf"], ["rx_bytes", "tx_bytes"], span)
     return linked.where((_delta("rx_bytes") >= 0) & (_delta("tx_bytes") >= 0)).select(
+        *span.by,
         "fetched_at",
         "t_ms",
         "intf",
