@@ -385,8 +385,12 @@ def linked_groups(whole: DataFrame) -> DataFrame:
 _MAY_LINK = (
     f"least(m, n) * 100 >= greatest(m, n) * {SAME} AND least(top_room, room) * {100 + SAME} >= {SAME} * (m + n) AND root != top"
 )
-#: Linked sets share so many of their first shingles.
-_ENOUGH = f"shared * 100 >= least(m, n) * {SPARE}"
+#: Linked sets share so many of their first shingles: the one whose first shingles end earlier has all it
+#: shares among them in the other's, and lacks no more of the other than its size less the overlap of a link.
+_ENOUGH = (
+    f"shared >= ({SAME} * (m + n) + {99 + SAME}) div {100 + SAME}"
+    f" - (greatest(m, n) * {SAME} + 99) div 100 + (greatest(m, n) * {SPARE} + 99) div 100"
+)
 
 
 def against_hubs(rows: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
