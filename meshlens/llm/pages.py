@@ -79,12 +79,22 @@ def hints(named: str) -> frozenset[str]:
 
 
 class Part:
-    """A marked part of a page: what it holds tells whether it is the wrapper of all."""
+    """A marked part of a page: what it holds tells whether it is the wrapper of all.
 
-    __slots__ = ("tops", "mains", "heads", "words")
+    Counts are those of the page when the part begins, and the difference once it has ended.
+    """
 
-    def __init__(self) -> None:
-        self.tops = self.mains = self.heads = self.words = 0
+    __slots__ = ("tops", "mains", "heads", "words", "outer", "ended", "apart")
+
+    def __init__(self, page: Part | None = None, outer: Part | None = None) -> None:
+        self.tops, self.mains, self.heads, self.words = (page.tops, page.mains, page.heads, page.words) if page else (0, 0, 0, 0)
+        self.outer, self.ended, self.apart = outer, False, False
+
+    def end(self, page: Part) -> None:
+        if not self.ended:
+            self.tops, self.mains = page.tops - self.tops, page.mains - self.mains
+            self.heads, self.words = page.heads - self.heads, page.words - self.words
+            self.ended = True
 
     def wraps(self, page: Part) -> bool:
         if page.mains:
@@ -93,45 +103,95 @@ class Part:
 
 
 class Block:
-    __slots__ = ("text", "words", "links", "apart", "inside", "heading", "item", "marked")
+    __slots__ = ("text", "words", "links", "apart", "inside", "heading", "item", "part")
 
-    def __init__(self, parts: list[tuple[str, bool]], apart: bool, inside: bool, heading: bool, item: bool, marked: list[Part]):
+    def __init__(self, parts: list[tuple[str, bool]], apart: bool, inside: bool, heading: bool, item: bool, part: Part | None):
         self.text = " ".join("".join(t for t, _ in parts).split())
         self.words = len(self.text.split())
         self.links = len("".join(t if linked else " " for t, linked in parts).split())
-        self.apart, self.inside, self.heading, self.item, self.marked = apart, inside, heading, item, marked
+        self.apart, self.inside, self.heading, self.item, self.part = apart, inside, heading, item, part
+
+
+class Stack:
+    """The open elements of a page. What is asked of them is counted as they come and go, however deep they lie."""
+
+    def __init__(self) -> None:
+        #: Element, is it apart, is it hidden, its marked part.
+        self.open: list[tuple[str, bool, bool, Part | None]] = []
+        self.at: dict[str, list[int]] = {}  # places of the open elements of a name
+        self.blocks: list[int] = []
+        self.closing: list[int] = []  # places of paragraphs and headings
+        self.marked: list[Part] = []
+        self.apart = self.hidden = 0
+
+    def push(self, name: str, apart: bool, hidden: bool, part: Part | None) -> None:
+        place = len(self.open)
+        self.at.setdefault(name, []).append(place)
+        if name in BLOCKS:
+            self.blocks.append(place)
+        if name in CLOSED_BY_BLOCK:
+            self.closing.append(place)
+        if part:
+            self.marked.append(part)
+        self.apart += apart
+        self.hidden += hidden
+        self.open.append((name, apart, hidden, part))
+
+    def cut(self, place: int, page: Part) -> None:
+        """Close the elements from a place on."""
+        for name, apart, hidden, part in reversed(self.open[place:]):
+            self.at[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            if name in CLOSED_BY_BLOCK:
+                self.closing.pop()
+            if part:
+                self.marked.pop().end(page)
+            self.apart -= apart
+            self.hidden -= hidden
+        del self.open[place:]
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of some names; -1 without one."""
+        return max((places[-1] for n in names if (places := self.at.get(n))), default=-1)
+
+    def first(self, name: str) -> int | None:
+        places = self.at.get(name)
+        return places[0] if places else None
+
+    def top(self) -> int | None:
+        """Place of the outermost article, or else of the outermost main element."""
+        article = self.first("article")
+        return self.first("main") if article is None else article
 
 
 def blocks(page: str | None) -> list[Block]:
     """The shown text blocks of a page, in order."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, Part | None]] = []  # element, begins a part that is not main text, hidden, marked part
-    whole_page = Part()
+    stack, whole_page = Stack(), Part()
+    marked: list[Part] = []
 
     def flush() -> None:
         if any(not t.isspace() for t, _ in parts):
-            names = [s[0] for s in stack]
-            inside = "article" in names or "main" in names
-            top = names.index("article") if "article" in names else names.index("main") if inside else -1
-            apart = any(s[1] for s in stack) or "header" in names[: top if inside else None]
-            marked = [s[3] for s in stack if s[3]]
-            out.append(Block(parts, apart, inside, any(n in CLOSED_BY_BLOCK and n != "p" for n in names), "li" in names, marked))
-            for part in (whole_page, *marked):
-                part.words += out[-1].words
+            top, header = stack.top(), stack.first("header")
+            apart = stack.apart > 0 or header is not None and (top is None or header < top)
+            heading = any(stack.at.get(n) for n in CLOSED_BY_BLOCK if n != "p")
+            part = stack.marked[-1] if stack.marked else None
+            out.append(Block(parts, apart, top is not None, heading, bool(stack.at.get("li")), part))
+            whole_page.words += out[-1].words
         parts.clear()
 
     def say(text: str) -> None:
-        if text and not any(s[2] for s in stack):
-            parts.append((html.unescape(text), any(s[0] == "a" for s in stack)))
+        if text and not stack.hidden:
+            parts.append((html.unescape(text), bool(stack.at.get("a"))))
 
     def close(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                if any(s[0] in BLOCKS for s in stack[k:]):
-                    flush()
-                del stack[k:]
-                return
+        place = stack.last(name)
+        if place >= 0:
+            if stack.blocks and stack.blocks[-1] >= place:
+                flush()
+            stack.cut(place, whole_page)
 
     page = page or ""
     at = 0
@@ -154,18 +214,13 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name in BLOCKS:
             flush()
-            if stack and any(s[0] in CLOSED_BY_BLOCK for s in stack):
-                last = max(k for k, s in enumerate(stack) if s[0] in CLOSED_BY_BLOCK)
-                if not any(s[0] in BLOCKS for s in stack[last + 1 :]):
-                    del stack[last:]
+            if stack.closing and stack.blocks[-1] == stack.closing[-1]:
+                stack.cut(stack.closing[-1], whole_page)
             if name in SAME_CLOSES:
-                until = SAME_CLOSES[name].split()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in until:
-                        break
-                    if stack[k][0] == name or (name in "dd dt" and stack[k][0] in "dd dt") or (name in "td th" and stack[k][0] in "td th"):
-                        del stack[k:]
-                        break
+                same = next((pair for pair in (("dd", "dt"), ("td", "th")) if name in pair), (name,))
+                place = stack.last(*same)
+                if place > stack.last(*SAME_CLOSES[name].split()):
+                    stack.cut(place, whole_page)
         if name == "br":
             say(" ")
         if name in VOID or tag[4].endswith("/") and name not in BLOCKS:
@@ -175,18 +230,23 @@ def blocks(page: str | None) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         named = hints(" ".join(a or b or c for a, b, c in _NAMES.findall(tag[4])))
-        within = any(s[0] in TOPS for s in stack)
-        shown = not any(s[2] for s in stack)
-        for part in (whole_page, *(s[3] for s in stack if s[3])) if shown else ():
-            part.tops += name in TOPS and not within
-            part.mains += name == "main"
-            part.heads += name == "h1"
+        within = stack.top() is not None
+        if not stack.hidden:
+            whole_page.tops += name in TOPS and not within
+            whole_page.mains += name == "main"
+            whole_page.heads += name == "h1"
         whole = name in ("body", "html", "article", "main") or named == {"header"} and within
-        part = Part() if name in MARKED or named and not whole else None
-        stack.append((name, name in APART, name in HIDDEN or bool(_SHOWN_NOT.search(tag[4])), part))
+        part = None
+        if name in MARKED or named and not whole:
+            part = Part(whole_page, stack.marked[-1] if stack.marked else None)
+            marked.append(part)
+        stack.push(name, name in APART, name in HIDDEN or bool(_SHOWN_NOT.search(tag[4])), part)
     flush()
+    stack.cut(0, whole_page)
+    for part in marked:  # outer parts come first
+        part.apart = not part.wraps(whole_page) or part.outer is not None and part.outer.apart
     for block in out:
-        block.apart = block.apart or any(not part.wraps(whole_page) for part in block.marked)
+        block.apart = block.apart or block.part is not None and block.part.apart
     return out
 
 
@@ -198,9 +258,9 @@ def features(found: list[Block]) -> np.ndarray:
     rows = []
     for i, b in enumerate(found, 1):
         rows.append(
-            (words[i - 1], words[i], words[i + 1], density[i - 1], density[i], density[i + 1], b.apart, b.inside or not has_main, b.heading, b.item)
+            (words[i - 1], words[i], words[i + 1], density[i - 1], density[i], density[i + 1], b.apart, b.inside, has_main, b.heading, b.item)
         )
-    return np.array(rows, dtype=float).reshape(len(rows), 10)
+    return np.array(rows, dtype=float).reshape(len(rows), 11)
 
 
 def tree(rows: np.ndarray, main: np.ndarray, depth: int = DEPTH):
@@ -237,6 +297,10 @@ def _links(n: int, each: int = 1) -> str:
     return "".join(f'<li><a href="/{i}">{_prose(each)}</a></li>' for i in range(n))
 
 
+def _own_links(n: int, each: int) -> str:
+    return "".join(f'<li><a href="/{i}">main:{_prose(each)}</a></li>' for i in range(n))
+
+
 #: The labelled table: pages whose main blocks begin with "main:" (the mark is cut off).
 LABELLED = [
     f"<body><nav><ul>{_links(5)}</ul></nav><div class='ad'>{_prose(9)}</div><article><h1>main:{_prose(6)}</h1>"
@@ -259,6 +323,18 @@ LABELLED = [
     f"<section aria-label='Side effects'><p>main:{_prose(22)}</p></section><div class='share'><p>{_prose(9)}</p></div></main></form><div class='sidebar-left'>{_prose(40)}</div></div>",
     f"<div class='widget'><h1>main:{_prose(5)}</h1><p>main:{_prose(48)}</p><p>main:{_prose(31)}</p><div class='comments-list'><p>{_prose(26)}</p></div></div><div class='sidebar'><p>{_prose(21)}</p></div>",
     f"<main><nav>{_links(3, 2)}</nav><section><h2>main:{_prose(3)}</h2><p>main:{_prose(9)}</p></section><aside><p>{_prose(50)}</p></aside></main>",
+    # Linked text that belongs to the article: paragraphs, lists, cells.
+    f"<article><h1>main:{_prose(5)}</h1><p>main:{_prose(1)} <a>{_prose(26)}</a></p><p>main:{_prose(12)}</p><ul>{_own_links(4, 5)}</ul><p>main:{_prose(40)}</p></article>",
+    f"<main><h1>main:{_prose(3)}</h1><table><tr><td><a>main:{_prose(4)}</a></td><td><a>main:{_prose(2)}</a></td><td>main:{_prose(3)}</td></tr></table>"
+    f"<p><a>main:{_prose(9)}</a></p></main><footer><a>{_prose(2)}</a> <a>{_prose(2)}</a></footer>",
+    f"<article><p><a>main:{_prose(14)}</a></p></article><div>{_prose(2)} <a>{_prose(3)}</a></div>",
+    # Pages without any name: size and links tell, of a block and of its neighbours.
+    f"<div><a>{_prose(2)}</a> <a>{_prose(1)}</a> <a>{_prose(3)}</a></div><div><a>{_prose(2)}</a></div><h1>main:{_prose(6)}</h1><p>main:{_prose(52)}</p>"
+    f"<p>main:{_prose(20)} <a>{_prose(12)}</a></p><p>main:{_prose(61)}</p><div><a>{_prose(4)}</a></div><div><a>{_prose(5)}</a></div><div>{_prose(2)} <a>{_prose(4)}</a></div>",
+    f"<table><tr><td><a>{_prose(1)}</a></td><td><a>{_prose(1)}</a></td></tr></table><div>main:{_prose(75)}</div><div>main:{_prose(9)}</div><div>main:{_prose(64)}</div>"
+    f"<div><a>{_prose(3)}</a> <a>{_prose(3)}</a></div><div><a>{_prose(2)}</a> {_prose(1)}</div>",
+    f"<div><a>{_prose(3)}</a></div><p>main:{_prose(35)}</p><p>main:{_prose(3)} <a>{_prose(16)}</a></p><p>main:{_prose(58)}</p><p>main:{_prose(7)}</p><p>main:{_prose(33)}</p>"
+    f"<div><a>{_prose(6)}</a></div><div><a>{_prose(7)}</a></div>",
 ]
 
 

@@ -61,3 +61,51 @@ def test_frame(spark):
     out = pages.extract(spark.createDataFrame(rows, "page_id long, html string, text string"))
     assert out.columns == ["page_id", "html", "text"] and out.count() == 3
     assert pages.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+W = "word " * 26
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        f"<p>{PROSE}</p><p>See <a>{W}</a></p><p>{PROSE}</p>",
+        f"<p>{PROSE}</p><ul><li><a>one two three</a></li><li><a>four five</a></li></ul>",
+        "<table><tr><td><a>one</a></td><td><a>two three</a></td></tr></table>",
+        "<p><a>linked</a></p>",
+        f"<ul><li><a>{W}</a></li></ul><p>{PROSE}</p>",
+    ],
+)
+@pytest.mark.parametrize("top", ["article", "main"])
+def test_linked_text_of_an_article_stays(top, inner):
+    import re
+
+    plain = " ".join(re.sub("<[^>]*>", " ", inner).split())
+    assert pages.main_text(f"<nav><a>Home</a></nav><{top}>{inner}</{top}><footer><a>About</a></footer>") == plain
+
+
+def test_link_density_alone_and_size_alone_change_the_class():
+    around = f"<p>{PROSE} {PROSE}</p>%s<p>{PROSE} {PROSE}</p>"
+    bare, linked = "one two three four", "<a>one two three four</a>"
+    assert bare in pages.main_text(around % f"<div>{bare}</div>")
+    assert bare not in pages.main_text(around % f"<div>{linked}</div>")
+    assert W.strip() in pages.main_text(around % f"<div><a>{W}</a></div>")
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<div class=ad>text", "<li>x</li><div>", "<p><b>", "<a href=x>y", "<table><tr><td>z", "</div>"])
+def test_deep_nesting_is_linear(tag):
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        start = time.process_time()
+        pages.main_text(tag * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * max(took[0], 0.05)
+
+
+def test_clashing_columns_and_very_long_pages(spark):
+    long = f"<article><p>{'long text ' * 300_000}</p></article>"
+    frame = spark.createDataFrame([(None, long, 1, "a"), (1, long, 2, "b"), (1, long, 2, "b")], "page_id long, html string, n_chars int, text string")
+    out = pages.extract(frame).collect()
+    assert [len(r.text) for r in out] == [3_000_000 - 1] * 3 and [r.n_chars for r in out] == [1, 2, 2]
