@@ -22,6 +22,8 @@ WORD_BYTES = bytes(
 LOWER_BYTES = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows of a batch that are Python objects at one time.
 ROWS = 256
+#: Rows that Spark hands to Python at one time: texts may be long, and a batch is held on both sides.
+BATCH_ROWS = 1024
 #: Keys that count as frequent: a fixed number, so that a table of them may be broadcast.
 HOT = 1000
 
@@ -61,7 +63,13 @@ _SENT: set[str] = set()
 
 
 def send_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once, as ``--py-files`` would."""
+    """Send this package to the executors once, as ``--py-files`` would, and bound the session's Arrow batches.
+
+    The bound changes no result, only memory; a smaller one that the session has already stays.
+    """
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(option)) <= BATCH_ROWS:
+        spark.conf.set(option, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _SENT:
         top = Path(__file__).resolve().parents[1]
