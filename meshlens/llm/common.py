@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -84,9 +85,20 @@ def send_package(spark: SparkSession) -> SparkSession:
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches in pieces of ``ROWS`` rows, so that few texts are Python objects at one time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
+    try:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                yield batch.slice(start, ROWS)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers stay for the stages to come."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
 
 
 def add_columns(

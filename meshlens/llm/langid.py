@@ -40,7 +40,7 @@ PART = 1 << 18
 @functools.lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """Of every code point: itself if a letter, else a space."""
-    return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], dtype=np.uint32)
+    return np.fromiter((c if chr(c).isalpha() else 32 for c in range(0x110000)), np.uint32, 0x110000)
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
