@@ -48,5 +48,47 @@ def test_optional_and_replaceable_regions():
     assert accepts("a d") == [] and accepts("a x y z d") == [] and accepts("a d d") == [(0, 3)]
 
 
+def whole(wording):
+    """A template as a text: optional regions left out, replaceable ones filled as shortly as may be."""
+    while "[[" in wording:
+        wording = re.sub(r"\[\[[^\[\]]*\]\]", "", wording)
+    return re.sub(r"\{\{(\d+)-\d+\}\}", lambda m: "thing " * int(m[1]), wording)
+
+
+LONG = [label for label, t in licenses.TEMPLATES if len(t.split()) > 60]
+
+
+def test_whole_wordings_are_told_apart(spark):
+    """Every licence text has its own label; with one mandatory word changed anywhere it is not accepted."""
+    assert len(LONG) == 8
+    made = licenses.automaton(tuple((label, False, t) for label, t in licenses.TEMPLATES if label in LONG))
+    for label in LONG:
+        own = whole(dict(licenses.TEMPLATES)[label]).split()
+        fixed = [i for i, w in enumerate(own) if w != "thing" and own[i - 1] != "thing"]
+        encoded = [w.encode() for w in ["before", *own, "after"]]
+        assert made.scan(encoded)[2] == [(1, 1 + len(own), label)], label
+        for i in fixed[:1] + fixed[5::7] + fixed[-1:]:
+            other = [*encoded[: i + 1], b"changed", *encoded[i + 2 :]]
+            assert made.scan(other)[2] == [], (label, i, own[i])
+
+
+def test_a_text_with_a_clause_left_out(spark):
+    three = whole(dict(licenses.TEMPLATES)["bsd-3-clause"])
+    cut = three.replace("redistributions in binary form must reproduce the above copyright notice", "")
+    wrapped = "/* " + three.upper().replace(" ", "\n * ", 40) + " */"
+    frame = spark.createDataFrame([(1, three), (2, cut), (3, wrapped), (4, "x " * 200_000 + three)], "doc_id long, text string")
+    got = {r.doc_id: r.notices for r in licenses.scan(frame).collect()}
+    assert got == {1: ["bsd-3-clause"], 2: [], 3: ["bsd-3-clause"], 4: ["bsd-3-clause"]}
+
+
+def test_remembered_states_have_a_bound(monkeypatch):
+    monkeypatch.setattr(licenses, "MOST_STATES", 3)
+    made = licenses.Automaton([("t", False, "a [[b [[c]]]] {{1-9}} d")])
+    for k in range(9):
+        own = b"a " + b" ".join(b"w%d" % i for i in range(k)) + b" d"
+        assert bool(made.scan(own.split())[2]) == (k >= 1)
+        assert len(made.known) <= 3 and all(len(row) <= 5 for row in made.known.values())
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
