@@ -15,6 +15,7 @@ before it. Rows with equal ids follow each other in order of their texts; NULL i
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,32 +32,60 @@ SIZE = 64
 DIGITS = 12
 #: Ranges of ids, whatever the number of partitions.
 MOST_RANGES = 2048
-#: Code points parsed, and phrases hashed, at a time.
+#: Code points whose phrases are hashed at a time.
 PART = 1 << 18
+#: From a phrase of so many code points on, a text's phrases are found by halving and not grown one by one.
+LONG = 64
 _BASE = 0x9E3779B97F4A7C15
 
 
 class Parsed(NamedTuple):
-    """Ends of phrases and the state at the end of a text."""
+    """Ends of phrases and the begun phrase at the end of a text."""
 
     ends: list[int]
-    node: int
+    node: str
 
 
-def parse(text: str, known: dict[int, int], node: int, at: int) -> Parsed:
-    """Go on parsing: ``known`` gets the new phrases, ``at`` is where ``text`` begins."""
-    ends = []
-    number = len(known) + 1
-    for start in range(0, len(text), PART):
-        data = text[start : start + PART].encode("utf-32-le", "surrogatepass")
-        for i, c in enumerate(np.frombuffer(data, dtype=np.uint32).tolist(), at + start + 1):
-            key = node << 21 | c
-            node = known.get(key, 0)
-            if not node:
-                known[key] = number
-                number += 1
-                ends.append(i)
-    return Parsed(ends, node)
+def parse(text: str, known: dict[str, None], node: str, at: int) -> Parsed:
+    """Go on parsing: ``known`` gets the new phrases in order, ``at`` is where ``text`` begins, ``node`` is begun."""
+    size = len(known)
+    phrase = node or ""
+    start = at - len(phrase)
+    long = len(phrase) >= LONG
+    for c in "" if long else text:
+        phrase += c
+        if phrase not in known:
+            known[phrase] = None
+            long = len(phrase) >= LONG
+            phrase = ""
+            if long:
+                break
+    ends = list(itertools.accumulate(map(len, itertools.islice(known, size, None)), initial=start))[1:]
+    if not long:
+        return Parsed(ends, phrase)
+    done = ends[-1] if ends else start
+    return _parse_long(phrase + text[max(0, done - at) :], known, ends, done)
+
+
+def _parse_long(text: str, known: dict[str, None], ends: list[int], at: int) -> Parsed:
+    """Go on with a text that has phrases of ``LONG`` code points: as every beginning of a phrase is one, by halving."""
+    start, length = 0, 1
+    while start < len(text):
+        low, high = 0, length  # the known beginning is at least low, and less than high
+        while text[start : start + high] in known and start + high < len(text):
+            low, high = high, min(2 * high, len(text) - start)
+        if text[start : start + high] in known:
+            return Parsed(ends, text[start:])
+        while high - low > 1:
+            middle = (low + high) // 2
+            if text[start : start + middle] in known:
+                low = middle
+            else:
+                high = middle
+        known[text[start : start + high]] = None
+        start, length = start + high, high
+        ends.append(at + start)
+    return Parsed(ends, "")
 
 
 def _powers(base: int) -> np.ndarray:
@@ -103,8 +132,8 @@ def prints(text: str, keep: int, tail: str) -> tuple[np.ndarray, np.ndarray]:
 
     The common part is parsed once; what the first text's rest adds is taken back.
     """
-    known: dict[int, int] = {}
-    ends, node = parse(text[:keep], known, 0, 0)
+    known: dict[str, None] = {}
+    ends, node = parse(text[:keep], known, "", 0)
     common, start = hashes(text, 0, ends), ends[-1] if ends else 0
     size = len(known)
     rest = parse(text[keep:], known, node, keep).ends
@@ -117,15 +146,18 @@ def prints(text: str, keep: int, tail: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def as_text(found: np.ndarray) -> str:
-    return "".join(f"{x:0{DIGITS}x}" for x in found.tolist())
+    return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - DIGITS // 2 :].tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of common hashes among the smallest of both; 1 for two empty fingerprints."""
-    both = np.union1d(a, b)[:SIZE]
+    both = np.sort(np.concatenate((a, b)))
     if not len(both):
         return 1.0
-    return float(np.isin(both, np.intersect1d(a, b)).sum()) / len(both)
+    again = both[1:] == both[:-1]  # each print's hashes are distinct
+    rank = np.arange(1, len(both)) - np.cumsum(again)  # of the different ones, from 0
+    size = min(SIZE, len(both) - int(again.sum()))
+    return float((again & (rank < size)).sum()) / size
 
 
 def with_successor(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

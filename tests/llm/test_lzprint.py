@@ -29,6 +29,34 @@ def test_parse_makes_the_dictionary_phrases(monkeypatch):
             assert len(known) == len(phrases(t)[0])
 
 
+class Counted(dict):
+    """Known phrases that count how often they are asked."""
+
+    asked = 0
+
+    def get(self, *key):
+        Counted.asked += 1
+        return super().get(*key)
+
+    def __contains__(self, key):
+        Counted.asked += 1
+        return super().__contains__(key)
+
+
+def test_long_phrases_are_found_by_halving(monkeypatch):
+    known = Counted()
+    assert lzprint.parse("ab" * 50_000, known, 0, 0).ends == phrases("ab" * 50_000)[1]
+    assert Counted.asked < 20_000  # of 100,000 code points
+    for long in (1, 2, 5):
+        monkeypatch.setattr(lzprint, "LONG", long)
+        for t in [*texts(), "ab" * 300, "a" * 200 + "bcd" * 40, "\ud800" * 50]:
+            assert lzprint.parse(t, {}, 0, 0).ends == phrases(t)[1]
+            for cut in (1, 7, len(t) // 2):  # a text in two pieces
+                known = {}
+                first = lzprint.parse(t[:cut], known, 0, 0)
+                assert first.ends + lzprint.parse(t[cut:], known, first.node, len(t[:cut])).ends == phrases(t)[1]
+
+
 def test_hash_depends_on_the_phrase_alone():
     seen = {}
     for t in texts():
