@@ -46,10 +46,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of what they decode to."""
     send_package(spark)
     path, pattern = vocabulary()
-    coded = bpe.encode(docs, path, pattern, keep=["doc_id", "lang", "source", "n_chars"])
+    kept = ["doc_id", "lang", "source", "n_chars"]
+    coded = bpe.encode(docs, path, pattern, keep=kept, decoded="decoded")
     decoded = F.sha2("decoded", 256).alias("decoded_sha256")
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return bpe.decode(coded, path, pattern).select("doc_id", "lang", "source", "n_chars", n_tokens, "ids", decoded)
+    return coded.select("doc_id", "lang", "source", "n_chars", n_tokens, "ids", decoded)
 
 
 STAGES = [

@@ -46,6 +46,11 @@ def ids_of(text: str, path: str, pattern: str) -> bytes:
     return np.array(encoder(path, pattern).encode_ordinary(text), dtype="<u4").tobytes()
 
 
+def bytes_of(ids: list[bytes | None], path: str, pattern: str) -> list[bytes]:
+    enc = encoder(path, pattern)
+    return [enc.decode_bytes(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in ids]
+
+
 def boundaries(text: str, pattern: str) -> list[int]:
     """Starts of pre-tokens (not the first) that follow no white space."""
     import regex
@@ -63,25 +68,29 @@ def encode(
     keep: list[str] | None = None,
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    decoded: str | None = None,
 ) -> DataFrame:
     """Add ``ids``: the token ids of ``text``. ``keep``: input columns to keep (default: all).
 
-    An existing column named ``ids`` is replaced. Repeated rows give repeated rows.
+    An existing column named ``ids`` is replaced. Repeated rows give repeated rows. ``decoded`` names a
+    column for what the ids decode to, as ``decode`` adds it, but in the same Python worker as the ids.
     """
     long = F.coalesce(F.length(text), F.lit(0)) > chunk + overlap
-    kept = [c for c in df.columns if c != ids and (keep is None or c in keep)]
+    made = [ids, *([decoded] if decoded else [])]
+    kept = [c for c in df.columns if c not in made and (keep is None or c in keep)]
 
     def whole(batch: pa.RecordBatch) -> list[pa.Array]:
         got = [ids_of(t or "", path, pattern) for t in batch.column(text).to_pylist()]
-        return [pa.array(got, pa.binary())]
+        columns = [got, bytes_of(got, path, pattern)] if decoded else [got]
+        return [pa.array(c, pa.binary()) for c in columns]
 
-    out = T.StructField(ids, T.BinaryType())
-    short = add_columns(df.where(~long), [out], whole, kept)
+    short = add_columns(df.where(~long), [T.StructField(c, T.BinaryType()) for c in made], whole, kept)
     digest = F.sha2(F.col(text).cast("binary"), 256).alias(_KEY)
     texts = df.where(long).select(digest, F.col(text).alias("text")).dropDuplicates([_KEY])
     joined = _encode_long(texts, path, pattern, chunk, overlap)
     rows = df.where(long).select(digest, *kept).join(joined, _KEY)
-    return short.unionByName(rows.select(*kept, F.col("__bpe_ids").alias(ids)))
+    rows = rows.select(*kept, F.col("__bpe_ids").alias(ids))
+    return short.unionByName(decode(rows, path, pattern, ids, decoded) if decoded else rows)
 
 
 def _encode_long(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -165,8 +174,6 @@ def decode(
     """Add ``decoded``: the raw bytes of ``ids`` concatenated. NULL gives an empty value."""
 
     def whole(batch: pa.RecordBatch) -> list[pa.Array]:
-        enc = encoder(path, pattern)
-        rows = (np.frombuffer(x or b"", dtype="<u4").tolist() for x in batch.column(ids).to_pylist())
-        return [pa.array([enc.decode_bytes(r) for r in rows], pa.binary())]
+        return [pa.array(bytes_of(batch.column(ids).to_pylist(), path, pattern), pa.binary())]
 
     return add_columns(df, [T.StructField(decoded, T.BinaryType())], whole, keep)

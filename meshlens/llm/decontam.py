@@ -199,12 +199,15 @@ def find_leaks(
     window: int = WINDOW,
     keep: list[str] | None = None,
     block_words: int = BLOCK_WORDS,
+    cut: str | None = None,
 ) -> DataFrame:
     """Add ``n_words``, ``leak_spans`` (word ranges, flat) and ``leak_items`` (ids as text, sorted).
 
-    Columns of these names are replaced. ``keep``: input columns to keep (default: all).
+    Columns of these names are replaced. ``keep``: input columns to keep (default: all). ``cut`` names a
+    column for the texts without the words of the ranges, made in the same Python worker.
     """
-    names = [f.name for f in FIELDS]
+    wanted = [*FIELDS, *([T.StructField(cut, T.StringType())] if cut else [])]
+    names = [f.name for f in wanted]
     kept = [c for c in docs.columns if c not in names and (keep is None or c in keep)]
     context = docs.sparkSession.sparkContext
     blocks = item_blocks(items, item_id, item_text, window, max(block_words, window))
@@ -215,18 +218,19 @@ def find_leaks(
         after = next(blocks, None)
         if number and number % BLOCKS_A_STAGE == 0:
             out = stored(out, "leaks")
-        scan = _pass(context.broadcast(block), uuid.uuid4().hex, window, text, number == 0)
-        out = add_columns(out, FIELDS, scan, None if after is not None else kept)
+        last = after is None
+        scan = _pass(context.broadcast(block), uuid.uuid4().hex, window, text, number == 0, last and cut is not None)
+        out = add_columns(out, wanted if last else FIELDS, scan, kept if last else None)
         block, number = after, number + 1
     return out
 
 
-def _pass(sent: Broadcast, name: str, window: int, text: str, first: bool):
-    """One block's pass; ranges and items of earlier blocks are kept."""
+def _pass(sent: Broadcast, name: str, window: int, text: str, first: bool, cut: bool):
+    """One block's pass; ranges and items of earlier blocks are kept. ``cut``: the texts without the ranges, too."""
 
     def scan(batch: pa.RecordBatch) -> list[pa.Array]:
         automaton = _automaton(sent, name, window)
-        counts, spans, found = [], [], []
+        counts, spans, found, left = [], [], [], []
         if not first:
             old_spans = batch.column("leak_spans").to_pylist()
             old_items = batch.column("leak_items").to_pylist()
@@ -238,8 +242,11 @@ def _pass(sent: Broadcast, name: str, window: int, text: str, first: bool):
             counts.append(len(own))
             spans.append(ranges)
             found.append(sorted(items - {None}))
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
-        return [pa.array(x, k) for x, k in zip((counts, spans, found), kinds, strict=True)]
+            if cut:
+                left.append(without(value, ranges) if ranges else value)
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *([pa.string()] if cut else []))
+        columns = (counts, spans, found, *([left] if cut else []))
+        return [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
 
     return scan
 
@@ -272,14 +279,8 @@ def remove_leaks(
     counted anew for documents that lost text. The result has the columns of ``docs``.
     """
     aside = {f.name: f"__own_{f.name}" for f in FIELDS if f.name in docs.columns}
-    found = find_leaks(docs.withColumnsRenamed(aside), items, text, **how)
-    few = found.where(hit_words() < F.lit(coverage) * F.greatest("n_words", F.lit(1)))
-
-    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
-        pairs = zip(batch.column(text).to_pylist(), batch.column("leak_spans").to_pylist(), strict=True)
-        return [pa.array([without(t, s) if s else t for t, s in pairs], pa.string())]
-
-    made = add_columns(few, [T.StructField("__cut", T.StringType())], cut)
+    found = find_leaks(docs.withColumnsRenamed(aside), items, text, cut="__cut", **how)
+    made = found.where(hit_words() < F.lit(coverage) * F.greatest("n_words", F.lit(1)))
     leaked = F.size("leak_spans") > 0
     changed = {text: F.col("__cut")}
     if n_chars in docs.columns:

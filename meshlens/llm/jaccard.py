@@ -354,9 +354,9 @@ def linked_groups(whole: DataFrame) -> DataFrame:
     spark = whole.sparkSession
     classes = whole.select("key", "n", "room")
     open_rows = postings(whole).withColumn("root", F.col("key"))
-    links = spark.createDataFrame([], "a long, b long")
-    checked = spark.createDataFrame([], "low long, high long")
-    groups = spark.createDataFrame([], "key long, root long")
+    # empty tables of Spark's own: those made from Python rows start workers that stay beside the others
+    empty = spark.range(0).where("false")
+    links, checked, groups = (empty.selectExpr(f"id AS {x}", f"id AS {y}") for x, y in ("ab", ("low", "high"), ("key", "root")))
     for turn in range(STARS + 1):
         # shingles that classes of several groups share; the others are done
         turned = F.col("key").bitwiseXOR(F.lit(TURNS[turn]))

@@ -43,3 +43,13 @@ def test_empty_table_and_keep(spark):
 
 def test_ranks_are_the_library_kind():
     assert isinstance(bpe.encoder(PATH, PATTERN), tiktoken.Encoding)
+
+
+@pytest.mark.parametrize("chunk,overlap", [(64, 32), (bpe.CHUNK, bpe.OVERLAP)])
+def test_decoded_beside_the_ids_equals_decode(spark, chunk, overlap):
+    df = spark.createDataFrame([(i, t, "old", i) for i, t in enumerate(texts())], SCHEMA)
+    how = {"chunk": chunk, "overlap": overlap}
+    want = bpe.decode(bpe.encode(df, PATH, PATTERN, **how), PATH, PATTERN)
+    got = bpe.encode(df, PATH, PATTERN, decoded="decoded", **how)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

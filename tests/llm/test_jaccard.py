@@ -111,3 +111,9 @@ def test_keep_one(spark):
     assert kept.columns == frame.columns
     assert sorted((r.doc_id is None, r.doc_id, r["count"]) for r in kept.collect() if r.doc_id) == [(False, 5, 1), (False, 8, 4), (False, 9, 5)]
     assert kept.where("doc_id IS NULL").count() == 1
+
+
+def test_groups_need_no_table_of_python_rows(spark, monkeypatch):
+    frame = spark.createDataFrame(corpus(3, 40), "doc_id long, text string")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert sorted(map(tuple, jaccard.join(frame).collect())) == brute(corpus(3, 40))

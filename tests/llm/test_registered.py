@@ -64,3 +64,27 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0
         assert name == "tokens" or out.columns == docs.columns
+
+
+def chained(plan):
+    """Python nodes of a plan whose input, up to the next exchange, has another one: each task holds a worker for each."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return chained(plan.initialPlan())
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    count = sum(map(chained, below))
+    if plan.nodeName().endswith("InArrow"):
+        while below:
+            node = below.pop()
+            if node.nodeName().endswith("InArrow"):
+                return count + 1
+            if "Exchange" not in node.nodeName():
+                below += [node.children().apply(i) for i in range(node.children().size())]
+    return count
+
+
+def test_stages_hold_one_worker_a_task(spark, tmp_path):
+    tables(tmp_path, spark)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("decontamination", "tokens"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        assert chained(out._jdf.queryExecution().executedPlan()) == 0, name
