@@ -182,3 +182,23 @@ def test_rate_window_reaches_both_scans(spark, tmp_path):
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert scans and all("LessThan(fetched_at" in line for line in scans)
     assert any("GreaterThanOrEqual(fetched_at" in line for line in scans)
+
+
+@pytest.mark.parametrize("most_rows", [None, 20])
+def test_rows_of_one_time_meet_in_small_blocks(spark, monkeypatch, most_rows):
+    monkeypatch.setattr("meshlens.operators.predecessor.BLOCK", 4)
+    rows = series(5, 250, copies=True)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = with_predecessor(df, ["e1", "e2"], ["a", "b"], chunk_ms=10**5, most_rows=most_rows)
+    assert linked(got) == brute(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "collect_list" in line and "_cut" not in line]
+    assert grouped and all("_block" in line for line in grouped)  # no time is gathered as a whole
+
+
+def test_time_before_without_pairs(spark):
+    rows = series(6, 250, copies=True)
+    got = with_predecessor(spark.createDataFrame(rows, SCHEMA), ["e1", "e2"], ["a", "b"], paired=False)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = Counter((r.id, r.t_ms, r.prev_ms) for r in got.collect())
+    assert found == Counter({k[:3]: 1 for k in brute(rows)})
