@@ -293,7 +293,7 @@ def j1(spark, sf):
     rows = fx.table(spark, sf, "nic_copies").selectExpr(
         "id", "intf", "unix_millis(fetched_at) AS t_ms"
     )
-    return with_predecessor(rows, ["intf"], []).select("id", "t_ms", "prev_ms").distinct()
+    return with_predecessor(rows, ["intf"], [], paired=False).select("id", "t_ms", "prev_ms").distinct()
 
 
 # Copies at one time: the plain self-join of every row with every row at the time before.
