@@ -166,3 +166,11 @@ def test_of_two_dumps_of_a_node_the_last_to_arrive_counts(spark, tmp_path):
         stream_capture.capture_batch(spark.createDataFrame(rows, schema), number, root, writer="w")
     got = lake.read_table(spark, root, "radio_stats").select("fetched_at", "radio").collect()
     assert sorted(map(tuple, got)) == [(at(0), "wifi0"), (at(0), "wifi9"), (at(1), "wifi0"), (at(1), "wifi1")]
+
+
+def test_a_batch_stores_few_files_a_day(spark, tmp_path):
+    rows = nic(spark, [(f"{d}-{k}", at(d), "e0", k) for d in range(3) for k in range(30)]).repartition(10)
+    lake.store_rows(rows, str(tmp_path), "nic_counter", "a")
+    for day in (tmp_path / "nic_counter").glob("day=*"):
+        assert len(list(day.rglob("*.parquet"))) == 1  # and not one a task
+    assert lake.read_table(spark, str(tmp_path), "nic_counter").count() == 90
